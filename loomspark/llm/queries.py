@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import hidden_duplicates, leaks, tokenize
+from loomspark.llm import hidden_duplicates, leaks, mixture, pairs, reading, split_overlap, tokenize
 from loomspark.session import load
 
 
@@ -18,6 +19,32 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return hidden_duplicates.collapsed(load(spark, d, "source_rows"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(load(spark, d, "teacher_responses"), load(spark, d, "documents"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = split_overlap.split_overlaps(load(spark, d, "recovery_pool"))
+    return found.select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    pool = load(spark, d, "recovery_pool")
+    return split_overlap.overlap_report(pool, split_overlap.split_overlaps(pool))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.unmet_targets(load(spark, d, "recovery_pool"), load(spark, d, "mix_targets"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture_report(load(spark, d, "recovery_pool"), load(spark, d, "mix_targets"))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.draw_mixture(load(spark, d, "recovery_pool"), load(spark, d, "mix_targets"))
+
+
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(load(spark, d, "documents"))
 
@@ -26,5 +53,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(load(spark, d, "documents"), load(spark, d, "benchmark_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_collapsed, p5_ids, p6_found)}
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.remove_leaks(load(spark, d, "documents"), load(spark, d, "benchmark_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p3_found, p3_report, p4_found, p4_report, p4_sample, p5_ids, p6_found, p6_cleaned, p7_found)}
 ORACLES: dict[str, str] = {}
