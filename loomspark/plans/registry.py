@@ -1,4 +1,4 @@
-"""All queries of the core, by name, with the SQL that must give the same rows."""
+"""Registry of the core's queries and of the SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "rcp1_build_pools"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with its SQL where SQL can express it."""
+
+    def register(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
