@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: an expression inside a lambda is else computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalize(text: Column) -> Column:
     """Lower-case letters a-z and digits, everything else one space."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +", " "))
@@ -24,8 +31,7 @@ def strip(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """Words between white space; an empty array for blank text."""
-    body = strip(text)
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"{SPACE}+"))
+    return let(strip(text), lambda body: F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"{SPACE}+")))
 
 
 def prompt_hash(text: Column) -> Column:
@@ -34,9 +40,12 @@ def prompt_hash(text: Column) -> Column:
 
 def ngrams(words: Column, size: int) -> Column:
     """All runs of `size` words, joined by spaces; empty for fewer words."""
-    n = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n >= size, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) >= size, runs).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
 
 
 def shingles(normalized: Column, size: int = SHINGLE) -> Column:
@@ -46,8 +55,12 @@ def shingles(normalized: Column, size: int = SHINGLE) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Share of common elements of two arrays of distinct elements; 0 if one is empty."""
-    common = F.size(F.array_intersect(left, right))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(common / (F.size(left) + F.size(right) - common))
+
+    def score(p: Column) -> Column:
+        a, b, common = F.size(p["a"]), F.size(p["b"]), F.size(F.array_intersect(p["a"], p["b"]))
+        return F.when((a == 0) | (b == 0), 0.0).otherwise(common / (a + b - common))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), score)
 
 
 def contained(a: Column, b: Column, least: int = MIN_CONTAINED) -> Column:
@@ -57,8 +70,7 @@ def contained(a: Column, b: Column, least: int = MIN_CONTAINED) -> Column:
 
 def repetition_rate(words: Column, size: int = 32) -> Column:
     """Share of n-gram positions that repeat an earlier n-gram; 0 for shorter texts."""
-    grams = ngrams(words, size)
-    return F.when(F.size(words) < size, 0.0).otherwise((F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams))
+    return let(ngrams(words, size), lambda g: F.when(F.size(g) == 0, 0.0).otherwise((F.size(g) - F.size(F.array_distinct(g))) / F.size(g)))
 
 
 def reasoning(response: Column) -> Column:
