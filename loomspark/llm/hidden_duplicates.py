@@ -31,8 +31,8 @@ COPIES_PER_REPLICA = 20_000
 
 
 def fold(value: Column) -> Column:
-    """Letters, marks, digits and symbols in order, without case. Upper before lower so that one-to-many pairs meet."""
-    return F.lower(F.upper(F.regexp_replace(value, IGNORED, "")))
+    """Letters, marks, digits and symbols in order, in upper case (there one-to-many pairs such as ß and SS meet)."""
+    return F.regexp_replace(F.upper(value), IGNORED, "")
 
 
 def json_members(text: str | None) -> list[str] | None:
@@ -42,7 +42,7 @@ def json_members(text: str | None) -> list[str] | None:
     ignored = _compiled(regex)
 
     def norm(x: str) -> str:
-        return ignored.sub("", x).upper().lower()
+        return ignored.sub("", x.upper())
 
     class Pairs(list):
         pass

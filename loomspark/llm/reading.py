@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,8 +140,6 @@ class WordTable:
     def features(word: str) -> list[int]:
         w = f"^{word}$"
         grams = [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 4] for i in range(len(w) - 3)] + [f"={word}"]
-        import zlib
-
         return [zlib.crc32(g.encode()) % HASHED for g in grams]
 
 
@@ -257,8 +256,8 @@ class DocumentModel:
         if len(data) < 8 * folds or len(set(levels.tolist())) < 2:
             return
         rows = np.zeros((len(data), 1 + 3 * len(LEVELS)))
-        groups: dict[str, int] = {}
-        fold = np.array([groups.setdefault(doc[0][0] + doc[-1][0], len(groups)) % folds for doc, _ in data])
+        groups: dict[int, int] = {}  # equal texts stay together
+        fold = np.array([groups.setdefault(zlib.crc32("\n".join(s for s, _ in doc).encode()), len(groups)) % folds for doc, _ in data])
         for k in range(folds):
             model = SentenceModel([x for x, f in zip(data, fold) if f != k])
             held = np.flatnonzero(fold == k)

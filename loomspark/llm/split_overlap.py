@@ -34,7 +34,7 @@ EVAL, TRAIN = ("val", "test"), ("sft", "opd")
 
 def words(text: Column) -> Column:
     """Runs of letters and digits, without case."""
-    return F.regexp_extract_all(F.lower(F.upper(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def shingle_size(n: Column) -> Column:
