@@ -7,8 +7,8 @@ Two prompts overlap if the edit distance of their words is at most a sixth of th
    least one survives: the rarest such choice (by dynamic programming over a count-min sketch of training shingles, of
    fixed size) is its prefix in the index.
 3. Training texts probe the index with their shingles. A candidate passes the length filter, the position filter (the
-   shingle moved by no more than the allowed edits) and the count filter (at least k + 1 minus the allowed edits of the
-   chosen shingles are shared).
+   shingle moved by no more than the allowed edits) and the prefix filter (with e edits allowed for this pair, one of the
+   rarest e + 1 chosen shingles is shared, so the others do not count).
 4. Candidates are verified: by the JVM's bounded Levenshtein distance over one character per word (a lower bound), then
    exactly over the words.
 
@@ -118,22 +118,23 @@ def overlapping_texts(left: DataFrame, right: DataFrame) -> DataFrame:
         out = []
         for g, n in zip(gram_lists, ns):
             q = 4 if n >= 20 else 3 if n >= 10 else 2
-            out.append(choose_rarest(shared.value[np.asarray(g, np.int64) % (1 << SKETCH_BITS)], q, int(n) // 5 + 1))
+            costs = shared.value[np.asarray(g, np.int64) % (1 << SKETCH_BITS)]
+            out.append(sorted(choose_rarest(costs, q, int(n) // 5 + 1), key=lambda i: costs[i]))
         return pd.Series(out)
 
     q = shingle_size(F.col("n"))
     own = F.when(q == 4, shingles(F.col("words"), 4)).when(q == 3, shingles(F.col("words"), 3)).otherwise(shingles(F.col("words"), 2))
     index = a.select("key", "n", own.alias("grams")).withColumn("starts", chosen("grams", "n"))
-    index = index.select(F.col("key").alias("left_key"), F.col("n").alias("left_n"), F.explode("starts").alias("left_at"), "grams").select("left_key", "left_n", "left_at", F.get("grams", F.col("left_at")).alias("gram"))
+    index = index.select(F.col("key").alias("left_key"), F.col("n").alias("left_n"), F.posexplode("starts").alias("place", "left_at"), "grams").select("left_key", "left_n", "left_at", "place", F.get("grams", F.col("left_at")).alias("gram"))
     index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     allowed = F.floor(F.greatest("left_n", "n") / 6).cast("int")
-    met = probes.join(index, ["gram", "salt"]).withColumn("k", allowed).filter("abs(left_n - n) <= k and abs(left_at - at) <= k and left_key <> key")
-    candidates = met.groupBy("left_key", F.col("key").alias("right_key")).agg(F.first("left_n").alias("left_n"), F.first("k").alias("k"), F.size(F.collect_set("left_at")).alias("shared"))
-    candidates = candidates.filter("shared >= floor(left_n / 5) + 1 - k").select("left_key", "right_key", "k")
-    texts = [d.select(F.col("key").alias(f"{s}_key"), F.col("words").alias(f"{s}_words")) for d, s in ((a, "left"), (b, "right"))]
-    full = candidates.join(texts[0], "left_key").join(texts[1], "right_key")
-    near = full.filter(F.expr("size(left_words) > 0")).withColumn("x", _characters(F.col("left_words"))).withColumn("y", _characters(F.col("right_words"))).filter(F.expr("levenshtein(x, y, k) >= 0"))
+    met = probes.join(index, ["gram", "salt"]).withColumn("k", allowed).filter("place <= k and abs(left_n - n) <= k and abs(left_at - at) <= k and left_key <> key")
+    candidates = met.select("left_key", F.col("key").alias("right_key"), "k").distinct()
+    short = [d.select(F.col("key").alias(f"{s}_key"), _characters(F.col("words")).alias(f"{s}_characters")) for d, s in ((a, "left"), (b, "right"))]
+    near = candidates.join(short[0], "left_key").join(short[1], "right_key").filter(F.expr("levenshtein(left_characters, right_characters, k) >= 0")).select("left_key", "right_key", "k")
+    whole = [d.select(F.col("key").alias(f"{s}_key"), F.col("words").alias(f"{s}_words")) for d, s in ((a, "left"), (b, "right"))]
+    near = near.join(whole[0], "left_key").join(whole[1], "right_key")
     return near.filter(_within("left_words", "right_words", "k")).select("left_key", "right_key")
 
 
