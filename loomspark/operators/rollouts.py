@@ -49,9 +49,6 @@ def whiten(tokens: DataFrame, value: str, out: str) -> DataFrame:
     return _alone(s, tokens).withColumn(out, (F.col(value) - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8)).drop("_mean", "_var")
 
 
-_GROUP = Window.partitionBy("uid")
-
-
 def _group(seqs: DataFrame) -> DataFrame:
     """Sequences with their group's size, mean and sample deviation; alone: mean 0, deviation 1.
 
@@ -156,11 +153,8 @@ def reinforce_pp(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
     return whiten(joined, "a", "w").select("seq", "pos", (F.col("w") * F.col("mask")).alias("advantage"), F.col("a").alias("returns"))
 
 
-_BACK = Window.partitionBy("seq").orderBy(F.desc("pos"))
-
-
 def reward_to_go(tokens: DataFrame, value: Column) -> Column:
-    return F.sum(value).over(_BACK)
+    return F.sum(value).over(Window.partitionBy("seq").orderBy(F.desc("pos")))
 
 
 def remax(tokens: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -175,7 +169,7 @@ def process_grpo(tokens: DataFrame) -> DataFrame:
     valid = valid.select("uid", F.when(F.col("n") > 1, F.col("m")).otherwise(0.0).alias("m"), F.when(F.col("n") > 1, F.col("s")).otherwise(1.0).alias("s"))
     t = tokens.join(valid, "uid", "left")
     t = t.withColumn("x", F.when(F.col("mask") == 1, (F.col("reward") - F.col("m")) / (F.col("s") + EPS)).otherwise(0.0))
-    return t.select("seq", "pos", (F.sum("x").over(_BACK) * F.col("mask")).alias("advantage"))
+    return t.select("seq", "pos", (reward_to_go(t, F.col("x")) * F.col("mask")).alias("advantage"))
 
 
 def direct_plus_grpo(tokens: DataFrame, weight: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import text
+from loomspark.session import checkpoint
 
 
 def stable_rank(seed: str, *parts: Column) -> Column:
@@ -42,9 +43,30 @@ def quota_sample(df: DataFrame, quota: int, rank: Column, stratum: Column | None
     return picked.withColumn("position", F.row_number().over(Window.orderBy("_turn", "_stratum"))).drop("_rank", "_turn", "_stratum")
 
 
+def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with the place (from 0) of each row in the order of the columns, which must tell all rows apart.
+
+    Rows are range-partitioned and numbered within their range; the sizes of the ranges before are added. No task sorts
+    more than a range. The ranges are written once, as a second evaluation could draw other bounds.
+    """
+    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").count()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + F.row_number().over(inside) - 1).drop("_range", "_before")
+
+
 def interleave(df: DataFrame, domain: str, rank: Column, tie: str) -> DataFrame:
-    """(columns, turn): one row of each domain per turn, domains in order within a turn."""
-    return df.withColumn("_rank", rank).withColumn("turn", F.row_number().over(Window.partitionBy(domain).orderBy("_rank", tie))).drop("_rank")
+    """(columns, turn): one row of each domain per turn, domains in order within a turn.
+
+    The place within a domain is the place in the order of all less that of the domain's first, so that a domain may
+    hold most of the rows.
+    """
+    placed = global_rank(df.withColumn("_rank", rank), [domain, "_rank", tie], "_place")
+    first = placed.groupBy(domain).agg(F.min("_place").alias("_first"))
+    first = first.select(F.col(domain).alias("_domain"), "_first")
+    return placed.join(F.broadcast(first), F.col(domain).eqNullSafe(F.col("_domain"))).withColumn("turn", F.col("_place") - F.col("_first") + 1).drop("_rank", "_place", "_first", "_domain")
 
 
 def first_n_split(df: DataFrame, n: int, rank: Column, tie: str, names: tuple[str, str] = ("sft", "opd")) -> DataFrame:

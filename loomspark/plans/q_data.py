@@ -84,7 +84,7 @@ def src11(spark: SparkSession, d: str) -> DataFrame:
 def snk1(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark, "ordered")
     files.write_ordered(load(spark, d, "source_rows").select("row_id", "ord"), path, ["ord", "row_id"])
-    return spark.read.parquet(path).withColumn("place", F.row_number().over(Window.orderBy("ord", "row_id")) - 1).select("row_id", "place")
+    return sampling.global_rank(spark.read.parquet(path), ["ord", "row_id"], "place").select("row_id", "place")
 
 
 @query("snk6_csv_round_trip", "SELECT n_nationkey, n_name FROM nation")
@@ -259,8 +259,8 @@ query("bat9_concat", "SELECT event_type, count(*) AS n, round(sum(value), 5) AS
 @query("bat10_reorder", "SELECT o_orderkey AS ord, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders")
 def bat10(spark: SparkSession, d: str) -> DataFrame:
     r = _rows(spark, d)
-    order = r.select("ord", (F.row_number().over(Window.orderBy("o_custkey", "ord")) - 1).alias("place"))
-    return r.select("ord").join(order, "ord")
+    order = sampling.global_rank(r.select("o_custkey", "ord"), ["o_custkey", "ord"], "place")
+    return r.select("ord").join(order.select("ord", "place"), "ord")
 
 
 @query("bat11_repeat", "SELECT n_nationkey::BIGINT AS ord, r AS copy, n_nationkey::BIGINT * 3 + r AS place FROM nation, range(3) t(r)")
