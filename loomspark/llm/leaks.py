@@ -26,6 +26,8 @@ BLOCK_WORDS = 200_000
 MIN_WORDS, TOLERANCE = 13, 8
 #: An opening of at least so many words that at least so many different items share is a stock line.
 STOCK_WORDS, STOCK_ITEMS = 4, 3
+#: Words that at most so many different items hold are distinctive.
+DISTINCTIVE = 2
 #: Markup and note numbers are skipped; a hyphen at a line's end joins the parts of a word.
 _TOKEN = re.compile(r"</?[A-Za-z][^<>]{0,200}>|\[\^?\d{1,4}\]|([^\W_⁰¹²³⁴⁵⁶⁷⁸⁹]+(?:(?:[-‐]\s*[\n\r\x85]\s*|\xad\s*)[^\W_⁰¹²³⁴⁵⁶⁷⁸⁹]+)*)")
 _JOIN = re.compile(r"[^\w]+")
@@ -75,6 +77,8 @@ class Automaton:
         self.ids = list(by_words.values())
         self.vocabulary: dict[str, int] = {}
         self.items = [[self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w] for w in by_words]
+        spread = Counter(c for w in self.items for c in set(w))
+        self.marks = [[spread[c] <= DISTINCTIVE for c in w] for w in self.items]
         self.reversed = [w[::-1] for w in self.items]
         self.seeds = [min(len(w), self._seed(len(w))) for w in self.items]
         self.shortest = min(self.seeds, default=1)
@@ -226,20 +230,28 @@ class Automaton:
         right, i, j = self._walk(doc, item, first + size, at + size)
         left, a, b = self._walk(back, self.reversed[k], n - first, len(item) - at)
         flags = left[::-1] + [1] * size + right
-        return n - a, i, len(item) - b, j, self._enough(flags, min(self.min_words, len(item)))
+        marks = self.marks[k][len(item) - b : len(item) - b + len(flags)]
+        return n - a, i, len(item) - b, j, self._enough(flags, marks, min(self.min_words, len(item)))
 
-    def _enough(self, flags: list[int], need: int) -> bool:
+    def _enough(self, flags: list[int], marks: list[bool], need: int) -> bool:
         """Does a stretch of the item have `need` words in the document and at most one error in `tolerance`?
 
-        A whole item shorter than `min_words` may lack its one error in `tolerance` of these words as well.
+        A whole item shorter than `min_words` may lack its one error in `tolerance` of these words as well. A stretch of
+        which all distinctive words are among the errors is stock text and no case.
         """
+        if sum(flags) < min(need, len(flags) - len(flags) // self.tolerance):
+            return False
+        marked, kept = [0], [0]
+        for f, m in zip(flags, marks):
+            marked.append(marked[-1] + m)
+            kept.append(kept[-1] + (m and f))
         if need < self.min_words:
-            return len(flags) >= need and (len(flags) - sum(flags)) * self.tolerance <= len(flags)
+            return len(flags) >= need and (len(flags) - sum(flags)) * self.tolerance <= len(flags) and (kept[-1] > 0 or not marked[-1])
         there = [k for k, f in enumerate(flags) if f]  # a shortest stretch begins and ends with words that are there
         for x in range(len(there) - need + 1):
             for y in range(x + need - 1, len(there)):
-                size = there[y] - there[x] + 1
-                if (size - (y - x + 1)) * self.tolerance <= size:
+                a, b = there[x], there[y] + 1
+                if (b - a - (y - x + 1)) * self.tolerance <= b - a and (kept[b] > kept[a] or marked[b] == marked[a]):
                     return True
         return False
 
