@@ -62,4 +62,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p3_found, p3_report, p4_found, p4_report, p4_sample, p5_ids, p6_found, p6_cleaned, p7_found)}
-ORACLES: dict[str, str] = {}
+def _fold(x: str) -> str:
+    return f"regexp_replace(upper({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{S}}]+', '', 'g')"
+
+
+_KEYS = f"""WITH r AS (SELECT row_id, {_fold('source_id')} AS s, prompt, starts_with(ltrim(prompt, E' \\t\\n\\r'), '{{') AND json_valid(prompt) AS j FROM source_rows WHERE row_id IS NOT NULL AND source_id IS NOT NULL AND regexp_matches(prompt, '[\\p{{L}}\\p{{N}}]')),
+m AS (SELECT row_id, s, CASE WHEN j THEN array_to_string(list_sort(list_transform(json_keys(prompt), lambda k: {_fold('k')} || chr(31) || {_fold("json_extract_string(prompt, '$.' || chr(34) || k || chr(34))")})), chr(30)) ELSE {_fold('prompt')} END AS p, j FROM r),
+g AS (SELECT *, min(row_id) OVER w AS keep_id, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY s, p, j))"""
+_LABEL = "lower(regexp_replace({}, '[\\s_\\-]+', '', 'g'))"
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"{_KEYS} SELECT DISTINCT keep_id, row_id AS copy_id FROM g WHERE row_id <> keep_id",
+    "p1_collapsed": f"{_KEYS} SELECT DISTINCT x.row_id, coalesce(n, 1) AS n_copies FROM source_rows x LEFT JOIN g ON g.row_id = x.row_id WHERE g.row_id IS NULL OR g.row_id = keep_id",
+    "p4_found": f"""WITH p AS (SELECT DISTINCT sample_id, lower(trim(split)) AS split, {_LABEL.format('domain')} AS d, {_LABEL.format('difficulty')} AS f, {_LABEL.format('topic')} AS t FROM recovery_pool WHERE sample_id IS NOT NULL),
+n AS (SELECT split, count(DISTINCT sample_id) AS r FROM p GROUP BY split),
+w AS (SELECT m.*, greatest(floor(round(target_share * floor(round(sample_fraction * coalesce(r, 0), 9)), 9)), min_rows) AS need FROM mix_targets m LEFT JOIN n USING (split))
+SELECT target_id FROM w WHERE (SELECT count(DISTINCT sample_id) FROM p WHERE p.split = w.split AND (w.domain IS NULL OR p.d = {_LABEL.format('w.domain')}) AND (w.difficulty IS NULL OR p.f = {_LABEL.format('w.difficulty')}) AND (w.topic IS NULL OR p.t = {_LABEL.format('w.topic')})) < need""",
+}
