@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 13
@@ -14,6 +14,15 @@ THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def explode_once(df: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:
+    """The kept columns and one row per element of a computed array.
+
+    A plain explode makes Catalyst infer a filter on the array's size, which computes the array a second time; the outer
+    form does not, and the row that it adds for an empty array is filtered.
+    """
+    return df.select(*kept, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once: an expression inside a lambda is else computed for every element."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -21,7 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower-case letters a-z and digits, everything else one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def strip(text: Column) -> Column:
@@ -48,6 +57,16 @@ def ngrams(words: Column, size: int) -> Column:
     return let(words, grams)
 
 
+def gram_hashes(words: Column, size: int) -> Column:
+    """Distinct 64-bit hashes of all runs of `size` words: to find candidates, which are then compared by their words."""
+
+    def grams(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, size)))
+        return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, grams)
+
+
 def shingles(normalized: Column, size: int = SHINGLE) -> Column:
     """Distinct word shingles of normalized text."""
     return F.array_distinct(ngrams(F.filter(F.split(normalized, " "), lambda w: w != ""), size))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import text
+from loomspark.session import spread
 
 THRESHOLD = 0.6
 SHORT_MATCH = 200
@@ -21,17 +22,18 @@ def _words(normalized):  # noqa: ANN001, ANN202
     return F.filter(F.split(normalized, " "), lambda w: w != "")
 
 
-def _within(short: DataFrame, long: DataFrame, short_id: str, long_id: str) -> DataFrame:
-    """(short_id, long_id) where the normalized text of `short` (3 to 12 words) may lie inside that of `long`."""
-    grams = []
-    for n in range(1, text.SHINGLE - 2):
-        inner = short.filter(F.size("w") == n + 2).select(short_id, F.array_join(F.slice("w", 2, n), " ").alias("g"))
-        outer = long.filter(F.size("w") >= n).select(long_id, F.explode(F.array_distinct(text.ngrams(F.col("w"), n))).alias("g"))
-        grams.append(inner.join(outer, "g").select(short_id, long_id))
-    out = grams[0]
-    for g in grams[1:]:
-        out = out.unionByName(g)
-    return out
+def _within(short: DataFrame, long: DataFrame, short_id: str, long_id: str, sizes: list[int]) -> DataFrame:
+    """(short_id, long_id) where the normalized text of `short` may lie inside that of `long`.
+
+    A text of n words (3 to 12, of the sizes given) shows by one run, its n - 2 inner words: those at its ends may be cut.
+    """
+    inner = short.filter(F.size("w").isin(sizes)).select(short_id, (F.size("w") - 2).alias("size"), F.xxhash64(F.slice("w", F.lit(2), F.size("w") - 2)).alias("g"))
+
+    def sized(n: int):  # noqa: ANN202
+        return F.transform(text.gram_hashes(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("size"), g.alias("g")))
+
+    outer = text.explode_once(long, F.concat(*[sized(n - 2) for n in sizes]), "x", long_id).select(long_id, "x.*")
+    return inner.join(outer, ["size", "g"]).select(short_id, long_id)
 
 
 def contamination_matches(prompts: DataFrame, items: DataFrame, prompt_id: str, prompt_text: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -39,22 +41,23 @@ def contamination_matches(prompts: DataFrame, items: DataFrame, prompt_id: str,
 
     `items` has item_id, benchmark, benchmark_index, text. Null texts match nothing.
     """
-    p = prompts.filter(F.col(prompt_text).isNotNull()).select(F.col(prompt_id).alias("prompt_id"), text.normalize(F.col(prompt_text)).alias("p"))
+    p = spread(prompts.filter(F.col(prompt_text).isNotNull()).select(F.col(prompt_id).alias("prompt_id"), F.col(prompt_text).alias("p")))
+    p = p.withColumn("p", text.normalize(F.col("p")))
     p = p.withColumn("w", _words(F.col("p")))
     b = items.filter("text is not null").select("item_id", "benchmark", "benchmark_index", text.normalize(F.col("text")).alias("b"))
     b = b.withColumn("w", _words(F.col("b")))
-    ps = p.filter(F.size("w") >= text.SHINGLE).select("prompt_id", F.array_distinct(text.ngrams(F.col("w"), text.SHINGLE)).alias("s"))
-    bs = b.filter(F.size("w") >= text.SHINGLE).select("item_id", F.array_distinct(text.ngrams(F.col("w"), text.SHINGLE)).alias("s"))
-    pe = ps.select("prompt_id", F.size("s").alias("np"), F.explode("s").alias("g"))
-    be = bs.select("item_id", F.size("s").alias("nb"), F.explode("s").alias("g"))
-    shared = pe.join(be, "g").groupBy("prompt_id", "item_id").agg(F.count("*").alias("common"), F.first("np").alias("np"), F.first("nb").alias("nb"))
+    ps = text.explode_once(p, text.gram_hashes(F.col("w"), text.SHINGLE), "g", "prompt_id")
+    bs = text.explode_once(b, text.gram_hashes(F.col("w"), text.SHINGLE), "g", "item_id")
+    candidates = ps.join(bs, "g").select("prompt_id", "item_id").distinct()
     short_items = b.filter(F.size("w") < text.SHINGLE)
     short_prompts = p.filter((F.size("w") < text.SHINGLE) & (F.length("p") >= text.MIN_CONTAINED))
-    long_short = short_items.filter(F.length("b") >= text.MIN_CONTAINED)
-    inside = _within(long_short, p, "item_id", "prompt_id").unionByName(_within(short_prompts, short_items, "prompt_id", "item_id").select("item_id", "prompt_id"))
-    none = F.lit(0).cast("long")
-    candidates = shared.unionByName(inside.distinct().select("prompt_id", "item_id", none.alias("common"), none.cast("int").alias("np"), none.cast("int").alias("nb")))
-    full = candidates.join(p.select("prompt_id", "p"), "prompt_id").join(b.drop("w"), "item_id")
+    sizes = sorted(r[0] for r in short_items.filter(F.length("b") >= text.MIN_CONTAINED).select(F.size("w")).distinct().collect() if r[0] >= 3)  # at most ten
+    if sizes:
+        candidates = candidates.unionByName(_within(short_items, p, "item_id", "prompt_id", sizes).select("prompt_id", "item_id"))
+    candidates = candidates.unionByName(_within(short_prompts, short_items, "prompt_id", "item_id", list(range(3, text.SHINGLE)))).distinct()
+    full = candidates.join(p, "prompt_id").join(b.withColumnRenamed("w", "v"), "item_id")
+    full = full.withColumn("sp", F.array_distinct(text.ngrams(F.col("w"), text.SHINGLE))).withColumn("sb", F.array_distinct(text.ngrams(F.col("v"), text.SHINGLE)))
+    full = full.withColumn("common", F.size(F.array_intersect("sp", "sb"))).withColumn("np", F.size("sp")).withColumn("nb", F.size("sb"))
     exact = text.contained(F.col("p"), F.col("b"))
     score = F.when(exact, 1.0).otherwise(F.col("common") / F.greatest(F.col("np") + F.col("nb") - F.col("common"), F.lit(1)))
     full = full.withColumn("level", F.when(exact, "exact").when((F.col("common") > 0) & (score >= threshold), "near_duplicate")).withColumn("score", F.round(score, 4))

@@ -38,7 +38,7 @@ def verdict(df: DataFrame, response: str, domain: str, thinking: Column, ngram:
 
 def quality_statistics(judged: DataFrame, domain: str) -> DataFrame:
     """(domain or null, reason, n): rejected rows by reason, and by domain and reason."""
-    rows = judged.select(F.col(domain).alias("domain"), F.explode("reasons").alias("reason"))
+    rows = text.explode_once(judged.withColumnRenamed(domain, "domain"), F.col("reasons"), "reason", "domain")
     return rows.groupingSets([["reason"], ["domain", "reason"]], "domain", "reason").agg(F.count("*").alias("n"), F.grouping("domain").cast("int").alias("over_all"))
 
 

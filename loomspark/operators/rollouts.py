@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 EPS = 1e-6
@@ -114,38 +117,73 @@ def reinforce_pp_baseline(tokens: DataFrame) -> DataFrame:
     return w.select("seq", "pos", (F.col("a") * F.col("mask")).alias("advantage"))
 
 
-def fold_back(tokens: DataFrame, fields: list[str], state: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """A fold over each sequence from its last token to its first: (seq, pos, mask, a): the state's `out` at each token."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("k"), *fields)))
-    run = F.aggregate(F.col("rows"), F.struct(state.alias("s"), F.array().cast("array<struct<pos:bigint,a:double>>").alias("out")), lambda acc, r: F.struct(step(acc["s"], r).alias("s"), F.concat(acc["out"], F.array(F.struct((-r["k"]).cast("bigint").alias("pos"), step(acc["s"], r)["out"].alias("a")))).alias("out")))
-    done = tokens.groupBy("seq").agg(rows.alias("rows")).select("seq", run["out"].alias("out"))
-    return done.select("seq", F.inline("out"))
+#: Cells of one padded block of sequences.
+BLOCK_CELLS = 2_000_000
+
+
+def fold_back(tokens: DataFrame, fields: list[str], step: Callable[[tuple, tuple], tuple[tuple, np.ndarray]], states: int) -> DataFrame:
+    """(seq, pos, a): a recursion over each sequence from its last token to its first.
+
+    The sequences of an Arrow batch run side by side, as columns of padded blocks; `step` takes the states and the fields
+    of one position (vectors over sequences) and gives the new states and the position's result. Linear in the tokens,
+    where a fold that appends to an array would be quadratic in a sequence.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(rows: pd.Series, *columns: pd.Series) -> pd.Series:
+        sizes = rows.to_numpy()
+        out: list = [None] * len(sizes)
+        order = np.argsort(-sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            width = max(1, int(sizes[order[at]]))
+            part = order[at : at + max(1, BLOCK_CELLS // width)]
+            at += len(part)
+            blocks = []
+            for c in columns:
+                block = np.zeros((width, len(part)))
+                for k, i in enumerate(part):
+                    block[width - sizes[i] :, k] = c.iloc[i]
+                blocks.append(block)
+            live = width - sizes[part]
+            state, result = tuple(np.zeros(len(part)) for _ in range(states)), np.zeros((width, len(part)))
+            for t in range(width - 1, -1, -1):
+                new, value = step(state, tuple(x[t] for x in blocks))
+                here = t >= live
+                state = tuple(np.where(here, n, o) for n, o in zip(new, state))
+                result[t] = value
+            for k, i in enumerate(part):
+                out[i] = result[live[k] :, k]
+        return pd.Series(out)
+
+    g = tokens.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), *[F.col(f).cast("double").alias(f) for f in fields]))).alias("rows"))
+    done = g.select("seq", F.col("rows.pos").alias("pos"), run(F.size("rows"), *[F.col(f"rows.{f}") for f in fields]).alias("a"))
+    return done.select("seq", F.explode_outer(F.arrays_zip("pos", "a")).alias("x")).filter("x is not null").select("seq", "x.pos", "x.a")
 
 
 def gae(tokens: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
     """(seq, pos, advantage, returns): backward recursion that skips masked positions; advantages whitened."""
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.lit(0.0).alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        new = r["reward"] + gamma * s["next"] - r["value"] + gamma * lam * s["last"]
-        live = r["mask"] == 1
-        last = F.when(live, new).otherwise(s["last"])
-        return F.struct(F.when(live, r["value"]).otherwise(s["next"]).alias("next"), last.alias("last"), last.alias("out"))
+    def step(state: tuple, now: tuple) -> tuple[tuple, np.ndarray]:
+        (after, last), (reward, value, mask) = state, now
+        new = reward + gamma * after - value + gamma * lam * last
+        last = np.where(mask == 1, new, last)
+        return (np.where(mask == 1, value, after), last), last
 
-    raw = fold_back(tokens, ["reward", "value", "mask"], zero, step)
+    raw = fold_back(tokens, ["reward", "value", "mask"], step, 2)
     joined = tokens.join(raw, ["seq", "pos"])
     return whiten(joined, "a", "w").select("seq", "pos", F.col("w").alias("advantage"), (F.col("a") + F.col("value")).alias("returns"))
 
 
 def discounted_returns(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
     """(seq, pos, a): discounted sums from behind; a masked position starts anew."""
-    zero = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        now = r["reward"] + gamma * s["run"]
-        return F.struct((now * r["mask"]).alias("run"), now.alias("out"))
+    def step(state: tuple, now: tuple) -> tuple[tuple, np.ndarray]:
+        (run,), (reward, mask) = state, now
+        total = reward + gamma * run
+        return (total * mask,), total
 
-    return fold_back(tokens, ["reward", "mask"], zero, step)
+    return fold_back(tokens, ["reward", "mask"], step, 1)
 
 
 def reinforce_pp(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:

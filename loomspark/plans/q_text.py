@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import prompts, text
 from loomspark.plans.registry import query
-from loomspark.session import load
+from loomspark.session import load, spread
 
 
 def norm(x: str) -> str:
@@ -29,7 +29,7 @@ RESPONSES = "(SELECT response_id, min(domain) AS domain, min(teacher_response) A
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    t = load(spark, d, "teacher_responses")
+    t = spread(load(spark, d, "teacher_responses").select("response_id", "domain", "teacher_response", "teacher_response_tokens", "teacher_finish_reason", "teacher_truncated"))
     return t.groupBy("response_id").agg(F.min("domain").alias("domain"), F.min("teacher_response").alias("teacher_response"), F.max("teacher_response_tokens").alias("tokens"), F.min("teacher_finish_reason").alias("finish"), F.bool_or(F.coalesce("teacher_truncated", F.lit(False))).alias("truncated"))
 
 
@@ -50,7 +50,7 @@ def sca3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sca4_shingles", f"WITH n AS (SELECT item_id, {sql_words(norm('text'))} AS w FROM benchmark_items) SELECT DISTINCT item_id, unnest({sql_grams('w', 13)}) AS shingle FROM n")
 def sca4(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "benchmark_items").select("item_id", F.explode(text.shingles(text.normalize(F.col("text")))).alias("shingle"))
+    return text.explode_once(load(spark, d, "benchmark_items"), text.shingles(text.normalize(F.col("text"))), "shingle", "item_id")
 
 
 _PAIR = f"WITH s AS (SELECT row_id, source_id, {norm('prompt')} AS p FROM source_rows WHERE prompt IS NOT NULL), l AS (SELECT row_id, p, lag(p) OVER (ORDER BY row_id) AS q FROM s)"
@@ -140,7 +140,7 @@ def _rate_sql(n: int) -> str:
 @query("sca13_repetition_rate", _rate_sql(4))
 def sca13(spark: SparkSession, d: str) -> DataFrame:
     w = F.filter(F.split(text.normalize(F.col("text")), " "), lambda x: x != "")
-    rows = load(spark, d, "documents").filter("text is not null").select("doc_id", w.alias("w"))
+    rows = spread(load(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", w.alias("w"))
     return rows.select("doc_id", F.round(text.repetition_rate(F.col("w"), 4), 9).alias("rate"))
 
 

@@ -28,6 +28,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files make fewer: for work that is heavy per row.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
