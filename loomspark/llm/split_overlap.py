@@ -106,7 +106,8 @@ def overlapping_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = sides
     probes = b.select("key", "n", F.explode(F.array_distinct(F.array(*[F.when((F.ceil(F.col("n") * 5 / 6) < high) & (F.floor(F.col("n") * 6 / 5) >= low), F.lit(q)) for q, low, high in ((2, 5, 10), (3, 10, 20), (4, 20, 1 << 30))]))).alias("q"), "words").filter("q is not null")
     grams = F.when(F.col("q") == 4, shingles(F.col("words"), 4)).when(F.col("q") == 3, shingles(F.col("words"), 3)).otherwise(shingles(F.col("words"), 2))
-    probes = probes.select("key", "n", F.posexplode(grams).alias("at", "gram"))
+    # The outer form: a plain explode would infer a filter on the array's size and compute the shingles twice.
+    probes = probes.select("key", "n", F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
     bucket = F.pmod(F.col("gram"), F.lit(1 << SKETCH_BITS))
     sketch = np.zeros(1 << SKETCH_BITS)
     for r in probes.groupBy(bucket.cast("int").alias("bucket")).count().collect():  # at most 2**18 rows
