@@ -14,9 +14,19 @@ BETA, MIN_STEPS, WINDOW, MIN_DELTA, PATIENCE = 0.9, 20, 10, 0.01, 3
 
 def ema(values: Column, beta: float = BETA) -> Column:
     """The average after each value of an ordered array: the first value, then beta * average + (1 - beta) * value."""
-    start = F.array().cast("array<double>")
-    step = lambda a, v: F.concat(a, F.array(F.when(F.size(a) == 0, v).otherwise(beta * F.try_element_at(a, F.lit(-1)) + (1 - beta) * v)))
-    return F.aggregate(values, start, step)
+
+    @F.pandas_udf("array<double>")
+    def run(arrays: pd.Series) -> pd.Series:
+        out = []
+        for a in arrays:
+            now, row = None, []
+            for v in a:
+                now = v if now is None else beta * now + (1 - beta) * v
+                row.append(now)
+            out.append(row)
+        return pd.Series(out)
+
+    return run(values)
 
 
 def update(state: tuple | None, step: int, value: float) -> tuple[float, float, int, int]:
