@@ -42,6 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)]*\s+")
 #: Words that open subordinate clauses or join clauses.
 _SUB = {"which", "that", "whose", "whereas", "although", "because", "since", "if", "when", "whenever", "whether", "while", "unless", "insofar", "notwithstanding", "albeit", "than", "then", "so", "whom", "though"}
+_JOIN = {"and", "so", "but", "or"}
 _BUILD = 24
 
 
@@ -109,27 +110,42 @@ def sentences(text: str | None) -> tuple[list[tuple[str, list[str]]], int]:
     return out, other
 
 
-def build(sentence: str, words: list[str]) -> np.ndarray:
-    """Features of how a sentence is built."""
-    n = len(words)
-    joins = sum(w in ("and", "so", "but", "or") for w in words)
-    subs = sum(w in _SUB for w in words)
-    commas = sentence.count(",")
-    mean = sum(map(len, words)) / n
-    f = np.zeros(_BUILD, np.float32)
-    f[0] = 1.0
-    f[1] = min(n, 60) / 20
-    f[2] = np.log1p(n) / 3
-    f[3] = min(commas, 6) / 3
-    f[4] = min(subs, 5) / 2
-    f[5] = min(joins, 5) / 2
-    f[6] = mean / 6
-    f[7] = max(map(len, words)) / 12
-    f[8 + min(n // 6, 7)] = 0.7
-    f[16 + min(int(mean), 7)] = 0.7
+def assemble(n: np.ndarray, commas: np.ndarray, subs: np.ndarray, joins: np.ndarray, mean: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Features of how sentences are built, from their words, commas, subordinators, joins and word lengths."""
+    f = np.zeros((len(n), _BUILD), np.float32)
+    f[:, 0] = 1.0
+    f[:, 1] = np.minimum(n, 60) / 20
+    f[:, 2] = np.log1p(n) / 3
+    f[:, 3] = np.minimum(commas, 6) / 3
+    f[:, 4] = np.minimum(subs, 5) / 2
+    f[:, 5] = np.minimum(joins, 5) / 2
+    f[:, 6] = mean / 6
+    f[:, 7] = longest / 12
+    rows = np.arange(len(n))
+    f[rows, 8 + np.minimum(n // 6, 7)] = 0.7
+    f[rows, 16 + np.minimum(mean.astype(int), 7)] = 0.7
     return f
 
 
+def traits(word: str) -> tuple[float, float, float]:
+    """Length, subordinator, join."""
+    return len(word), word in _SUB, word in _JOIN
+
+
+def build(docs: list[list[tuple[str, list[str]]]]) -> np.ndarray:
+    """The features of all sentences of some documents."""
+    flat = np.array([traits(w) for doc in docs for _, words in doc for w in words], float)
+    sizes = np.array([len(words) for doc in docs for _, words in doc])
+    return built_of([s for doc in docs for s, _ in doc], flat, sizes) if len(sizes) else np.zeros((0, _BUILD), np.float32)
+
+
+def built_of(texts: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same from the traits of the words of all sentences, one after the other."""
+    starts = np.cumsum(sizes) - sizes
+    sums = np.add.reduceat(flat, starts)
+    return assemble(sizes, np.array([s.count(",") for s in texts]), sums[:, 1], sums[:, 2], sums[:, 0] / sizes, np.maximum.reduceat(flat[:, 0], starts))
+
+
 class WordTable:
     """Hashed word and character features of words; a sentence has the mean over its words."""
 
@@ -168,14 +184,13 @@ class SentenceModel:
 
     def __init__(self, data: list[tuple[list[tuple[str, list[str]]], int]], l2: float = 2e-4, steps: int = 80):
         vocabulary: dict[str, int] = {}
-        flat, ends, labels, weights, built = [], [], [], [], []
+        flat, ends, labels, weights = [], [], [], []
         for doc, level in data:
-            for s, words in doc:
+            for _, words in doc:
                 flat += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
                 ends.append(len(flat))
                 labels.append(level - 1)
                 weights.append(min(len(words), 30) / max(1, sum(min(len(w), 30) for _, w in doc)))
-                built.append(build(s, words))
         self.weights = np.zeros((HASHED, len(LEVELS)))
         self.build = np.zeros((_BUILD, len(LEVELS)))
         if not ends:
@@ -190,7 +205,7 @@ class SentenceModel:
         starts = np.concatenate([[0], ends[:-1]])
         count = (ends - starts).astype(float)
         owner = np.repeat(np.arange(len(ends)), ends - starts)
-        b, weight = np.array(built, float), np.array(weights)
+        b, weight = build([doc for doc, _ in data]).astype(float), np.array(weights)
         target = np.eye(len(LEVELS))[np.array(labels)]
         weight = weight / weight.sum()
         word_owner = np.repeat(np.arange(len(words)), sizes)
@@ -220,14 +235,13 @@ class SentenceModel:
         flat = [seen.setdefault(w, len(seen)) for doc in docs for _, words in doc for w in words]
         ends = np.cumsum([len(words) for doc in docs for _, words in doc])
         table = np.stack([self.vector(w) for w in seen]) if seen else np.zeros((0, len(LEVELS)))
-        return self.distributions_of(docs, table, np.array(flat, np.int64), ends)
+        return self.distributions_of(docs, table, np.array(flat, np.int64), ends, build(docs))
 
-    def distributions_of(self, docs: list[list[tuple[str, list[str]]]], table: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    def distributions_of(self, docs: list[list[tuple[str, list[str]]]], table: np.ndarray, flat: np.ndarray, ends: np.ndarray, built: np.ndarray) -> list[np.ndarray]:
         """The same from rows of a table of word vectors: flat[:ends[0]] are those of the first sentence, and so on."""
         if not len(ends):
             return [np.zeros((0, len(LEVELS))) for _ in docs]
         starts = np.concatenate([[0], ends[:-1]])
-        built = np.array([build(s, words) for doc in docs for s, words in doc])
         p = _softmax(np.add.reduceat(table[flat], starts) / (ends - starts)[:, None] * 4 + built @ self.build)
         out, at = [], 0
         for doc in docs:
@@ -292,13 +306,14 @@ class Reader:
     def __init__(self, model: DocumentModel, languages: langid.LanguageModel):
         self.model, self.languages = model, languages
         self.table = np.zeros((0, len(LEVELS)), np.float32)
+        self.traits = np.zeros((0, 3), np.float32)
 
     def read(self, texts: list[str | None]) -> list[int | None]:
         """The level of each text; None where there is none."""
         lang = self.languages
         if lang.used > 500_000:
             lang.forget()
-            self.table = self.table[:0]
+            self.table, self.traits = self.table[:0], self.traits[:0]
         found = [sentences(t) for t in texts]
         out: list[int | None] = [None] * len(texts)
         ids: list[int] = []
@@ -308,7 +323,9 @@ class Reader:
         if not ids:
             return out
         if len(self.table) < lang.used:
-            self.table = np.vstack([self.table, np.stack([self.model.sentences.vector(w) for w in lang.words[len(self.table) :]]).astype(np.float32)])
+            fresh = lang.words[len(self.table) :]
+            self.table = np.vstack([self.table, np.stack([self.model.sentences.vector(w) for w in fresh]).astype(np.float32)])
+            self.traits = np.vstack([self.traits, np.array([traits(w) for w in fresh], np.float32)])
         flat = np.array(ids)
         sizes = np.array([len(words) for doc, _ in found for _, words in doc])
         owner = np.repeat(np.arange(len(found)), [len(doc) for doc, _ in found])
@@ -325,7 +342,11 @@ class Reader:
             if good[i]:
                 docs.append([s for k, s in enumerate(doc) if keep[at + k]])
             at += len(doc)
-        p = self.model.sentences.distributions_of(docs, self.table, flat[np.repeat(keep, sizes)], np.cumsum(sizes[keep]))
+        if not docs:
+            return out
+        kept = flat[np.repeat(keep, sizes)]
+        built = built_of([s for doc in docs for s, _ in doc], self.traits[kept], sizes[keep])
+        p = self.model.sentences.distributions_of(docs, self.table, kept, np.cumsum(sizes[keep]), built)
         for i, level in zip(picked, self.model.levels(docs, p)):
             out[i] = level
         return out
