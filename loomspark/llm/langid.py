@@ -170,5 +170,5 @@ class LanguageModel:
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel:
     """A model from about `rows` labelled texts of df."""
     labelled = df.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    taken = labelled.filter(sample_share(df, id_col, rows)).select(F.col(label_col).alias("l"), F.substring(F.col(text_col), 1, 4000).alias("t")).collect()
+    taken = labelled.filter(sample_share(df, id_col, rows)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
     return LanguageModel([(x, r.t) for r in taken if (x := label_of(r.l))])

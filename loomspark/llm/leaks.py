@@ -52,16 +52,14 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 def without_stock(items: list[list[str]]) -> list[list[str]]:
     """Items without an opening line that many different items share."""
-    distinct = {tuple(w) for w in items}
-    prefixes: Counter[tuple[str, ...]] = Counter()
-    for w in distinct:
-        for n in range(STOCK_WORDS, min(len(w), 60) + 1):
-            prefixes[w[:n]] += 1
-    out = []
-    for w in items:
-        n = max((n for n in range(STOCK_WORDS, min(len(w), 60) + 1) if prefixes[tuple(w[:n])] >= STOCK_ITEMS), default=0)
-        out.append(w[n:] if n < len(w) else w)
-    return out
+    ordered = sorted({tuple(w) for w in items})
+    stock = dict.fromkeys(ordered, 0)
+    for i in range(len(ordered) - STOCK_ITEMS + 1):  # items with a common opening are neighbours
+        group = ordered[i : i + STOCK_ITEMS]
+        common = next((n for n, (a, b) in enumerate(zip(group[0], group[-1])) if a != b), min(len(group[0]), len(group[-1])))
+        for w in group:
+            stock[w] = max(stock[w], common)
+    return [w[n:] if STOCK_WORDS <= (n := stock[tuple(w)]) < len(w) else w for w in items]
 
 
 class Automaton:
