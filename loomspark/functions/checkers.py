@@ -94,7 +94,14 @@ def person_names(t: Column, least: int) -> Column:
 
 
 def _trigrams(t: Column) -> Column:
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of three characters, put together from the characters (a substring would seek from the start)."""
+
+    def runs(c: Column) -> Column:
+        two = F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, b))
+        three = F.zip_with(two, F.slice(c, 3, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.array_compact(three))
+
+    return let(F.filter(F.split(t, ""), lambda c: c != ""), runs)
 
 
 def trigram_overlap(t: Column, reference: Column, percent: float) -> Column:

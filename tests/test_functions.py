@@ -92,6 +92,11 @@ def test_checkers(spark):
     assert [row[i] for i in range(len(CHECKS))] == [w for _, _, w in CHECKS]
 
 
+def test_trigram_overlap(spark):
+    over = lambda t, p: value(spark, ck.trigram_overlap(F.lit(t), F.lit("abcdx"), p))
+    assert over("abcd", 100) and over("abce", 50) and not over("abce", 60) and over("ab", 0) and over("zzzz", 0)
+
+
 def test_strict_and_loose(spark):
     check = lambda t: t.startswith("b")
     assert value(spark, ck.loose(F.lit("a\nb\nc"), check)) and not value(spark, ck.strict(F.lit("a\nb\nc"), check))
