@@ -28,6 +28,8 @@ IGNORED = r"[^\p{L}\p{M}\p{N}\p{S}]+"
 MASK = (1 << 62) - 1
 #: Copies that one replica of a keeper is compared with.
 COPIES_PER_REPLICA = 20_000
+#: Groups from this size on, and larger than a thousandth of all copies, are attached by broadcast.
+HOT_GROUP = 20_000
 
 
 def fold(value: Column) -> Column:
@@ -124,15 +126,15 @@ def hidden_duplicates(df: DataFrame, id_col: str = "row_id", fields: Sequence[st
     """
     rows = fingerprinted(df, id_col, fields, json_fields)
     groups = checkpoint(rows.groupBy("fp1", "fp2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"))
-    copies_total = groups.agg(F.sum("n")).first()[0] or 0
-    hot_from = max(20_000, copies_total // 1000)  # fewer than 1000 groups can be larger
+    copies_total, largest = (x or 0 for x in groups.agg(F.sum("n"), F.max("n")).first())
+    hot_from = max(HOT_GROUP, copies_total // 1000)  # fewer than 1000 groups can be larger
     hot = groups.filter(F.col("n") > hot_from)
     cold = groups.filter(F.col("n") <= hot_from)
     replicas = F.ceil(F.col("n") / COPIES_PER_REPLICA).cast("int")
 
     columns = ["id", "pairs", "keep_id", "n"]
     members = rows.join(cold, ["fp1", "fp2"]).select(*columns)
-    if hot_from < copies_total:
+    if largest > hot_from:
         members = (
             rows.join(F.broadcast(hot.select("fp1", "fp2")), ["fp1", "fp2"], "left_anti").join(cold, ["fp1", "fp2"]).select(*columns)
         ).unionByName(rows.join(F.broadcast(hot), ["fp1", "fp2"]).select(*columns))

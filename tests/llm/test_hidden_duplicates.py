@@ -41,6 +41,7 @@ def test_hot_group_and_long_text(spark, monkeypatch):
     import loomspark.llm.hidden_duplicates as m
 
     monkeypatch.setattr(m, "COPIES_PER_REPLICA", 7)
+    monkeypatch.setattr(m, "HOT_GROUP", 10)
     long = "word " * 50_000
     df = rows(spark, *[(i, "s", long if i % 3 == 0 else f"other {i}") for i in range(120)])
     assert pairs(m.hidden_duplicates(df)) == [(0, i) for i in range(3, 120, 3)]
