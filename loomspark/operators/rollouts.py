@@ -374,7 +374,7 @@ def data_metrics(tokens: DataFrame) -> DataFrame:
     live = F.col("length") > 0
     return s.agg(
         F.count("*").alias("n"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.min("score").alias("score_min"), F.stddev_samp("score").alias("score_std"),
-        F.avg(F.abs("score")).alias("score_abs_mean"), F.count_if(F.abs("score") > 5).alias("extreme"), F.avg("length").alias("length_mean"), F.max("length").alias("length_max"), F.min("length").alias("length_min"),
+        F.avg(F.abs("score")).alias("score_abs_mean"), F.count_if(F.round(F.abs("score"), 9) > 5).alias("extreme"), F.avg("length").alias("length_mean"), F.max("length").alias("length_max"), F.min("length").alias("length_min"),
         F.avg((~live).cast("int")).alias("aborted_ratio"),
     )
 

@@ -239,7 +239,7 @@ def agg37(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ro.off_policy_metrics(tokens(spark, d)))
 
 
-@query("agg25_data_metrics", f"WITH {_S} SELECT count(*) AS n, {_r('avg(score)', 'score_mean')}, {_r('max(score)', 'score_max')}, {_r('min(score)', 'score_min')}, {_r('stddev_samp(score)', 'score_std')}, {_r('avg(abs(score))', 'score_abs_mean')}, count(*) FILTER (abs(score) > 5) AS extreme, {_r('avg(length)', 'length_mean')}, max(length)::BIGINT AS length_max, min(length)::BIGINT AS length_min, {_r('avg((length = 0)::INT)', 'aborted_ratio')} FROM s")
+@query("agg25_data_metrics", f"WITH {_S} SELECT count(*) AS n, {_r('avg(score)', 'score_mean')}, {_r('max(score)', 'score_max')}, {_r('min(score)', 'score_min')}, {_r('stddev_samp(score)', 'score_std')}, {_r('avg(abs(score))', 'score_abs_mean')}, count(*) FILTER (round(abs(score), 9) > 5) AS extreme, {_r('avg(length)', 'length_mean')}, max(length)::BIGINT AS length_max, min(length)::BIGINT AS length_min, {_r('avg((length = 0)::INT)', 'aborted_ratio')} FROM s")
 def agg25(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ro.data_metrics(tokens(spark, d)))
 
