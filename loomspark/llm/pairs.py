@@ -11,15 +11,18 @@ A pair is a user message and the assistant message right after it. Defects, of w
 * `other_language`: the language of most sentences of the answer differs from that of the question (posteriors of a
   character n-gram naive Bayes model), which does not name that language.
 
-The ending model holds word and character n-gram counts of sentence ends against other positions, from a bounded sample
-of responses (`TRAIN_ROWS`). Its parameters and the language model are broadcast; both have the size of the sample. The
-pass over the table is narrow; one small shuffle makes the rows distinct.
+The ending model holds word and character n-gram counts of sentence ends against other positions, over all responses. A
+first pass judges the pairs and leaves open those that the model has to decide; a second counts the words, and the word
+pairs that open endings ask for (a bitmap of `SLOTS` bits tells which), combined within each task and summed by a
+shuffle; the open endings are joined to the sums. Broadcast are the bitmap and the language model, which is fitted on a
+bounded number of labelled texts (`TRAIN_ROWS`).
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.llm import langid
+from loomspark.session import checkpoint
 
 TRAIN_ROWS = 3_000
+#: Bits of the map of word pairs that are asked for; different pairs that share one are told apart by the join.
+SLOTS = 1 << 20
+#: Word pairs that a task holds before it passes them on.
+PAIRS_AT_ONCE = 200_000
 #: Rows that are judged together.
 ROWS_AT_ONCE = 1_000
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
@@ -119,6 +127,26 @@ def is_open(answer: str) -> bool:
     return bool(re.fullmatch(r"(?:[-*+•]|\d+[.)]|#+|>)", last)) or last[-1:] in ",;:(=+\\&{["
 
 
+_ITEM = re.compile(r"\s*[-*•]\s")
+
+
+def sentences_of(text: str) -> Iterator[list[str]]:
+    """The words of each sentence or list item that shows how a text may end.
+
+    A last line without a final mark is what is asked, not evidence: a text that was cut there must not vouch for itself
+    or for another cut at the same place.
+    """
+    lines = _FORMULA.sub(" ", _CODE.sub("\n", _THINK.sub("\n", text))).rstrip().split("\n")
+    for at, line in enumerate(lines):
+        whole, item = line.strip()[-1:] in ".!?。", _ITEM.match(line)
+        if not whole and (not item or at == len(lines) - 1):
+            continue
+        for sentence in re.split(r"(?<=[.!?。])\s+", line):
+            words = _WORD.findall(sentence)
+            if words and (item or sentence.rstrip()[-1:] in ".!?。"):
+                yield words
+
+
 class EndingModel:
     """How likely a text ends after its last words: n-gram counts at sentence ends against all positions."""
 
@@ -127,23 +155,15 @@ class EndingModel:
         self.tails: Counter = Counter()
         self.inner: Counter = Counter()
         for text in texts:
-            prose = _FORMULA.sub(" ", _CODE.sub("\n", _THINK.sub("\n", text)))
-            for line in prose.split("\n"):
-                whole = line.strip()[-1:] in ".!?。"
-                if not whole and not re.match(r"\s*[-*•]\s", line):
-                    continue
-                for sentence in re.split(r"(?<=[.!?。])\s+", line):
-                    closed = sentence.rstrip()[-1:] in ".!?。"
-                    words = [self.shape(w) for w in _WORD.findall(sentence)]
-                    if not words or (not closed and not re.match(r"\s*[-*•]\s", line)):
-                        continue
-                    for i, w in enumerate(words):
-                        before = words[i - 1] if i else "^"
-                        self.all1[w] += 1
-                        self.all2[before, w] += 1
-                    if len(words) > 1:
-                        self.ends1[words[-1]] += 1
-                        self.ends2[words[-2], words[-1]] += 1
+            for sentence in sentences_of(text):
+                words = [self.shape(w) for w in sentence]
+                for i, w in enumerate(words):
+                    before = words[i - 1] if i else "^"
+                    self.all1[w] += 1
+                    self.all2[before, w] += 1
+                if len(words) > 1:
+                    self.ends1[words[-1]] += 1
+                    self.ends2[words[-2], words[-1]] += 1
         for w in self.all1:
             for n in (2, 3, 4):
                 if len(w) >= n:
@@ -155,14 +175,22 @@ class EndingModel:
     def shape(word: str) -> str:
         return "0" if word[0].isdigit() else word.lower()
 
-    def likelihood(self, text: str) -> float:
-        """The likelihood that a text may end here; 1 for a text without words."""
-        words = [self.shape(w) for w in _WORD.findall(text[-200:])]
+    @classmethod
+    def asked(cls, text: str) -> tuple[str, str] | float:
+        """The last two words of a text, or the likelihood of its end where no counts are needed: 1 without words."""
+        words = [cls.shape(w) for w in _WORD.findall(text[-200:])]
         if not words:
             return 1.0
-        w, before = words[-1], words[-2] if len(words) > 1 else "^"
         if text.rstrip()[-1:] == "-":
             return 0.0
+        return words[-2] if len(words) > 1 else "^", words[-1]
+
+    def likelihood(self, text: str) -> float:
+        """The likelihood that a text may end here; 1 for a text without words."""
+        asked = self.asked(text)
+        if isinstance(asked, float):
+            return asked
+        before, w = asked
         if not self.all1[w]:  # never seen whole: a name, or cut inside
             for n in (4, 3, 2):
                 if len(w) >= n and (k := self.tails[w[-n:]] + self.inner[w[-n:]]) >= 3:
@@ -213,22 +241,25 @@ def prose_of(text: str) -> str:
 
 
 class Judge:
-    def __init__(self, languages: langid.LanguageModel, endings: EndingModel):
+    def __init__(self, languages: langid.LanguageModel, endings: EndingModel | None = None):
         self.languages, self.endings = languages, endings
 
-    def truncated(self, answer: str, flagged: bool) -> bool:
-        if is_open(answer):
-            return True
+    @staticmethod
+    def unsure_end(answer: str) -> str | None:
+        """The last line of an answer that may be cut there; None after a final mark."""
         end = answer.rstrip()
-        if end[-1:] in _FINAL or not end:
-            return False
-        last = end.rsplit("\n", 1)[-1]
-        return self.endings.likelihood(last) < (0.15 if flagged else 0.02)
+        return None if end[-1:] in _FINAL or not end else end.rsplit("\n", 1)[-1]
 
     def defects(self, pairs: list[tuple[str | None, str | None, bool, bool]]) -> list[str | None]:
         """Defects of (question, answer or None, an assistant message follows, flagged as cut by the producer)."""
+        kinds, unsure = self.judged(pairs)
+        return ["truncated" if i in unsure and self.endings.likelihood(unsure[i][0]) < unsure[i][1] else k for i, k in enumerate(kinds)]
+
+    def judged(self, pairs: list[tuple[str | None, str | None, bool, bool]]) -> tuple[list[str | None], dict[int, tuple[str, float]]]:
+        """Defects without the ending model, and where it decides: the last line, and the likelihood below which it is cut."""
         out: list[str | None] = []
         ask: list[int] = []
+        unsure: dict[int, tuple[str, float]] = {}
         for i, (q, a, there, flagged) in enumerate(pairs):
             answer = answer_of(a) if there else ""
             kind = None
@@ -240,10 +271,13 @@ class Judge:
                 kind = "refusal"
             elif q and is_copy(q, answer):
                 kind = "copied_question"
-            elif self.truncated(answer, flagged):
+            elif is_open(answer):
                 kind = "truncated"
-            elif q:
-                ask.append(i)
+            else:
+                if (line := self.unsure_end(answer)) is not None:
+                    unsure[i] = line, 0.15 if flagged else 0.02
+                if q:
+                    ask.append(i)
             out.append(kind)
         if ask:
             texts = [prose_of(pairs[i][0]) for i in ask] + [prose_of(answer_of(pairs[i][1])) for i in ask]
@@ -252,7 +286,71 @@ class Judge:
                 (lq, _), (la, share) = main[k], main[len(ask) + k]
                 if lq and la and lq != la and share > 0.5 and not (la in _NAMED and _NAMED[la].search(pairs[i][0])):
                     out[i] = "other_language"
-        return out
+        return out, unsure
+
+
+def ending_counts(rows: DataFrame, slots: bytes) -> DataFrame:
+    """(before, word, n, ends): how often words stand in sentences of assistant messages and end them.
+
+    before is null for the sums of a word, and else one of the word pairs whose slot is set.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, places, ends = shared.value, Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            # The words are counted as they are written, and shaped once each here.
+            sums: dict[tuple[str | None, str], list[int]] = {}
+            for k, counter in enumerate((places, ends)):
+                for (b, w), n in counter.items():
+                    b, w = b if b == "^" else EndingModel.shape(b), EndingModel.shape(w)
+                    for key in ((None, w), (b, w)) if asked_for(bits, b, w) else ((None, w),):
+                        sums.setdefault(key, [0, 0])[k] += n
+                counter.clear()
+            columns = [[b for b, _ in sums], [w for _, w in sums], [n for n, _ in sums.values()], [e for _, e in sums.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["before", "word", "n", "ends"])
+
+        for batch in batches:
+            for contents in batch.column(0).to_pylist():
+                for text in contents:
+                    for words in sentences_of(text or ""):
+                        places.update(zip(["^", *words], words))
+                        if len(words) > 1:
+                            ends[words[-2], words[-1]] += 1
+                if len(places) > PAIRS_AT_ONCE:
+                    yield counted()
+        yield counted()
+
+    said = rows.select(F.expr("filter(messages, m -> lower(trim(m.role)) = 'assistant').content").alias("c"))
+    return said.mapInArrow(run, "before string, word string, n bigint, ends bigint").groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+
+
+def slot_of(before: str, word: str) -> int:
+    return zlib.crc32(f"{before} {word}".encode()) % SLOTS
+
+
+def asked_for(bits: bytes, before: str, word: str) -> bool:
+    slot = slot_of(before, word)
+    return bool(bits[slot >> 3] >> (slot & 7) & 1)
+
+
+def with_likelihood(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """asked (before, word) with the likelihood that a text may end there: `EndingModel.likelihood` over counted tables."""
+    one = counts.filter("before is null").select("word", F.col("n").alias("n1"), F.col("ends").alias("e1"))
+    two = counts.filter("before is not null").select("before", "word", F.col("n").alias("n2"), F.col("ends").alias("e2"))
+    pairs = asked.select("before", "word").distinct().join(one, "word", "left").join(two, ["before", "word"], "left")
+    backoff = (F.col("e1") + 0.001) / (F.col("n1") + 0.01)
+    seen = (F.coalesce("e2", F.lit(0)) + 3 * backoff) / (F.coalesce("n2", F.lit(0)) + 3)
+    # Words that were never seen whole: the ends of the seen words against their other parts, the longest part that is common enough.
+    unseen = pairs.filter("n1 is null").select("word").distinct()
+    parts = unseen.select("word", F.explode(F.expr("transform(filter(array(4, 3, 2), n -> n <= length(word)), n -> substring(word, -n))")).alias("part"))
+    every = one.select(F.expr("explode(flatten(transform(filter(array(2, 3, 4), n -> n <= length(word)), n -> transform(sequence(0, length(word) - n), i -> struct(substring(word, i + 1, n) as part, i = length(word) - n as tail)))))").alias("p"))
+    sums = every.groupBy("p.part").agg(F.count("*").alias("k"), F.count_if("p.tail").alias("tails")).filter("k >= 3")
+    best = parts.join(sums, "part").groupBy("word").agg(F.max_by(F.col("tails") / F.col("k"), F.length("part")).alias("whole"))
+    guess = F.when(F.col("whole") > 0.5, 0.3 * F.col("whole")).otherwise(0.0)
+    pairs = pairs.join(best, "word", "left").select("before", "word", F.when(F.col("n1").isNull(), guess).otherwise(seen).alias("likelihood"))
+    return asked.join(pairs, ["before", "word"])
 
 
 _JUDGES: dict[str, Judge] = {}
@@ -272,16 +370,14 @@ def broken_pairs(
     finish = F.coalesce(F.lower(F.col(finish_col)) == "length", F.lit(False)) if finish_col else F.lit(False)
     flag = F.coalesce(F.col(flag_col).cast("boolean"), F.lit(False)) if flag_col else F.lit(False)
     rows = df.select(F.col(id_col).alias("response_id"), F.col(messages_col).alias("messages"), (finish | flag).alias("flagged")).filter("response_id is not null and size(messages) > 0")
-    sample = rows.filter(langid.sample_share(rows, "response_id", train_rows)).select(F.expr("filter(messages, m -> lower(trim(m.role)) = 'assistant').content").alias("c"))
-    endings = EndingModel([t for r in sample.collect() for t in r.c or [] if t])
     languages = langid.fit(labelled, label_text, label_col, label_id, train_rows)
-    shared, key = sc.broadcast((languages, endings)), uuid.uuid4().hex
-    schema = T.StructType([T.StructField("response_id", rows.schema["response_id"].dataType), T.StructField("turn", T.IntegerType()), T.StructField("defect", T.StringType())])
+    shared, key = sc.broadcast(languages), uuid.uuid4().hex
+    schema = T.StructType([T.StructField("response_id", rows.schema["response_id"].dataType), T.StructField("turn", T.IntegerType()), T.StructField("defect", T.StringType()), T.StructField("before", T.StringType()), T.StructField("word", T.StringType()), T.StructField("least", T.DoubleType()), T.StructField("slot", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _JUDGES:
             _JUDGES.clear()
-            _JUDGES[key] = Judge(*shared.value)
+            _JUDGES[key] = Judge(shared.value)
         judge = _JUDGES[key]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -294,7 +390,25 @@ def broken_pairs(
                             there = i + 1 < len(roles) and roles[i + 1] == "assistant"
                             pairs.append((messages[i]["content"], messages[i + 1]["content"] if there else None, there, bool(flagged) and i + 2 >= len(roles)))
                             where.append((response, i))
-                hits = [(r, t, k) for (r, t), k in zip(where, judge.defects(pairs)) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], batch.schema.field(0).type), pa.array([h[1] for h in hits], pa.int32()), pa.array([h[2] for h in hits], pa.string())], ["response_id", "turn", "defect"])
-
-    return rows.mapInArrow(run, schema).groupBy("response_id", "turn").agg(F.min("defect").alias("defect"))
+                kinds, unsure = judge.judged(pairs)
+                hits: list[tuple] = []
+                for i, ((response, turn), kind) in enumerate(zip(where, kinds)):
+                    line, least = unsure.get(i, ("", 0.0))
+                    asked = EndingModel.asked(line)
+                    if isinstance(asked, tuple):
+                        hits.append((response, turn, kind, *asked, least, slot_of(*asked)))
+                    elif kind := "truncated" if asked < least else kind:
+                        hits.append((response, turn, kind, None, None, None, None))
+                columns = zip(*hits) if hits else [[]] * len(schema)
+                types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema.names)
+
+    judged = checkpoint(rows.mapInArrow(run, schema))
+    sure, unsure = judged.filter("word is null"), judged.filter("word is not null")
+    bits = bytearray(SLOTS // 8)
+    for slot in unsure.select("slot").distinct().toArrow().column(0).to_pylist():
+        bits[slot >> 3] |= 1 << (slot & 7)
+    counts = checkpoint(ending_counts(rows, bytes(bits)))
+    decided = with_likelihood(unsure, counts).withColumn("defect", F.when(F.col("likelihood") < F.col("least"), "truncated").otherwise(F.col("defect")))
+    both = sure.select("response_id", "turn", "defect").unionByName(decided.select("response_id", "turn", "defect")).filter("defect is not null")
+    return both.groupBy("response_id", "turn").agg(F.min("defect").alias("defect"))

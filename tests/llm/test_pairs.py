@@ -1,7 +1,7 @@
 import pytest
 
 from loomspark.llm import langid
-from loomspark.llm.pairs import EndingModel, Judge, broken_pairs, is_copy, is_empty, is_open, is_refusal
+from loomspark.llm.pairs import SLOTS, EndingModel, Judge, broken_pairs, ending_counts, is_copy, is_empty, is_open, is_refusal, slot_of, with_likelihood
 
 EN = "The diagram shows how one value follows the other. It is so that the second number changes. We look at the result of each step with care. "
 DE = "Die Regel beschreibt das Ergebnis und der Text bleibt gleich. Wir sehen, dass die Zahl den Versuch bestimmt. Danach vergleicht der Rechner die Lösung. "
@@ -67,3 +67,28 @@ def test_frame(spark):
     assert got == [(2, 0, "empty"), (5, 0, "empty"), (5, 1, "empty"), (6, 2, "other_language")]
     assert broken_pairs(df.limit(0), labelled).count() == 0
     assert broken_pairs(df, labelled.limit(0)).count() >= 3
+
+
+def test_endings_of_all_rows(spark):
+    """A last word that only one response holds elsewhere is known, however few rows the models are fitted on."""
+    schema = "response_id bigint, messages array<struct<role:string,content:string>>, teacher_finish_reason string, teacher_truncated boolean"
+    names = ["Quorvex", "Blimtha", "Zandrup", "Wexholm", "Pyrgosk", "Ulfbrin", "Jastovy", "Nedquil"]
+    texts = [EN + f"The value is due to {n}." for n in names] + [EN + f"The value is due to {n}" for n in names] + [EN + "The value is due to Quorv", "- one thing\n- due to Blimt", "- two things\n- due to Blimt"] + [EN + f"Sample {i} here." for i in range(60)]
+    df = spark.createDataFrame([(i, [("user", ASK), ("assistant", t)], None, None) for i, t in enumerate(texts)], schema)
+    labelled = spark.createDataFrame([(i, EN * 2 + ASK, "en") for i in range(9)], "doc_id bigint, text string, lang string")
+    want = [(16, 0, "truncated"), (17, 0, "truncated"), (18, 0, "truncated")]
+    assert sorted(map(tuple, broken_pairs(df, labelled, train_rows=5).collect())) == want
+    assert sorted(map(tuple, broken_pairs(df.repartition(7), labelled).collect())) == want
+
+
+def test_likelihood_of_tables(spark):
+    """The tables give what the model in memory gives."""
+    texts = [EN + "- a list item of things\n- the last item", DE, FR + "It is 12 or 13.", "The banana can span a wide plan."]
+    model = EndingModel(texts)
+    asked = [EndingModel.asked(x) for x in ("of each step with care", "We look at the", "of things", "the last item", "a bananan", "what replan", "some zan", "x", "about 99", "Der Text bleibt gleich", "the xyzzy")]
+    bits = bytearray(SLOTS // 8)
+    for a in asked:
+        bits[slot_of(*a) >> 3] |= 1 << (slot_of(*a) & 7)
+    rows = spark.createDataFrame([([("assistant", t)],) for t in texts], "messages array<struct<role:string,content:string>>")
+    got = with_likelihood(spark.createDataFrame(asked, "before string, word string"), ending_counts(rows, bytes(bits)))
+    assert {(r.before, r.word): r.likelihood for r in got.collect()} == {a: pytest.approx(model.likelihood(" ".join(a).replace("^", ""))) for a in asked}
