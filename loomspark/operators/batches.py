@@ -99,7 +99,7 @@ def token_budget_batches(sizes: list[int], budget: int) -> list[list[int]]:
 
 
 def balanced_parts(df: DataFrame, group: str, key: str, size: str, k: int, method: str = "kk") -> DataFrame:
-    """(group, key, part): the rows of each group spread over k parts. A group is one batch, of bounded size."""
+    """(group, key, part): the rows of each group spread over k parts. A group is one batch, held by one task: the caller bounds its rows."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(key).reset_index(drop=True)

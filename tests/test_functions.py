@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import checkers as ck
 from loomspark.functions import grading, prompts, text
 from loomspark.operators import batches, contamination, rollouts, sampling
+from loomspark.plans import catalog, q_data
 from loomspark.sources import files
 from loomspark.streaming import monitor
 
@@ -145,6 +149,29 @@ def test_balancing():
     assert all(sum(sizes[i] for i in p) <= 12 for p in batches.token_budget_batches(sizes, 12))
 
 
+def test_balancing_of_all_batches(spark, tmp_path):
+    """Every customer has a part in a batch of consecutive keys; a small batch is near the best split by brute force."""
+    n, k = 2 * q_data.BATCH_ROWS + 7, 4
+    size = {3 * i: (i * i * 7919) % 10_000 for i in range(n)}
+    spark.createDataFrame([(c, c % 25, -float(x) - 0.5) for c, x in size.items()], "c_custkey bigint, c_nationkey bigint, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    for name, part in (("srt13_karmarkar_karp", "part"), ("srt14_greedy_parts", "part"), ("srt15_token_budget", "part"), ("srt18_rank_balance", "rank")):
+        rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r.k for r in rows) == sorted(size), name
+        assert all(r.g == r.k // 3 // q_data.BATCH_ROWS for r in rows), name
+        loads = Counter()
+        for r in rows:
+            loads[r.g, r[part]] += size[r.k]
+        if name == "srt15_token_budget":
+            assert max(loads.values()) <= 20_000
+            continue
+        last = [size[r.k] for r in rows if r.g == 2]
+        best = min(max(sum(x for x, p in zip(last, at) if p == q) for q in range(k)) for at in product(range(k), repeat=len(last)))
+        assert len(last) == 7 and best <= max(v for (g, _), v in loads.items() if g == 2) <= 4 / 3 * best
+        for g in (0, 1):
+            own = [v for (h, _), v in loads.items() if h == g]
+            assert len(own) == k and max(own) - min(own) <= max(size.values())
+
+
 def test_groups_of_one_and_masked_sequences(spark):
     t = spark.createDataFrame([(1, 1, 1, 0.5, 0.1, -1.0, -0.9, -1.1, 1), (1, 1, 2, 0.5, 0.1, -1.0, -0.9, -1.1, 1), (2, 2, 1, 1.0, 0.0, -1.0, -1.0, -1.0, 0)], "seq bigint, uid bigint, pos int, reward double, value double, old_lp double, lp double, ref_lp double, mask int")
     s = rollouts.sequences(t)
