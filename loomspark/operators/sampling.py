@@ -69,6 +69,18 @@ def interleave(df: DataFrame, domain: str, rank: Column, tie: str) -> DataFrame:
     return placed.join(F.broadcast(first), F.col(domain).eqNullSafe(F.col("_domain"))).withColumn("turn", F.col("_place") - F.col("_first") + 1).drop("_rank", "_place", "_first", "_domain")
 
 
+def resamples(df: DataFrame, group: str, value: str, tie: str, size: int, times: int, seed: int) -> DataFrame:
+    """(group, resample, draw, value): `times` samples of `size` values of each group, with replacement; null values are none.
+
+    Places are drawn by hash and joined to the rows, so that no group is gathered; `tie` tells all rows apart.
+    """
+    placed = global_rank(df.filter(F.col(value).isNotNull()).select(group, value, tie), [group, value, tie], "_place")
+    groups = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    draws = groups.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(size))))
+    draws = draws.select("resample", "draw", (F.col("_first") + F.pmod(F.xxhash64(F.lit(seed), F.col("_group"), F.col("resample"), F.col("draw")), F.col("_n"))).alias("_place"))
+    return draws.join(placed.select("_place", group, value), "_place").select(group, "resample", "draw", value)
+
+
 def first_n_split(df: DataFrame, n: int, rank: Column, tie: str, names: tuple[str, str] = ("sft", "opd")) -> DataFrame:
     """Rows with the column `part`: the first n by rank, and the rest.
 

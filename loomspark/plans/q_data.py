@@ -427,13 +427,10 @@ def agg21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg29_bootstrap")
 def agg29(spark: SparkSession, d: str) -> DataFrame:
-    """Means and deviations of best, worst and mean over resamples drawn by hash."""
-    e = load(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("g")).agg(F.slice(F.array_sort(F.collect_list("c_acctbal")), 1, 64).alias("v"))
-    r = e.select("g", "v", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
-    drawn = r.select("g", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.get("v", F.pmod(F.xxhash64(F.lit(42), F.col("g"), F.col("b"), i), F.size("v")).cast("int"))).alias("x"))
-    best, worst, mean = F.array_max("x"), F.array_min("x"), F.aggregate("x", F.lit(0.0), lambda a, y: a + y) / 4
-    cols = [f(c).alias(f"{n}_{k}") for c, n in ((best, "best"), (worst, "worst"), (mean, "mean")) for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"))]
-    return rounded(drawn.groupBy("g").agg(*cols), 4)
+    """Means and deviations of best, worst and mean over 1,000 resamples of 4, drawn by hash from all values of a group."""
+    c = load(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), "c_custkey", "c_acctbal")
+    x = sampling.resamples(c, "g", "c_acctbal", "c_custkey", 4, 1000, 42).groupBy("g", "resample").agg(F.max("c_acctbal").alias("best"), F.min("c_acctbal").alias("worst"), F.avg("c_acctbal").alias("mean"))
+    return rounded(x.groupBy("g").agg(*[f(n).alias(f"{n}_{k}") for n in ("best", "worst", "mean") for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"))]), 4)
 
 
 @query("flt15_required_columns", "SELECT 'recovery_pool' AS name, 0 AS missing")

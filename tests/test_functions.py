@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from itertools import product
+from statistics import fmean, pstdev
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,23 @@ def test_balancing_of_all_batches(spark, tmp_path):
             assert len(own) == k and max(own) - min(own) <= max(size.values())
 
 
+def test_bootstrap_draws_from_all_values(spark, tmp_path):
+    """The figures are those of resamples drawn from all sorted values of a group, not from its smallest."""
+    values = {"a": [float(i) for i in range(500)], "b": [7.0], "c": [-1.5, 2.5, 2.5]}
+    rows = [(k, g, v) for k, (g, v) in enumerate((g, v) for g, x in values.items() for v in x)] + [(900, "c", None)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string, c_acctbal double").repartition(5).write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.g: r for r in catalog.QUERIES["agg29_bootstrap"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(values)
+    for g, x in values.items():
+        at = F.pmod(F.xxhash64(F.lit(42), F.lit(g), F.col("b"), F.col("i")), F.lit(len(x)))
+        drawn = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("b")).select("b", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("b", at.alias("at")).collect()
+        samples = [[sorted(x)[r.at] for r in drawn[4 * k : 4 * k + 4]] for k in range(1000)]
+        for name, f in (("best", max), ("worst", min), ("mean", fmean)):
+            y = [f(v) for v in samples]
+            assert got[g][f"{name}_mean"] == pytest.approx(fmean(y), abs=1e-4) and got[g][f"{name}_std"] == pytest.approx(pstdev(y), abs=1e-4), (g, name)
+    assert 380 < got["a"].best_mean < 420
+
+
 def test_groups_of_one_and_masked_sequences(spark):
     t = spark.createDataFrame([(1, 1, 1, 0.5, 0.1, -1.0, -0.9, -1.1, 1), (1, 1, 2, 0.5, 0.1, -1.0, -0.9, -1.1, 1), (2, 2, 1, 1.0, 0.0, -1.0, -1.0, -1.0, 0)], "seq bigint, uid bigint, pos int, reward double, value double, old_lp double, lp double, ref_lp double, mask int")
     s = rollouts.sequences(t)
