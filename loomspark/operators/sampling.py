@@ -57,6 +57,14 @@ def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + F.row_number().over(inside) - 1).drop("_range", "_before")
 
 
+def inverse_permutation(df: DataFrame, index: str, tie: str, out: str) -> DataFrame:
+    """df with the place of each row in the order of `index`, whose values must be 0 to n - 1, each once."""
+    n, low, high, distinct = df.agg(F.count("*"), F.min(index), F.max(index), F.countDistinct(index)).first()
+    if n and (low, high, distinct) != (0, n - 1, n):
+        raise ValueError(f"{index} is no permutation: {n} rows, {distinct} distinct values from {low} to {high}")
+    return global_rank(df, [index, tie], out)
+
+
 def interleave(df: DataFrame, domain: str, rank: Column, tie: str) -> DataFrame:
     """(columns, turn): one row of each domain per turn, domains in order within a turn.
 

@@ -190,9 +190,9 @@ def flt4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("srt17_reverse_index", "SELECT row_id, row_number() OVER (ORDER BY ord, row_id) - 1 AS old_place, ord AS new_place FROM source_rows QUALIFY old_place < 500")
 def srt17(spark: SparkSession, d: str) -> DataFrame:
-    """The inverse of a permutation: pairs (place, id) swapped, with a check that ids are unique."""
-    rows = load(spark, d, "source_rows").orderBy("ord", "row_id").limit(500)
-    return rows.select("row_id", (F.row_number().over(Window.orderBy("ord", "row_id")) - 1).alias("old_place"), F.col("ord").alias("new_place"))
+    """The inverse of a permutation of all rows, which is checked to be one; the SQL asks for its first 500 places."""
+    rows = sampling.inverse_permutation(load(spark, d, "source_rows").select("row_id", "ord"), "ord", "row_id", "old_place")
+    return rows.filter("old_place < 500").select("row_id", "old_place", F.col("ord").alias("new_place"))
 
 
 @query("srt19_sampler_order", f"SELECT row_id, row_number() OVER (ORDER BY sha256(concat('r:', row_id)), row_id) AS place FROM source_rows QUALIFY place <= 300")

@@ -173,6 +173,18 @@ def test_balancing_of_all_batches(spark, tmp_path):
             assert len(own) == k and max(own) - min(own) <= max(size.values())
 
 
+def test_inverse_permutation_of_all_rows(spark, tmp_path):
+    """All rows are inverted, and an id that stands twice is found wherever it is."""
+    ids = [(7 * i) % 800 for i in range(800)]
+    rows = spark.createDataFrame(list(enumerate(ids)), "row_id bigint, ord bigint")
+    assert sorted((r.old_place, r.row_id) for r in sampling.inverse_permutation(rows, "ord", "row_id", "old_place").collect()) == sorted((j, i) for i, j in enumerate(ids))
+    for bad in (798, -1, 800, None):
+        path = str(tmp_path / str(bad))
+        rows.withColumn("ord", F.when(F.col("ord") == 799, F.lit(bad)).otherwise(F.col("ord"))).write.parquet(f"{path}/source_rows.parquet")
+        with pytest.raises(ValueError, match="no permutation"):
+            catalog.QUERIES["srt17_reverse_index"](spark, path).collect()
+
+
 def test_bootstrap_draws_from_all_values(spark, tmp_path):
     """The figures are those of resamples drawn from all sorted values of a group, not from its smallest."""
     values = {"a": [float(i) for i in range(500)], "b": [7.0], "c": [-1.5, 2.5, 2.5]}
