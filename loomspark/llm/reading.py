@@ -333,8 +333,7 @@ class Reader:
         en = lang.langs.index("en")
         english = np.delete(scores, en, axis=1).max(axis=1) - scores[:, en] < FOREIGN
         prose = np.bincount(owner, sizes * english, len(found))
-        everything = np.bincount(owner, sizes, len(found))
-        good = (prose >= MIN_WORDS) & (prose >= [other for _, other in found]) & (2 * prose >= everything)
+        good = (prose >= MIN_WORDS) & (prose >= [other for _, other in found])
         keep = english & good[owner]
         picked = [i for i in range(len(found)) if good[i]]
         docs, at = [], 0

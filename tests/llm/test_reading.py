@@ -56,3 +56,15 @@ def test_frame(spark):
     assert np.mean([got[i] == 1 + i % 4 for i in range(48, 80)]) > 0.9
     assert reading_levels(docs.limit(0), labels).count() == 0
     assert reading_levels(docs, labels.limit(0)).count() == 0
+
+
+def test_english_prose_beside_more_of_another_language(spark):
+    """60 English words have a level, though the German ones around them are more."""
+    rng = random.Random(3)
+    rows = [(i, document(rng, 1 + i % 4), "en") for i in range(48)] + [(i, DE * 12, "de") for i in range(100, 120)]
+    english = " ".join(LEVELS[1][i % 4] for i in range(10))
+    rows += [(300, f"{english}\n\n{DE * 6}", "de"), (301, f"{english[:60]}\n\n{DE * 6}", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 + i % 4) for i in range(48)], "doc_id bigint, reading_level int")
+    got = {r.doc_id: r.reading_level for r in reading_levels(docs, labels).collect()}
+    assert set(got) == {*range(48), 300} and got[300] == 1
