@@ -1,12 +1,16 @@
 """A sample whose shares follow target categories, by min-cost flow over cross-classified cell counts.
 
 Records are counted by cell (split and labels, folded onto the vocabulary of the targets, so that the number of cells is
-bounded by the targets, not by the data). For a plan the network is source -> target (the rows it asks for) -> matching
-cell (how many of its rows the target takes) -> sink (how many rows the cell has); a slack arc from each target to the
-sink takes what cannot be met, at a cost above everything else. The arcs into cells are priced so that a target takes
-its cells in proportion; the odd rows are settled by random prices, which draws the integer quotas at random (by a
-seed). The quotas are then drawn from the records by hash rank, found through counts of hash buckets, so that no cell is
-ever sorted as a whole.
+bounded by the targets, not by the data). For a plan of n rows the network is source -> plan (n rows; more only where the
+floors alone need more) -> target (one arc for its floor, one for the rest of its quota) -> matching cell (how many of its
+rows the target takes) -> sink (how many rows the cell has); a slack arc from the plan to the sink takes what cannot be
+met. Quotas share n in proportion; where floors lift some targets, the others give up rows in proportion.
+
+Prices are whole numbers. The arcs into cells are priced so that a target takes its cells in proportion; odd rows are
+settled by random prices, which draws the integer quotas at random (by a seed). The rest of a quota is dearer than any
+path over the cells, so floors are filled first, and slack is dearer than both together: rows that exist are never
+reported as missing. The quotas are then drawn from the records by hash rank, found through counts of hash buckets, so
+that no cell is ever sorted as a whole.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import heapq
 import math
 from collections import defaultdict
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +28,8 @@ from pyspark.sql.window import Window
 
 LABELS = ("domain", "difficulty", "topic")
 OTHER = "\x00other"
-MAX_TARGETS = 10_000
-BUCKETS = 4096
-SLACK = 1_000_000.0
+#: Prices of a row in a cell: the odd row of a fair quota (ODD to twice that, at random), rows beyond it (each doubling STEP dearer).
+ODD, BEYOND, STEP = 1_000, 4_000, 100
 
 
 def fold_label(value: Column) -> Column:
@@ -38,15 +42,15 @@ def fold_text(value: str | None) -> str | None:
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths with potentials (costs are not negative)."""
+    """Min-cost flow by successive shortest paths with potentials; costs are whole numbers and not negative."""
 
     def __init__(self) -> None:
         self.to: list[int] = []
         self.cap: list[int] = []
-        self.cost: list[float] = []
+        self.cost: list[int] = []
         self.out: dict[int, list[int]] = defaultdict(list)
 
-    def arc(self, a: int, b: int, cap: int, cost: float) -> int:
+    def arc(self, a: int, b: int, cap: int, cost: int) -> int:
         for x, y, c, p in ((a, b, cap, cost), (b, a, 0, -cost)):
             self.out[x].append(len(self.to))
             self.to.append(y)
@@ -58,23 +62,25 @@ class Flow:
         return self.cap[arc ^ 1]
 
     def run(self, source: int, sink: int) -> None:
-        potential: dict[int, float] = defaultdict(float)
+        potential: dict[int, int] = defaultdict(int)
         while True:
-            dist, via, heap = {source: 0.0}, {}, [(0.0, source)]
+            dist, via, done, heap = {source: 0}, {}, set(), [(0, source)]
             while heap:
                 d, x = heapq.heappop(heap)
-                if d > dist[x] + 1e-12:
+                if x in done:
                     continue
+                done.add(x)
                 for e in self.out[x]:
-                    if self.cap[e] > 0:
-                        n = d + max(0.0, self.cost[e] + potential[x] - potential[self.to[e]])
-                        if n < dist.get(self.to[e], math.inf) - 1e-9:
+                    if self.cap[e] > 0 and self.to[e] not in done:
+                        n = d + self.cost[e] + potential[x] - potential[self.to[e]]
+                        if self.to[e] not in dist or n < dist[self.to[e]]:
                             dist[self.to[e]], via[self.to[e]] = n, e
                             heapq.heappush(heap, (n, self.to[e]))
             if sink not in dist:
                 return
-            for x, d in dist.items():
-                potential[x] += d
+            far = dist[sink]
+            for x in list(self.out):
+                potential[x] += min(dist.get(x, far), far)
             push, x = None, sink
             while x != source:
                 e = via[x]
@@ -94,6 +100,7 @@ class Target:
     split: str
     labels: tuple[str | None, ...]
     share: float
+    floor: int
     need: int
     rows: int
 
@@ -110,34 +117,76 @@ def floor_product(a: float, b: float) -> int:
     return math.floor(round(a * b, 9))
 
 
+def quotas(targets: list[Target], n: int, seed: str) -> dict[int, int]:
+    """Whole rows of each target: n shared in proportion above the floors, odd rows drawn by larger chance.
+
+    Where all floors together exceed n, each target gets its floor.
+    """
+    shares = {t.target_id: Fraction(max(0.0, t.share)).limit_denominator(10**9) for t in targets}
+    floors = {t.target_id: t.floor for t in targets}
+    total = min(Fraction(1), sum(shares.values(), Fraction(0)))
+    left, free = Fraction(math.floor(total * n)), set(shares)
+    if sum(floors.values()) >= left:
+        return floors
+    fair: dict[int, Fraction] = {}
+    while free:
+        weight = sum((shares[t] for t in free), Fraction(0))
+        lifted = {t for t in free if weight == 0 or shares[t] * left / weight < floors[t]}
+        if not lifted:
+            fair.update({t: shares[t] * left / weight for t in free})
+            break
+        free -= lifted
+        for t in lifted:
+            fair[t] = Fraction(floors[t])
+            left -= floors[t]
+    out = {t: math.floor(x) for t, x in fair.items()}
+    odd = round(sum(fair.values(), Fraction(0))) - sum(out.values())
+    chance = {t: float(fair[t] - out[t]) for t in out if fair[t] > out[t]}
+    for t in sorted(chance, key=lambda t: -math.log(max(1e-12, _unit(seed, t))) / chance[t])[:odd]:
+        out[t] += 1
+    return out
+
+
 def solve(targets: list[Target], cells: dict[tuple, int], asked: dict[int, int], seed: str) -> tuple[dict[int, int], dict[tuple[int, tuple], int]]:
-    """(slack of each target, rows that a target takes of a cell) of one plan."""
-    flow, source, sink = Flow(), 0, 1
-    node = {t.target_id: 2 + i for i, t in enumerate(targets)}
-    at = {c: 2 + len(targets) + i for i, c in enumerate(sorted(cells))}
-    slack, arcs = {}, []
-    for c, n in cells.items():
-        flow.arc(at[c], sink, n, 0.0)
+    """(rows missing of each target's quota, rows that a target takes of a cell) of one plan."""
+    flow, source, sink, plan = Flow(), 0, 1, 2
+    node = {t.target_id: 3 + i for i, t in enumerate(targets)}
+    order = sorted(cells)
+    at = {c: 3 + len(targets) + i for i, c in enumerate(order)}
+    arcs, into = [], {}
+    # No path enters more cells than there are targets; whatever it pays there is less than `rest`, and both than `slack`.
+    rest = (BEYOND + 64 * STEP) * (len(targets) + 1)
+    slack = 4 * rest
+    wanted = sum(asked.values())
+    flow.arc(source, plan, wanted, 0)
+    flow.arc(plan, sink, wanted, slack)
+    for c in order:
+        flow.arc(at[c], sink, cells[c], 0)
     for t in targets:
-        flow.arc(source, node[t.target_id], asked[t.target_id], 0.0)
-        slack[t.target_id] = flow.arc(node[t.target_id], sink, asked[t.target_id], SLACK)
-        own = [c for c in sorted(cells) if t.matches(c)]
+        low = min(t.floor, asked[t.target_id])
+        into[t.target_id] = [flow.arc(plan, node[t.target_id], low, 0), flow.arc(plan, node[t.target_id], asked[t.target_id] - low, rest)]
+        own = [c for c in order if t.matches(c)]
         total = sum(cells[c] for c in own)
-        for c in own:
-            fair = asked[t.target_id] * cells[c] / total
-            low = min(cells[c], math.floor(fair))
-            arcs.append((t.target_id, c, flow.arc(node[t.target_id], at[c], low, 0.0)))
-            if cells[c] > low:
-                # The odd row: cells with larger fractions are more likely, one draw per cell and seed.
-                chance = max(1e-9, fair - low)
-                arcs.append((t.target_id, c, flow.arc(node[t.target_id], at[c], 1, 1.0 + -math.log(max(1e-12, _unit(seed, t.target_id, c))) / chance / 1e3 if chance < 1 else 1.0)))
-                arcs.append((t.target_id, c, flow.arc(node[t.target_id], at[c], cells[c] - low - 1, 5e4)))
+        fair = {c: Fraction(min(asked[t.target_id], total) * cells[c], total) for c in own if cells[c]}
+        chance = {c: float(x - math.floor(x)) for c, x in fair.items() if x > math.floor(x)}
+        drawn = sorted(chance, key=lambda c: -math.log(max(1e-12, _unit(seed, t.target_id, c))) / chance[c])
+        price = {c: ODD + ODD * k // len(drawn) for k, c in enumerate(drawn)}
+        for c, x in fair.items():
+            steps = [(math.floor(x), 0)]
+            if c in price:
+                steps.append((1, price[c]))
+            have, cost = sum(n for n, _ in steps), BEYOND
+            while have < cells[c]:
+                more = min(cells[c] - have, max(1, have))
+                steps.append((more, cost))
+                have, cost = have + more, min(cost + STEP, BEYOND + 63 * STEP)
+            arcs += [(t.target_id, c, flow.arc(node[t.target_id], at[c], n, p)) for n, p in steps if n]
     flow.run(source, sink)
     taken: dict[tuple[int, tuple], int] = defaultdict(int)
     for t, c, e in arcs:
         if flow.used(e):
             taken[t, c] += flow.used(e)
-    return {t: flow.used(e) for t, e in slack.items()}, dict(taken)
+    return {t: asked[t] - sum(map(flow.used, e)) for t, e in into.items()}, dict(taken)
 
 
 class Mixture:
@@ -148,9 +197,8 @@ class Mixture:
         matches no target that names one. Empty pools leave every target that asks for rows unmet.
         """
         self.pool, self.seed, self.labels = pool, seed, labels
-        rows = targets.select("target_id", "plan_name", F.lower(F.trim("split")).alias("split"), "sample_fraction", *labels, "target_share", "min_rows").filter("target_id is not null").limit(MAX_TARGETS + 1).collect()
-        if len(rows) > MAX_TARGETS:
-            raise ValueError(f"more than {MAX_TARGETS} targets")
+        # The targets are the specification of the job: they are read whole, as its parameters are.
+        rows = targets.select("target_id", "plan_name", F.lower(F.trim("split")).alias("split"), "sample_fraction", *labels, "target_share", "min_rows").filter("target_id is not null").collect()
         words = {x: sorted({fold_text(r[x]) for r in rows} - {None}) for x in labels}
         folded = []
         for x in labels:
@@ -169,30 +217,26 @@ class Mixture:
             total = sum(self.cells[r.split].values())
             n = floor_product(r.sample_fraction or 0.0, total)
             need = max(floor_product(r.target_share or 0.0, n), r.min_rows or 0)
-            self.targets.append(Target(r.target_id, r.plan_name, r.split, tuple(fold_text(r[x]) for x in labels), r.target_share or 0.0, need, n))
+            self.targets.append(Target(r.target_id, r.plan_name, r.split, tuple(fold_text(r[x]) for x in labels), r.target_share or 0.0, max(0, r.min_rows or 0), need, n))
 
     def unmet(self) -> list[int]:
-        """Targets whose slack arc carries flow when the target has all its cells to itself."""
+        """Targets that miss rows when each has all its cells to itself: its floor and quota against a flow of its own."""
         return [t.target_id for t in self.targets if solve([t], self._own(t), {t.target_id: t.need}, self.seed)[0][t.target_id] > 0]
 
     def _own(self, t: Target) -> dict[tuple, int]:
         return {c: n for c, n in self.cells[t.split].items() if t.matches(c)}
 
-    def plans(self) -> dict[str, tuple[dict[int, int], dict[int, int], dict[tuple[int, tuple], int]]]:
-        """plan -> (asked, slack, taken), with all targets of a plan sharing the cells."""
-        by_plan: dict[str, list[Target]] = defaultdict(list)
+    def plans(self) -> dict[tuple[str, str], tuple[dict[int, int], dict[int, int], dict[tuple[int, tuple], int]]]:
+        """(plan, split) -> (asked, missing, taken), with all targets of a plan in a split sharing the cells."""
+        by_plan: dict[tuple[str, str], list[Target]] = defaultdict(list)
         for t in self.targets:
-            by_plan[t.plan].append(t)
+            by_plan[t.plan, t.split].append(t)
         out = {}
-        for plan, targets in by_plan.items():
-            asked = {t.target_id: t.need for t in targets}
-            odd = targets[0].rows - sum(floor_product(t.share, t.rows) for t in targets)
-            # Rows lost to rounding down go to targets at random, larger fractions first in chance.
-            order = sorted(targets, key=lambda t: -math.log(max(1e-12, _unit(self.seed, plan, t.target_id))) / max(1e-9, t.share * t.rows - floor_product(t.share, t.rows)))
-            for t in order[: max(0, min(odd, len(order)))]:
-                asked[t.target_id] = max(asked[t.target_id], floor_product(t.share, t.rows) + 1)
-            cells = {c: n for c, n in self.cells[targets[0].split].items() if any(t.matches(c) for t in targets)}
-            out[plan] = (asked, *solve(targets, cells, asked, f"{self.seed}:{plan}"))
+        for (plan, split), targets in by_plan.items():
+            seed = f"{self.seed}:{plan}"
+            asked = quotas(targets, targets[0].rows, seed)
+            cells = {c: n for c, n in self.cells[split].items() if any(t.matches(c) for t in targets)}
+            out[plan, split] = (asked, *solve(targets, cells, asked, seed))
         return out
 
 
@@ -203,31 +247,34 @@ def unmet_targets(pool: DataFrame, targets: DataFrame, seed: str = "mix") -> Dat
 
 
 def mixture_report(pool: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """(target_id, plan_name, asked, available, drawn, shortfall) of every target when its plan is drawn."""
+    """(target_id, plan_name, need, asked, available, drawn, shortfall) of every target when its plan is drawn.
+
+    need: the greater of its share and its floor; asked: its quota within the rows of the plan, below `need` where floors
+    of other targets take rows; shortfall: rows of the quota that are not there or went to other targets.
+    """
     mix = Mixture(pool, targets, seed)
     plans = mix.plans()
     rows = []
     for t in mix.targets:
-        asked, slack, _ = plans[t.plan]
-        rows.append((t.target_id, t.plan, asked[t.target_id], sum(mix._own(t).values()), asked[t.target_id] - slack[t.target_id], slack[t.target_id]))
-    return pool.sparkSession.createDataFrame(rows, "target_id bigint, plan_name string, asked bigint, available bigint, drawn bigint, shortfall bigint")
+        asked, missing, _ = plans[t.plan, t.split]
+        rows.append((t.target_id, t.plan, t.need, asked[t.target_id], sum(mix._own(t).values()), asked[t.target_id] - missing[t.target_id], missing[t.target_id]))
+    return pool.sparkSession.createDataFrame(rows, "target_id bigint, plan_name string, need bigint, asked bigint, available bigint, drawn bigint, shortfall bigint")
 
 
 def draw_mixture(pool: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """(plan_name, target_id, sample_id): the drawn records; within a plan a record is drawn once."""
+    """(plan_name, target_id, sample_id): the drawn records; within a plan a record of a split is drawn once."""
     mix = Mixture(pool, targets, seed)
-    split = {t.plan: t.split for t in mix.targets}
     quotas = []
-    for plan, (_, _, taken) in mix.plans().items():
+    for (plan, split), (_, _, taken) in mix.plans().items():
         upto: dict[tuple, int] = defaultdict(int)
         for (target, cell), n in sorted(taken.items()):
-            quotas.append((plan, target, split[plan], *cell, upto[cell], upto[cell] + n))
+            quotas.append((plan, target, split, *cell, upto[cell], upto[cell] + n))
             upto[cell] += n
     columns = ", ".join(f"{c} string" for c in mix.cell_columns)
     spark = pool.sparkSession
     quota = spark.createDataFrame(quotas, f"plan_name string, target_id bigint, {columns}, low bigint, high bigint")
     tops = quota.groupBy("plan_name", *mix.cell_columns).agg(F.max("high").alias("top"))
-    rows = mix.records.join(F.broadcast(tops), mix.cell_columns)  # at most targets x cells rows
+    rows = mix.records.join(tops, mix.cell_columns)  # Spark broadcasts the quotas if they are small
     digest = F.sha2(F.concat_ws(":", F.lit(seed), "plan_name", "sample_id"), 256)
     rows = rows.withColumn("rank_key", digest).withColumn("bucket", F.conv(F.substring("rank_key", 1, 3), 16, 10).cast("int"))
     group = ["plan_name", *mix.cell_columns]
@@ -237,4 +284,4 @@ def draw_mixture(pool: DataFrame, targets: DataFrame, seed: str = "mix") -> Data
     rows = rows.join(sizes, [*group, "bucket"]).filter("before < top")
     inside = Window.partitionBy(*group, "bucket").orderBy("rank_key", "sample_id")
     rows = rows.withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
-    return rows.join(F.broadcast(quota), group).filter("rank >= low and rank < high").select("plan_name", "target_id", "sample_id")
+    return rows.join(quota, group).filter("rank >= low and rank < high").select("plan_name", "target_id", "sample_id")
