@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.llm.rolling import WordCodes, is_set, rolling, slots
 from loomspark.session import checkpoint
 
 BLOCK_WORDS = 200_000
@@ -336,12 +336,12 @@ def seeds_of(texts: DataFrame, min_words: int, tolerance: int) -> tuple[list[int
     """The lengths of the items' seeds, and a bitmap of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: set[tuple[int, int]] = set()
+        coded, places = WordCodes(), set()
         for batch in batches:
             for words in batch.column(0).to_pylist():
                 q = seed_of(len(words), min_words, tolerance)
-                slots.update((q, int(x)) for x in slots_of(np.array([zlib.crc32(w.encode()) for w in words], np.uint64), q))
-        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in slots], pa.int32()), pa.array([x for _, x in slots], pa.int32())], ["q", "slot"])
+                places.update((q, x) for x in slots(rolling(coded(words), q), SEED_BITS).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in places], pa.int32()), pa.array([x for _, x in places], pa.int32())], ["q", "slot"])
 
     bits, sizes = np.zeros(1 << SEED_BITS, bool), set()
     for batch in texts.select("words").mapInArrow(run, "q int, slot int").distinct().toArrow().to_batches():  # at most 2**24 slots a length
@@ -350,18 +350,6 @@ def seeds_of(texts: DataFrame, min_words: int, tolerance: int) -> tuple[list[int
     return sorted(sizes), np.packbits(bits)
 
 
-def slots_of(words: np.ndarray, q: int) -> np.ndarray:
-    """Places in the bitmap of all runs of q word hashes."""
-    n = len(words) - q + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    h = np.full(n, q, np.uint64)
-    for k in range(q):
-        h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h >> np.uint64(64 - SEED_BITS)).astype(np.int64)
-
-
 _AUTOMATA: dict[str, Automaton] = {}
 
 
@@ -384,22 +372,14 @@ def sharing_seeds(docs: DataFrame, texts: DataFrame, min_words: int, tolerance:
     shared = docs.sparkSession.sparkContext.broadcast(seeds_of(texts, min_words, tolerance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (sizes, bits), cache = shared.value, {}
+        (sizes, bits), coded = shared.value, WordCodes()
 
         def shares(text: str) -> bool:
-            hashes = []
-            for w in words_of(text):
-                h = cache.get(w)
-                if h is None:
-                    h = cache[w] = zlib.crc32(w.encode())
-                hashes.append(h)
-            codes = np.array(hashes, np.uint64)
-            return any(((bits[(s := slots_of(codes, q)) >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).any() for q in sizes)
+            codes = coded(words_of(text))
+            return any(is_set(bits, slots(rolling(codes, q), SEED_BITS)).any() for q in sizes)
 
         for batch in batches:
             yield batch.filter(pa.array(map(shares, batch.column(1).to_pylist()), pa.bool_()))
-            if len(cache) > 1_000_000:
-                cache.clear()
 
     return docs.mapInArrow(run, docs.schema)
 

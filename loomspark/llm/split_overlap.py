@@ -6,29 +6,42 @@ Two prompts overlap if the edit distance of their words is at most a sixth of th
 2. An evaluation text of n words can have at most k = n // 5 edits against any partner, so of k + 1 disjoint shingles at
    least one survives: the rarest such choice (by dynamic programming over a count-min sketch of training shingles, of
    fixed size) is its prefix in the index.
-3. Training texts probe the index with their shingles. A candidate passes the length filter, the position filter (the
-   shingle moved by no more than the allowed edits) and the prefix filter (with e edits allowed for this pair, one of the
-   rarest e + 1 chosen shingles is shared, so the others do not count).
+3. Training texts probe the index with their shingles. A bitmap of the index's shingles, of fixed size, is applied before
+   anything is shuffled, so that only shingles leave a task that are in the index (and few others). A candidate passes the
+   length filter, the position filter (the shingle moved by no more than the allowed edits), the prefix filter (with e
+   edits allowed for this pair, one of the rarest e + 1 chosen shingles is shared, so the others do not count) and the
+   word filter (an edit changes at most two bits of the 128 that the words of a text set).
 4. Candidates are verified: by the JVM's bounded Levenshtein distance over one character per word (a lower bound), then
    exactly over the words.
 
-Pairs of texts are expanded to pairs of records at the end. Hot shingles are spread over `SALTS` parts of the training
-side; hot texts (many records with one prompt) over parts in proportion to their size.
+Pairs of texts are expanded to pairs of records at the end. A shingle is spread over parts of the training side in
+proportion to its count in the sketch; hot texts (many records with one prompt) over parts in proportion to their size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.llm.rolling import WordCodes, is_set, rolling, slots
 from loomspark.session import checkpoint
 
 SKETCH_BITS = 18
-SALTS = 8
+#: Bits of the map of shingles in the index.
+INDEX_BITS = 24
+#: Training shingles of one hash that a part of the join takes.
+SHINGLES_PER_PART = 50_000
 RECORDS_PER_PART = 20_000
+#: Words of an evaluation text whose shingles are chosen together.
+WINDOW = 1_000
+#: Rows up to which a checkpointed side of a join is broadcast.
+FEW_ROWS = 200_000
 EVAL, TRAIN = ("val", "test"), ("sft", "opd")
 
 
@@ -37,20 +50,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingle_size(n: Column) -> Column:
-    return F.when(n >= 20, 4).when(n >= 10, 3).when(n >= 5, 2).otherwise(0)
+def shingle_size(n: int) -> int:
+    return 4 if n >= 20 else 3 if n >= 10 else 2
 
 
-def shingles(ws: Column, q: int) -> Column:
-    n = F.size(ws)
-    return F.when(n >= q, F.transform(F.sequence(F.lit(1), F.greatest(n - (q - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(q), *[F.get(ws, i - 1 + j) for j in range(q)]))).otherwise(F.array().cast("array<long>"))
+def probe_sizes(n: int) -> list[int]:
+    """Sizes of the shingles of all texts that a text of n words can be near to."""
+    return sorted({shingle_size(m) for m in range(max(5, -(-5 * n // 6)), min(6 * n // 5, 20) + 1)} | ({4} if 6 * n // 5 >= 20 else set()))
 
 
 def choose_rarest(costs: np.ndarray, q: int, need: int) -> list[int]:
     """Starts of `need` disjoint shingles of q words with the smallest sum of costs."""
     n = len(costs) + q - 1
-    if n * need > 4_000_000:  # for very long texts any disjoint choice is as exact
-        return list(range(0, need * q, q))
     best = np.full((n + 1, need + 1), np.inf)
     best[:, 0] = 0
     for i in range(1, n + 1):
@@ -67,6 +78,14 @@ def choose_rarest(costs: np.ndarray, q: int, need: int) -> list[int]:
     return out[::-1]
 
 
+def prefix(costs: np.ndarray, q: int, need: int) -> list[int]:
+    """`need` disjoint shingles, the rarest first: the rarest choice of every window of the text, and of these the rarest."""
+    n = len(costs) + q - 1
+    edges = np.linspace(0, n, max(1, -(-n // WINDOW)) + 1).astype(int)
+    chosen = [a + x for a, b in zip(edges, edges[1:]) for x in choose_rarest(costs[a : b - q + 1], q, (b - a) // 5 + 1)]
+    return sorted(chosen, key=lambda i: costs[i])[:need]
+
+
 def within(a: list[str], b: list[str], k: int) -> bool:
     """Is the edit distance of two word lists at most k?"""
     if abs(len(a) - len(b)) > k:
@@ -99,43 +118,125 @@ def _characters(ws: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
-def overlapping_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_key, right_key) of near but unequal texts; both sides have (key, words) of distinct texts."""
-    spark = left.sparkSession
-    sides = [d.select("key", "words", F.size("words").alias("n")).filter("n >= 5") for d in (left, right)]
-    a, b = sides
-    probes = b.select("key", "n", F.explode(F.array_distinct(F.array(*[F.when((F.ceil(F.col("n") * 5 / 6) < high) & (F.floor(F.col("n") * 6 / 5) >= low), F.lit(q)) for q, low, high in ((2, 5, 10), (3, 10, 20), (4, 20, 1 << 30))]))).alias("q"), "words").filter("q is not null")
-    grams = F.when(F.col("q") == 4, shingles(F.col("words"), 4)).when(F.col("q") == 3, shingles(F.col("words"), 3)).otherwise(shingles(F.col("words"), 2))
-    # The outer form: a plain explode would infer a filter on the array's size and compute the shingles twice.
-    probes = probes.select("key", "n", F.posexplode_outer(grams).alias("at", "gram")).filter("gram is not null")
-    bucket = F.pmod(F.col("gram"), F.lit(1 << SKETCH_BITS))
+def _marks(codes: np.ndarray) -> tuple[int, int]:
+    """128 bits, in two whole numbers, set by the words of a text."""
+    bit = np.uint64(1) << (codes & np.uint64(63))
+    high = (codes >> np.uint64(6) & np.uint64(1)).astype(bool)
+    return int(np.bitwise_or.reduce(bit[high], initial=np.uint64(0)).astype(np.int64)), int(np.bitwise_or.reduce(bit[~high], initial=np.uint64(0)).astype(np.int64))
+
+
+def sketch_of(texts: DataFrame) -> np.ndarray:
+    """Counts of the shingles of texts (t) in 2**SKETCH_BITS buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded, total = WordCodes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for t in batch.column(0).to_pylist():
+                codes = coded(t.split(" "))
+                found += [rolling(codes, q) for q in probe_sizes(len(codes))]
+            total += np.bincount(slots(np.concatenate(found), SKETCH_BITS), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
     sketch = np.zeros(1 << SKETCH_BITS)
-    for r in probes.groupBy(bucket.cast("int").alias("bucket")).count().collect():  # at most 2**18 rows
-        sketch[r["bucket"]] = r["count"]
-    shared = spark.sparkContext.broadcast(sketch)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def chosen(gram_lists: pd.Series, ns: pd.Series) -> pd.Series:
-        out = []
-        for g, n in zip(gram_lists, ns):
-            q = 4 if n >= 20 else 3 if n >= 10 else 2
-            costs = shared.value[np.asarray(g, np.int64) % (1 << SKETCH_BITS)]
-            out.append(sorted(choose_rarest(costs, q, int(n) // 5 + 1), key=lambda i: costs[i]))
-        return pd.Series(out)
-
-    q = shingle_size(F.col("n"))
-    own = F.when(q == 4, shingles(F.col("words"), 4)).when(q == 3, shingles(F.col("words"), 3)).otherwise(shingles(F.col("words"), 2))
-    index = a.select("key", "n", own.alias("grams")).withColumn("starts", chosen("grams", "n"))
-    index = index.select(F.col("key").alias("left_key"), F.col("n").alias("left_n"), F.posexplode("starts").alias("place", "left_at"), "grams").select("left_key", "left_n", "left_at", "place", F.get("grams", F.col("left_at")).alias("gram"))
-    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    allowed = F.floor(F.greatest("left_n", "n") / 6).cast("int")
-    met = probes.join(index, ["gram", "salt"]).withColumn("k", allowed).filter("place <= k and abs(left_n - n) <= k and abs(left_at - at) <= k and left_key <> key")
-    candidates = met.select("left_key", F.col("key").alias("right_key"), "k").distinct()
-    short = [d.select(F.col("key").alias(f"{s}_key"), _characters(F.col("words")).alias(f"{s}_characters")) for d, s in ((a, "left"), (b, "right"))]
-    near = candidates.join(short[0], "left_key").join(short[1], "right_key").filter(F.expr("levenshtein(left_characters, right_characters, k) >= 0")).select("left_key", "right_key", "k")
-    whole = [d.select(F.col("key").alias(f"{s}_key"), F.col("words").alias(f"{s}_words")) for d, s in ((a, "left"), (b, "right"))]
-    near = near.join(whole[0], "left_key").join(whole[1], "right_key")
+    counts = texts.select("t").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2**18 rows
+    sketch[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    return sketch
+
+
+def parts_of(heat: np.ndarray) -> np.ndarray:
+    return (heat // SHINGLES_PER_PART).astype(np.int64) + 1
+
+
+def index_of(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(gram, part, left_key, left_n, left_at, place, left_high, left_low): the prefix of each text, for all parts."""
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = WordCodes()
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for key, t in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = coded(t.split(" "))
+                n, q = len(codes), shingle_size(len(codes))
+                grams = rolling(codes, q)
+                heat = shared.value[slots(grams, SKETCH_BITS)]
+                parts, signed, marks = parts_of(heat), grams.astype(np.int64), _marks(codes)
+                for place, at in enumerate(prefix(heat, q, n // 5 + 1)):
+                    for part in range(parts[at]):
+                        for column, x in zip(out, (int(signed[at]), part, key, n, at, place, *marks)):
+                            column.append(x)
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(out, types)], names)
+
+    schema = "gram bigint, part int, left_key binary, left_n int, left_at int, place int, left_high bigint, left_low bigint"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return texts.select("key", "t").mapInArrow(run, schema)
+
+
+def bitmap_of(index: DataFrame) -> np.ndarray:
+    """The shingles of the index as a packed bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots(batch.column(0).to_numpy().astype(np.uint64), INDEX_BITS)).astype(np.int32))], ["slot"])
+
+    bits = np.zeros(1 << INDEX_BITS, bool)
+    for batch in index.select("gram").mapInArrow(run, "slot int").distinct().toArrow().to_batches():  # at most 2**24 slots
+        bits[batch.column(0).to_numpy()] = True
+    return np.packbits(bits)
+
+
+def probes_of(texts: DataFrame, sketch: np.ndarray, bitmap: np.ndarray) -> DataFrame:
+    """(gram, part, right_key, n, at, high, low): the shingles of texts that the index may hold."""
+    shared = texts.sparkSession.sparkContext.broadcast((sketch, bitmap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded, (sketch, bitmap) = WordCodes(), shared.value
+        for batch in batches:
+            grams, owner, places, sizes, marks = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                codes = coded(t.split(" "))
+                sizes.append(len(codes))
+                marks.append(_marks(codes))
+                for q in probe_sizes(len(codes)):
+                    own = rolling(codes, q)
+                    at = np.flatnonzero(is_set(bitmap, slots(own, INDEX_BITS)))
+                    grams.append(own[at])
+                    places.append(at)
+                    owner.append(np.full(len(at), i))
+            if not grams:
+                continue
+            gram, at, row = np.concatenate(grams), np.concatenate(places), np.concatenate(owner)
+            lead = np.array([int.from_bytes(k[:4], "big") for k in batch.column(0).to_pylist()], np.int64)
+            part = lead[row] % parts_of(sketch[slots(gram, SKETCH_BITS)])
+            n, (high, low) = np.array(sizes, np.int32), np.array(marks, np.int64).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.astype(np.int64)), pa.array(part.astype(np.int32)), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(at.astype(np.int32)), pa.array(high[row]), pa.array(low[row])],
+                ["gram", "part", "right_key", "n", "at", "high", "low"],
+            )
+
+    return texts.select("key", "t").mapInArrow(run, "gram bigint, part int, right_key binary, n int, at int, high bigint, low bigint")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A checkpointed side of a join: broadcast if it was counted to be small, shuffled otherwise."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def overlapping_texts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_key, right_key) of near but unequal texts; both sides have (key, t, n) of distinct texts, their words by spaces."""
+    a, b = left.filter("n >= 5"), right.filter("n >= 5")
+    sketch = sketch_of(b)
+    index = checkpoint(index_of(a, sketch))
+    met = probes_of(b, sketch, bitmap_of(index)).join(index, ["gram", "part"])
+    met = met.withColumn("k", F.floor(F.greatest("left_n", "n") / 6).cast("int"))
+    met = met.filter("place <= k and abs(left_n - n) <= k and abs(left_at - at) <= k and bit_count(left_high ^ high) + bit_count(left_low ^ low) <= 2 * k and left_key <> right_key")
+    candidates = few(checkpoint(met.select("left_key", "right_key", "k").distinct()))
+    texts = [d.select(F.col("key").alias(f"{s}_key"), F.split("t", " ").alias(f"{s}_words")) for d, s in ((a, "left"), (b, "right"))]
+    near = texts[1].join(few(checkpoint(texts[0].join(candidates, "left_key"))), "right_key")
+    near = near.withColumns({f"{s}_characters": _characters(F.col(f"{s}_words")) for s in ("left", "right")}).filter(F.expr("levenshtein(left_characters, right_characters, k) >= 0"))
     return near.filter(_within("left_words", "right_words", "k")).select("left_key", "right_key")
 
 
@@ -147,9 +248,10 @@ def split_overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "s
     """
     split = F.lower(F.trim(F.col(split_col)))
     rows = df.select(F.col(id_col).cast("string").alias("id"), split.isin(*eval_splits).alias("held"), F.col(text_col).alias("t")).filter(split.isin(*eval_splits, *train_splits))
-    rows = rows.filter("id is not null and t is not null").select("id", "held", words(F.col("t")).alias("words")).filter("size(words) > 0")
-    rows = rows.select("id", "held", F.unhex(F.md5(F.array_join("words", " ").cast("binary"))).alias("key"), "words")
-    texts = checkpoint(rows.groupBy("held", "key").agg(F.first("words").alias("words"), F.count("*").alias("copies")))
+    rows = rows.filter("id is not null and t is not null").select("id", "held", F.array_join(words(F.col("t")), " ").alias("t")).filter("t <> ''")
+    rows = rows.withColumn("key", F.unhex(F.md5(F.col("t").cast("binary"))))
+    texts = checkpoint(rows.groupBy("held", "key").agg(F.first("t").alias("t"), F.count("*").alias("copies")))
+    texts = texts.withColumn("n", F.size(F.split("t", " ")))
     left, right = texts.filter("held"), texts.filter("not held")
     equal = left.select(F.col("key").alias("left_key")).join(right.select(F.col("key").alias("right_key")), F.col("left_key") == F.col("right_key"))
     pairs = equal.unionByName(overlapping_texts(left, right))
@@ -160,6 +262,7 @@ def split_overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "s
     pairs = pairs.join(parts(left, "left"), "left_key").join(parts(right, "right"), "right_key")
     # Each pair of texts is repeated for the parts of its sides; a record lies in one part of its text.
     pairs = pairs.withColumn("left_part", F.explode(F.sequence(F.lit(0), F.col("left_parts") - 1))).withColumn("right_part", F.explode(F.sequence(F.lit(0), F.col("right_parts") - 1)))
+    pairs = few(checkpoint(pairs.select("left_key", "right_key", "left_part", "right_part")))
 
     def records(held: bool, name: str, out: str) -> DataFrame:
         side = rows.filter(F.col("held") == held).select(F.col("id").alias(out), F.col("key").alias(f"{name}_key")).distinct()

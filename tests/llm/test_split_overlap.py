@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from loomspark.llm.split_overlap import choose_rarest, overlap_report, split_overlaps, within
+from loomspark.llm.split_overlap import choose_rarest, overlap_report, prefix, split_overlaps, within
 
 SCHEMA = "sample_id string, split string, prompt string, source string, key string, words string, n int"
 
@@ -34,6 +34,28 @@ def test_chosen_shingles_are_disjoint_and_cheapest():
         assert len(got) == need and all(b - a >= q for a, b in zip(got, got[1:])) and got[-1] + q <= n
 
 
+def test_prefix_of_long_texts_is_rare_and_disjoint():
+    rng = np.random.default_rng(1)
+    for n in (20, 999, 1001, 12_345):
+        costs = rng.integers(1, 1000, n - 3).astype(float)
+        got = prefix(costs, 4, n // 5 + 1)
+        assert len(got) == n // 5 + 1 and all(b - a >= 4 for a, b in zip(sorted(got), sorted(got)[1:])) and max(got) + 4 <= n
+        assert list(costs[got]) == sorted(costs[got]) and (n < 999 or costs[got].mean() < 300)
+
+
+def test_heat_and_size_do_not_matter(spark, monkeypatch):
+    import loomspark.llm.split_overlap as m
+
+    rng = random.Random(9)
+    stock = [f"s{i}" for i in range(12)]
+    rows = [(f"id{i:03d}", "val" if i % 4 == 0 else "sft", " ".join(stock + [f"x{rng.randrange(3)}" for _ in range(rng.randint(0, 6))]), "s", "k", "w", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, m.split_overlaps(df).collect()))
+    monkeypatch.setattr(m, "SHINGLES_PER_PART", 7)
+    monkeypatch.setattr(m, "FEW_ROWS", 0)
+    assert len(want) > 100 and sorted(map(tuple, m.split_overlaps(df).collect())) == want
+
+
 def test_against_brute_force(spark):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(30)]
