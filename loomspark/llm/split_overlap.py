@@ -11,8 +11,7 @@ Two prompts overlap if the edit distance of their words is at most a sixth of th
    length filter, the position filter (the shingle moved by no more than the allowed edits), the prefix filter (with e
    edits allowed for this pair, one of the rarest e + 1 chosen shingles is shared, so the others do not count) and the
    word filter (an edit changes at most two bits of the 128 that the words of a text set).
-4. Candidates are verified: by the JVM's bounded Levenshtein distance over one character per word (a lower bound), then
-   exactly over the words.
+4. Candidates are verified: by the words that only the longer text has (a lower bound), then by the bounded edit distance.
 
 Pairs of texts are expanded to pairs of records at the end. A shingle is spread over parts of the training side in
 proportion to its count in the sketch; hot texts (many records with one prompt) over parts in proportion to their size.
@@ -20,6 +19,7 @@ proportion to its count in the sketch; hot texts (many records with one prompt)
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +46,8 @@ EVAL, TRAIN = ("val", "test"), ("sft", "opd")
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, without case."""
-    return F.regexp_extract_all(F.upper(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, without case, by spaces."""
+    return F.trim(F.regexp_replace(F.upper(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def shingle_size(n: int) -> int:
@@ -109,13 +109,13 @@ def within(a: list[str], b: list[str], k: int) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def _within(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([within(list(x), list(y), int(z)) for x, y, z in zip(a, b, k)], dtype=bool)
-
-
-def _characters(ws: Column) -> Column:
-    """One character of the basic plane per word; equal words have equal characters."""
-    code = F.transform(ws, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xC000)) + 0x1000), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+    """Are two texts at most k edits apart? They are not if the longer one has more than k words of its own."""
+    out = []
+    for x, y, z in zip(a, b, k):
+        x, y = x.split(" "), y.split(" ")
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        out.append((Counter(x) - Counter(y)).total() <= z and within(x, y, int(z)))
+    return pd.Series(out, dtype=bool)
 
 
 def _marks(codes: np.ndarray) -> tuple[int, int]:
@@ -233,11 +233,14 @@ def overlapping_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     met = probes_of(b, sketch, bitmap_of(index)).join(index, ["gram", "part"])
     met = met.withColumn("k", F.floor(F.greatest("left_n", "n") / 6).cast("int"))
     met = met.filter("place <= k and abs(left_n - n) <= k and abs(left_at - at) <= k and bit_count(left_high ^ high) + bit_count(left_low ^ low) <= 2 * k and left_key <> right_key")
-    candidates = few(checkpoint(met.select("left_key", "right_key", "k").distinct()))
-    texts = [d.select(F.col("key").alias(f"{s}_key"), F.split("t", " ").alias(f"{s}_words")) for d, s in ((a, "left"), (b, "right"))]
-    near = texts[1].join(few(checkpoint(texts[0].join(candidates, "left_key"))), "right_key")
-    near = near.withColumns({f"{s}_characters": _characters(F.col(f"{s}_words")) for s in ("left", "right")}).filter(F.expr("levenshtein(left_characters, right_characters, k) >= 0"))
-    return near.filter(_within("left_words", "right_words", "k")).select("left_key", "right_key")
+    candidates = checkpoint(met.select("left_key", "right_key", "k").distinct())
+
+    def texts(side: DataFrame, name: str) -> DataFrame:
+        side = side.select(F.col("key").alias(f"{name}_key"), F.col("t").alias(f"{name}_text"))
+        return side.join(few(candidates.select(f"{name}_key")), f"{name}_key", "left_semi")
+
+    near = few(candidates).join(texts(a, "left"), "left_key").join(texts(b, "right"), "right_key")
+    return near.filter(_within("left_text", "right_text", "k")).select("left_key", "right_key")
 
 
 def split_overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "split", text_col: str = "prompt", eval_splits: tuple[str, ...] = EVAL, train_splits: tuple[str, ...] = TRAIN) -> DataFrame:
@@ -248,8 +251,8 @@ def split_overlaps(df: DataFrame, id_col: str = "sample_id", split_col: str = "s
     """
     split = F.lower(F.trim(F.col(split_col)))
     rows = df.select(F.col(id_col).cast("string").alias("id"), split.isin(*eval_splits).alias("held"), F.col(text_col).alias("t")).filter(split.isin(*eval_splits, *train_splits))
-    rows = rows.filter("id is not null and t is not null").select("id", "held", F.array_join(words(F.col("t")), " ").alias("t")).filter("t <> ''")
-    rows = rows.withColumn("key", F.unhex(F.md5(F.col("t").cast("binary"))))
+    rows = rows.filter("id is not null and t is not null").select("id", "held", words(F.col("t")).alias("t")).filter("t <> ''")
+    rows = checkpoint(rows.withColumn("key", F.unhex(F.md5(F.col("t").cast("binary")))))
     texts = checkpoint(rows.groupBy("held", "key").agg(F.first("t").alias("t"), F.count("*").alias("copies")))
     texts = texts.withColumn("n", F.size(F.split("t", " ")))
     left, right = texts.filter("held"), texts.filter("not held")
