@@ -5,7 +5,7 @@ A pair is a user message and the assistant message right after it. Defects, of w
 * `empty`: no assistant message follows, or nothing is left after think blocks, markup and placeholders.
 * `truncated`: an open think block, code fence, formula, table row, emphasis or list marker at the end; or an ending
   without final punctuation to which a model of text endings gives a low likelihood.
-* `refusal`: a short answer whose first sentences decline.
+* `refusal`: a short answer whose first sentences decline, in the first person, to answer, and that says little beside.
 * `copied_question`: nearly all words of the answer stand in runs of the question, nearly all of which it gives back,
   and no answer of its own follows.
 * `other_language`: the language of most sentences of the answer differs from that of the question (posteriors of a
@@ -42,7 +42,7 @@ PAIRS_AT_ONCE = 200_000
 #: Rows that are judged together.
 ROWS_AT_ONCE = 1_000
 _THINK = re.compile(r"<think>.*?</think>", re.S | re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>|<\|[^<>|]{1,40}\|>")
+_TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>]+))*\s*/?>|<\|[\w.:-]+\|>")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _FORMULA = re.compile(r"\$\$.*?\$\$|\$[^$\n]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{(\w+\*?)\}.*?\\end\{\1\}|\\[A-Za-z]+", re.S)
 _WORD = re.compile(r"[^\W_]+")
@@ -50,16 +50,20 @@ _WORD = re.compile(r"[^\W_]+")
 _BRACE = re.compile(r"\\[A-Za-z]+(?:\{[^{}]*\})*\{|[{}]")
 #: Placeholders that stand for a missing answer.
 PLACEHOLDERS = {"", "na", "n a", "null", "none", "nil", "nan", "undefined", "tbd", "todo", "empty", "no answer", "no response", "not available", "not applicable", "placeholder", "answer", "response", "boxed", "text", "python", "endoftext", "pending", "missing", "unknown", "blank", "your answer here", "insert answer here", "answer here", "lorem ipsum"}
-#: Ways to decline.
+#: Ways to decline. The speaker declines to answer or to help; that something is impossible, needed or not
+#: allowed in the matter itself declines nothing.
 _DECLINE = re.compile(
-    r"(?:can(?:no|')?t|can not|unable to|(?:not|won't be) able to|won't|will not|not (?:permitted|allowed|authori[sz]ed) to|must|have to|need to)\b.{0,40}\b(?:help|assist|answer(?:ing)?|provid\w+|solv\w+|comply|respond|discuss|do (?:that|this)|fulfil\w*|support|shar\w+|engage|complete (?:this|that)|decline|refuse|pass on|pass)\b"
-    r"|(?:do not|don't|not) feel comfortable|against my \w+|outside (?:of )?what i|beyond what i|no answer can be given|(?:task|thing|topic|something|question) (?:that )?i(?: a|')m (?:not|un)|\bi (?:must |have to )?(?:respectfully )?(?:decline|refuse)\b|not (?:permitted|allowed) to (?:do|answer|discuss|help)"
-    r"|je dois (?:refuser|décliner)|m'est impossible|je ne (?:peux|puis|suis) pas|je refuse|pas autorisée? à"
-    r"|no puedo|no me está permitido|no me es posible|debo (?:rechazar|negarme|declinar)|me es imposible|no estoy autorizad|me niego"
-    r"|darf ich .{0,60}nicht|ich darf .{0,60}nicht|kann ich .{0,60}nicht|ich kann .{0,60}nicht|muss ich .{0,40}(?:ablehnen|verweigern)|ich muss .{0,40}(?:ablehnen|verweigern)|nicht möglich|nicht (?:beantworten|helfen)"
-    r"|не могу|не имею права|вынужден\w* отказ|отказываюсь|не разрешено|не вправе|нельзя мне|мне нельзя"
-    r"|无法|不能|不便|拒绝|抱歉|对不起|不可以|できません|お答えでき|申し訳",
-    re.S,
+    r"\bi\b[^.!?]*?\b(?:can(?:'|no)t|can not|won't|will not|unable|not able|not (?:permitted|allowed|authori[sz]ed|going))\b[^.!?]*?\b(?:help|assist|answer|provid|solv|comply|respond|discuss|fulfil|support|shar|engage|complet|do (?:that|this|so)\b)"
+    r"|\bi(?:'ll| will| would| must| have to| need to| am going to|'m going to|'d rather)?(?: have to| respectfully| politely)? (?:decline|refuse|pass on)\b"
+    r"|\bi(?:'m| am)? (?:do not|don't|not) (?:feel )?comfortable"
+    r"|\b(?:against|outside(?: of)?|beyond) (?:my (?:guidelines|rules|policy|policies|principles|instructions|programming|training|scope)|what i)\b"
+    r"|\bno (?:answer|solution|help|response) can be (?:given|provided|offered)\b|\b(?:task|thing|topic|something|question|request) (?:that )?i(?: a|')m (?:not|un)"
+    r"|\bje dois (?:refuser|décliner)|\bm'est impossible d|\bje ne (?:peux|puis) pas (?:\w+ )?(?:répond|aider|fournir|résoudre|traiter|donner|discuter)|\bje refuse|\bje ne suis pas (?:autorisée?|en mesure)"
+    r"|\bno (?:puedo|podré) (?:ayudar|responder|contestar|resolver|proporcionar|dar|cumplir|atender|hablar)|\bno me (?:está permitido|es posible) |\bdebo (?:rechazar|negarme|declinar)|\bme es imposible|\bno estoy autorizad|\bme niego"
+    r"|\bich\b[^.!?]*\b(?:nicht|keine?)\b[^.!?]*\b(?:beantwort|helfen|weiterhelfen|antwort|lösen|bearbeit|besprech|liefern|geben|unterstütz)|\b(?:muss|möchte|werde)\b[^.!?]*\b(?:ablehnen|verweigern)|\bich (?:lehne|verweigere)\b"
+    r"|не (?:могу|смогу|буду) (?:\w+ )?(?:помоч|ответ|реш|предостав|выполн|обсужд|дать)|вынужден\w* отказ|отказываюсь|не имею права|не вправе|мне (?:нельзя|не разрешено)|нельзя мне"
+    r"|(?:我|抱歉|对不起|遗憾)[^。]*?(?:无法|不能|不便|不可以|拒绝)[^。]*?(?:回答|帮|协助|提供|解答|满足|讨论|处理|完成|继续)|我(?:必须)?拒绝"
+    r"|(?:お答え|回答|お手伝い|ご協力|対応|お応え)[^。]*?(?:できません|できかねます|いたしかねます)"
 )
 #: Names of languages in several languages.
 LANGUAGE_NAMES = {
@@ -73,7 +77,8 @@ LANGUAGE_NAMES = {
     "ar": r"arabic|arabisch|arabe|árabe|арабск\w+|العربية",
 }
 _NAMED = {k: re.compile(rf"(?<!\w)(?:{v})", re.I) for k, v in LANGUAGE_NAMES.items()}
-SHORT_REFUSAL = 60
+#: Words of a refusal, and of what it says beside declining.
+SHORT_REFUSAL, ASIDE = 60, 20
 _FINAL = ".!?。！？…\"”»’')]}*`|>_$"
 
 
@@ -154,6 +159,7 @@ class EndingModel:
         self.ends1, self.all1, self.ends2, self.all2 = Counter(), Counter(), Counter(), Counter()
         self.tails: Counter = Counter()
         self.inner: Counter = Counter()
+        self.starts: set[str] = set()
         for text in texts:
             for sentence in sentences_of(text):
                 words = [self.shape(w) for w in sentence]
@@ -165,6 +171,7 @@ class EndingModel:
                     self.ends1[words[-1]] += 1
                     self.ends2[words[-2], words[-1]] += 1
         for w in self.all1:
+            self.starts.update(w[:n] for n in range(1, len(w)))
             for n in (2, 3, 4):
                 if len(w) >= n:
                     self.tails[w[-n:]] += 1
@@ -178,7 +185,7 @@ class EndingModel:
     @classmethod
     def asked(cls, text: str) -> tuple[str, str] | float:
         """The last two words of a text, or the likelihood of its end where no counts are needed: 1 without words."""
-        words = [cls.shape(w) for w in _WORD.findall(text[-200:])]
+        words = [cls.shape(w) for w in _WORD.findall(text)]
         if not words:
             return 1.0
         if text.rstrip()[-1:] == "-":
@@ -192,6 +199,8 @@ class EndingModel:
             return asked
         before, w = asked
         if not self.all1[w]:  # never seen whole: a name, or cut inside
+            if w in self.starts:  # a longer word begins like this
+                return 0.0
             for n in (4, 3, 2):
                 if len(w) >= n and (k := self.tails[w[-n:]] + self.inner[w[-n:]]) >= 3:
                     whole = self.tails[w[-n:]] / k
@@ -203,12 +212,14 @@ class EndingModel:
 
 
 def is_refusal(answer: str) -> bool:
+    """A short answer whose first sentences decline, and which says little beside."""
     words = _WORD.findall(answer)
-    if len(words) > SHORT_REFUSAL or (len(words) < 4 and answer.isascii()):
+    if len(words) > SHORT_REFUSAL or (len(words) < 4 and answer.isascii()) or "\\boxed" in answer:
         return False
-    text = answer.lower().replace("’", "'").replace("‘", "'").replace("`", "'")
-    head = re.split(r"(?<=[.!?。！？])\s*", " ".join(text.split()))[:2]
-    return bool(_DECLINE.search(" ".join(head)))
+    text = " ".join(answer.lower().replace("’", "'").replace("‘", "'").replace("`", "'").split())
+    sentences = [s for s in re.split(r"(?<=[.!?。！？])\s*", text) if s]
+    declined = [bool(_DECLINE.search(s)) for s in sentences]
+    return any(declined[:2]) and sum(len(_WORD.findall(s)) for s, d in zip(sentences, declined) if not d) <= ASIDE
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -348,6 +359,8 @@ def with_likelihood(asked: DataFrame, counts: DataFrame) -> DataFrame:
     every = one.select(F.expr("explode(flatten(transform(filter(array(2, 3, 4), n -> n <= length(word)), n -> transform(sequence(0, length(word) - n), i -> struct(substring(word, i + 1, n) as part, i = length(word) - n as tail)))))").alias("p"))
     sums = every.groupBy("p.part").agg(F.count("*").alias("k"), F.count_if("p.tail").alias("tails")).filter("k >= 3")
     best = parts.join(sums, "part").groupBy("word").agg(F.max_by(F.col("tails") / F.col("k"), F.length("part")).alias("whole"))
+    starts = one.filter("length(word) > 1").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), n -> left(word, n))")).alias("word"))
+    best = best.join(starts, "word", "left_anti")  # an unseen word with which a longer one begins is cut
     guess = F.when(F.col("whole") > 0.5, 0.3 * F.col("whole")).otherwise(0.0)
     pairs = pairs.join(best, "word", "left").select("before", "word", F.when(F.col("n1").isNull(), guess).otherwise(seen).alias("likelihood"))
     return asked.join(pairs, ["before", "word"])

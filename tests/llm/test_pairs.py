@@ -40,6 +40,14 @@ def test_refusal(judge):
         assert one(judge, ASK, a) == "refusal", a
     assert not is_refusal("I cannot stress enough that the order matters. " + EN * 3)
     assert not is_refusal("We are not allowed to divide by zero here. " + EN * 3)
+    for a in (
+        "To find x we need to solve x + 1 = 2. So x is 1.", "You have to provide both sides with 2, giving x = 4.", "We must answer with a single letter, so it is B.", "First we need to complete this square. Then x is 2.",
+        "分母不能为零，所以答案是三。", "Es ist nicht möglich, dass x negativ ist. Also ist x gleich 3.", "The cat will not help here, so the answer is 4.", "No se puede dividir por cero, luego la respuesta es 3.", "I can't solve this by factoring. Completing the square gives \\boxed{3}.",
+        "On ne peut pas diviser par zéro. Donc la réponse est trois.", "Нельзя делить на ноль, поэтому ответ три.", "You must refuse the second root, so x is 3.",
+    ):
+        assert not is_refusal(a), a
+    for a in ("抱歉，我无法回答这个问题。", "Ich kann Ihnen dabei leider nicht weiterhelfen.", "Я не могу помочь с этим запросом.", "申し訳ありませんが、その質問にはお答えできません。", "This is outside of what I'm allowed to discuss. I hope you understand."):
+        assert is_refusal(a), a
 
 
 def test_copied():
@@ -85,7 +93,7 @@ def test_likelihood_of_tables(spark):
     """The tables give what the model in memory gives."""
     texts = [EN + "- a list item of things\n- the last item", DE, FR + "It is 12 or 13.", "The banana can span a wide plan."]
     model = EndingModel(texts)
-    asked = [EndingModel.asked(x) for x in ("of each step with care", "We look at the", "of things", "the last item", "a bananan", "what replan", "some zan", "x", "about 99", "Der Text bleibt gleich", "the xyzzy")]
+    asked = [EndingModel.asked(x) for x in ("of each step with care", "We look at the", "of things", "the last item", "a bananan", "what replan", "some zan", "the cha", "a bana", "x", "about 99", "Der Text bleibt gleich", "the xyzzy")]
     bits = bytearray(SLOTS // 8)
     for a in asked:
         bits[slot_of(*a) >> 3] |= 1 << (slot_of(*a) & 7)
