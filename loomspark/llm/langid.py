@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 3_000
+#: The posterior from which a sentence tells its language.
+SURE = 0.95
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?。！？…\n\r\x85]+")
 #: First code points of scripts that are told by their characters alone: class, from, to.
@@ -140,8 +142,8 @@ class LanguageModel:
         sums = np.vstack([np.zeros((1, len(self.langs))), np.cumsum(self.table[flat], axis=0, dtype=np.float64)])
         return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
-    def main_languages(self, texts: list[str]) -> list[tuple[str | None, float]]:
-        """(language, share of the words) that most of each text is in, by sentences; None where nothing can be told."""
+    def posteriors(self, texts: list[str]) -> np.ndarray:
+        """Distribution over the languages of each text: posteriors of its sentences, weighted by their words; zeros if it has none."""
         sentences, owner, weights = [], [], []
         for t, text in enumerate(texts):
             for part in SENTENCE_END.split(text.lower()):
@@ -150,25 +152,20 @@ class LanguageModel:
                     sentences.append(words)
                     owner.append(t)
                     weights.append(sum(1 if w.isascii() else max(1, len(w) // 2 if "぀" <= w[0] <= "鿿" else 1) for w in words))
-        scores = self.sums(sentences)
-        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
-        if not sentences:
-            return out
-        top = np.partition(scores, -2, axis=1)[:, -2:]
-        sure = top[:, 1] - top[:, 0] >= 3.0
-        best = scores.argmax(axis=1)
-        votes: dict[int, Counter] = defaultdict(Counter)
-        for i, t in enumerate(owner):
-            if sure[i]:
-                votes[t][int(best[i])] += weights[i]
-        for t, c in votes.items():
-            k, n = c.most_common(1)[0]
-            out[t] = (self.langs[k], n / sum(c.values()))
+        out = np.zeros((len(texts), len(self.langs)))
+        if sentences:
+            scores = self.sums(sentences)
+            p = np.exp(scores - scores.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            sure = p.max(axis=1) >= SURE  # a sentence that could be in several languages says nothing
+            np.add.at(out, owner, p * (sure * weights)[:, None])
+            total = out.sum(axis=1, keepdims=True)
+            out = np.divide(out, total, out=np.zeros_like(out), where=total > 0)
         return out
 
 
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel:
     """A model from about `rows` labelled texts of df."""
     labelled = df.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    taken = labelled.filter(sample_share(df, id_col, rows)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
+    taken = labelled.filter(sample_share(labelled, id_col, rows)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
     return LanguageModel([(x, r.t) for r in taken if (x := label_of(r.l))])

@@ -8,8 +8,8 @@ A pair is a user message and the assistant message right after it. Defects, of w
 * `refusal`: a short answer whose first sentences decline, in the first person, to answer, and that says little beside.
 * `copied_question`: nearly all words of the answer stand in runs of the question, nearly all of which it gives back,
   and no answer of its own follows.
-* `other_language`: the language of most sentences of the answer differs from that of the question (posteriors of a
-  character n-gram naive Bayes model), which does not name that language.
+* `other_language`: the language posteriors of question and answer (character n-gram naive Bayes, over the sentences)
+  say that they probably differ, and the answer is mainly in a language that the question does not name.
 
 The ending model holds word and character n-gram counts of sentence ends against other positions, over all responses. A
 first pass judges the pairs and leaves open those that the model has to decide; a second counts the words, and the word
@@ -292,10 +292,13 @@ class Judge:
             out.append(kind)
         if ask:
             texts = [prose_of(pairs[i][0]) for i in ask] + [prose_of(answer_of(pairs[i][1])) for i in ask]
-            main = self.languages.main_languages(texts)
+            p = self.languages.posteriors(texts)
+            asked, given = p[: len(ask)], p[len(ask) :]
+            apart = 1.0 - (asked * given).sum(axis=1)  # the chance that question and answer differ in language
             for k, i in enumerate(ask):
-                (lq, _), (la, share) = main[k], main[len(ask) + k]
-                if lq and la and lq != la and share > 0.5 and not (la in _NAMED and _NAMED[la].search(pairs[i][0])):
+                lq, la = int(asked[k].argmax()), int(given[k].argmax())
+                name = self.languages.langs[la]
+                if asked[k].any() and given[k, la] > 0.5 and lq != la and apart[k] > 0.5 and not (name in _NAMED and _NAMED[name].search(pairs[i][0])):
                     out[i] = "other_language"
         return out, unsure
 
