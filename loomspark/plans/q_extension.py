@@ -90,21 +90,6 @@ def snk16(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.parquet(path))
 
 
-@query("sca7c_interior_lines")
-def sca7c(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of prompts that are no instructions; all of them if none is left."""
-    lines = F.split("prompt", "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) != "") & ~prompts.instruction_column(x))
-    rows = load(spark, d, "source_rows").filter("prompt is not null")
-    return rows.select("row_id", F.size(F.when(F.size(kept) == 0, lines).otherwise(kept)).alias("n_lines"))
-
-
-@query("sca7d_filler_lines")
-def sca7d(spark: SparkSession, d: str) -> DataFrame:
-    lines = load(spark, d, "source_rows").filter("prompt is not null").select("row_id", F.posexplode(F.split("prompt", "\n")).alias("pos", "line"))
-    return lines.filter(F.trim("line").rlike(f"(?i){prompts.FILLER}")).select("row_id", "pos")
-
-
 @query("rew9_repeatness")
 def rew9(spark: SparkSession, d: str) -> DataFrame:
     @F.pandas_udf("boolean")
@@ -234,17 +219,6 @@ def src14(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select("n_nationkey", F.md5(F.concat(F.lit("hdfs://data/"), "n_name")).alias("local_key"))
 
 
-@query("sca7b_peel_boundaries")
-def sca7b(spark: SparkSession, d: str) -> DataFrame:
-    """Lines left when removable ones at both ends are taken away."""
-
-    @F.pandas_udf("int")
-    def left(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: len(prompts.peel(t.split("\n")))).astype("int32")
-
-    return load(spark, d, "source_rows").filter("prompt is not null").select("row_id", left(F.col("prompt")).alias("n_lines"))
-
-
 @query("agg_text_lengths", "SELECT domain, count(*) AS n, min(length(prompt))::BIGINT AS shortest, max(length(prompt))::BIGINT AS longest FROM source_rows GROUP BY domain")
 def agg_lengths(spark: SparkSession, d: str) -> DataFrame:
     n = F.length(F.col("prompt"))

@@ -19,12 +19,6 @@ def flt1(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "source_rows").filter(F.length(F.trim("prompt")) >= 24).select("row_id")
 
 
-@query("flt2_code_rows")
-def flt2(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "source_rows").filter("domain = 'code'")
-    return rows.select("row_id", prompts.strip_column(prompts.strip_harness(F.col("prompt"))).alias("body")).filter(F.length("body") >= 24).select("row_id")
-
-
 @query("flt7_complete_responses", f"SELECT response_id, NOT {_CUT} AS retained FROM {RESPONSES}")
 def flt7(spark: SparkSession, d: str) -> DataFrame:
     return responses(spark, d).select("response_id", (~quality.is_truncated(F.col("tokens"), F.col("finish"), F.col("truncated"), 400)).alias("retained"))

@@ -77,37 +77,6 @@ def sca6(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("sample_id", "other_id", text.contained(F.col("p"), F.col("q")).alias("contained"))
 
 
-@query("sca7_strip_instructions")
-def sca7(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "source_rows").select("row_id", prompts.strip_column(F.col("prompt")).alias("stripped"))
-
-
-_SQL_INSTRUCTION = None
-
-
-@query("sca7a_is_instruction")
-def sca7a(spark: SparkSession, d: str) -> DataFrame:
-    lines = load(spark, d, "source_rows").filter("prompt is not null").select("row_id", F.posexplode(F.split("prompt", "\n")).alias("pos", "line"))
-    return lines.filter(prompts.instruction_column(F.col("line"))).select("row_id", "pos")
-
-
-@query("sca8_align_prompt")
-def sca8(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "source_rows").filter(F.col("domain").isin("math", "science", "instruction_following"))
-    return rows.select("row_id", prompts.align_column(F.col("prompt"), F.col("domain")).alias("aligned"))
-
-
-@query("sca9_code_prompt")
-def sca9(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "source_rows").filter("domain = 'code'")
-    return rows.select("row_id", prompts.code_prompt_column(F.col("prompt"), F.lit(None).cast("string")).alias("code_prompt"))
-
-
-@query("sca10_strip_harness", "SELECT row_id, CASE WHEN prompt LIKE 'Please use python programming language only.%' THEN regexp_replace(trim(replace(substr(prompt, 45), chr(13) || chr(10), chr(10)), E' \\n\\t'), '^\\s+', '') ELSE regexp_replace(regexp_replace(replace(prompt, chr(13) || chr(10), chr(10)), '^[ \\t\\n\\x0B\\f\\r]+', ''), '[ \\t\\n\\x0B\\f\\r]+$', '') END AS bare FROM source_rows")
-def sca10(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "source_rows").select("row_id", prompts.strip_harness(F.col("prompt")).alias("bare"))
-
-
 _COMPETING_SQL = prompts.COMPETING.replace("'", "''")
 _SUFFIX_SQL = prompts.BOXED_SUFFIX.strip().replace("'", "''")
 _COUNT_SQL = f"len(regexp_extract_all(CASE WHEN domain IN ('math', 'science') THEN replace(prompt, '{_SUFFIX_SQL}', ' ') ELSE prompt END, '(?i){_COMPETING_SQL}'))"
@@ -125,13 +94,6 @@ def flt12(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(prompts.competing_count(F.col("prompt"), F.col("domain")) == 0).select("row_id")
 
 
-@query("sca12_messages_for")
-def sca12(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "source_rows").filter("domain is not null and prompt is not null")
-    m = rows.select("row_id", prompts.messages_for(F.col("prompt"), F.col("domain")).alias("messages"))
-    return m.select("row_id", F.size("messages").alias("n"), F.sha2(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n"), 256).alias("digest"))
-
-
 def _rate_sql(n: int) -> str:
     w = sql_words(norm("text"))
     return f"WITH g AS (SELECT doc_id, {w} AS w FROM documents), h AS (SELECT doc_id, len(w) AS n, {sql_grams('w', n)} AS g FROM g) SELECT doc_id, CASE WHEN n < {n} THEN 0.0 ELSE round((len(g) - len(list_distinct(g)))::DOUBLE / len(g), 9) END AS rate FROM h WHERE n IS NOT NULL"

@@ -54,25 +54,31 @@ def test_reasoning(spark):
 BOX = "Put your final answer in \\boxed{}."
 
 
-@pytest.mark.parametrize("t", [f"What is 2+2?\n{BOX}", f"{BOX}\nWhat is 2+2?", f"What is 2+2? {BOX}", f"{BOX} What is 2+2?", f"{BOX}\n\nWhat is 2+2?\n\nProvide a precise and correct solution using your knowledge.", "What is 2+2?"])
-def test_strip_instructions(t):
-    assert prompts.strip_instructions(t) == "What is 2+2?"
-
-
-def test_align_is_idempotent():
+def test_strip_instructions(spark):
+    strip = lambda t: value(spark, prompts.strip_column(F.lit(t)))
+    for t in (f"What is 2+2?\n{BOX}", f"{BOX}\nWhat is 2+2?", f"What is 2+2? {BOX}", f"{BOX} What is 2+2?", f"{BOX}\n\nWhat is 2+2?\n\nProvide a precise and correct solution using your knowledge.", "What is 2+2?"):
+        assert strip(t) == "What is 2+2?", t
+    for t in (BOX, "The box \\boxed{42} is the answer: give x.", "", "See \\[x^2\\] and solve."):
+        assert strip(t) == t
+    assert strip(f"A b.\n{BOX}\nC d.\n\n\n\nE  f.") == "A b.\nC d.\nE f." and strip(" \n ") == "" and strip(None) is None
+    assert len(strip("word " * 50_000)) == 249_999
+
+
+def test_align_is_idempotent(spark):
+    align = lambda t, d="math": value(spark, prompts.align_column(F.lit(t), F.lit(d)))
     for t in (f"What is 2+2? {BOX}", "What is $x^2$?", f"Find x.{prompts.BOXED_SUFFIX}{prompts.BOXED_SUFFIX}"):
-        once = prompts.align(t, "math")
-        assert once.count("\\boxed{}") == 1 and prompts.align(once, "math") == once
-    assert prompts.strip_instructions(BOX) == BOX
-    assert prompts.strip_instructions("The box \\boxed{42} is the answer: give x.") == "The box \\boxed{42} is the answer: give x."
-    with pytest.raises(ValueError, match="suffix"):
-        prompts.align("x", "code")
+        once = align(t)
+        assert once.count("\\boxed{}") == 1 and align(once) == once
+    assert align("Find x. ", "instruction_following") == "Find x." and align(None) is None
+    with pytest.raises(Exception, match="suffix"):
+        align("x", "code")
 
 
-def test_code_prompt():
-    p = prompts.code_prompt(f"{prompts.HARNESS[0]}\n\n{prompts.HARNESS[1]}\nSort a list.", "def f(): pass")
+def test_code_prompt(spark):
+    code = lambda t, start=None: value(spark, prompts.code_prompt_column(F.lit(t), F.lit(start).cast("string")))
+    p = code(f"{prompts.HARNESS[0]}\n\n{prompts.HARNESS[1]}\nSort a list.", "def f(): pass")
     assert "### Question:\nSort a list.\n" in p and "def f(): pass" in p and prompts.WITH_STARTER in p
-    assert prompts.WITHOUT_STARTER in prompts.code_prompt("Sort.") and prompts.code_prompt(None) is None
+    assert prompts.WITHOUT_STARTER in code("Sort.") and code(None) is None
 
 
 def test_competing(spark):
