@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import grading as gr
 from loomspark.functions import text
-from loomspark.plans.q_checkers import _P, SP
+from loomspark.plans.q_checkers import _P
+from loomspark.plans.q_prompts import literal
 from loomspark.plans.q_rollouts import _r, rounded
-from loomspark.plans.q_text import _BOXED_SQL, RESPONSES, responses
+from loomspark.plans.q_text import RESPONSES, responses
 from loomspark.plans.registry import query
 from loomspark.session import load
 
@@ -24,10 +25,38 @@ def rew2(spark: SparkSession, d: str) -> DataFrame:
     return a.select("item_id", gr.hash_answer(F.concat("text", F.lit(" #### "), "answer")).alias("strict"), gr.last_number(F.concat("text", F.lit(" #### $"), "answer")).alias("flexible"))
 
 
-@query("rew3_math_equal", "SELECT item_id, true AS same FROM benchmark_items WHERE answer IS NOT NULL AND regexp_full_match(answer, '\\d+')")
+def sql_math(x: str) -> str:
+    """SQL of grading.canonical_math."""
+    for old, new in gr.MATH_LITERALS[:10]:
+        x = f"replace({x}, {literal(old)}, {literal(new)})"
+    x = f"CASE WHEN len(string_split({x}, {literal(gr.UNIT)})) = 2 THEN string_split({x}, {literal(gr.UNIT)})[1] ELSE {x} END"
+    for old, new in gr.MATH_LITERALS[10:]:
+        x = f"replace({x}, {literal(old)}, {literal(new)})"
+    for pattern, new in gr.MATH_RULES:
+        x = f"regexp_replace({x}, {literal(pattern)}, {literal(new)}, 'g')"
+    return x
+
+
+#: Ways to write an answer A, and what it is compared with.
+WRITTEN = [("x = {A}\\%", "{A}"), ("\\dfrac{{A}}{7}", "{A}/7"), ("\\tfrac{{A}}{7}", "\\frac{{A}}{8}"), ("\\sqrt3 + {A}", "\\sqrt{3}+{A}"), ("{A} \\text{ units}", "{A}"), (".5", "\\frac12"), ("{A}^\\circ", "{A}"), ("\\left({A}, 2\\right)", "({A},3)"), ("ab = {A}", "abc={A}")]
+
+
+def _written(k: int) -> tuple:
+    out = F.lit(None).cast("string")
+    for i, pair in enumerate(WRITTEN):
+        out = F.when(F.col("item_id") % len(WRITTEN) == i, F.replace(F.lit(pair[k]), F.lit("{A}"), F.col("answer"))).otherwise(out)
+    return out
+
+
+def _written_sql(k: int) -> str:
+    return f"CASE item_id % {len(WRITTEN)} " + " ".join(f"WHEN {i} THEN replace({literal(pair[k])}, '{{A}}', answer)" for i, pair in enumerate(WRITTEN)) + " END"
+
+
+@query("rew3_math_equal", f"WITH a AS (SELECT item_id, {_written_sql(0)} AS x, {_written_sql(1)} AS y FROM benchmark_items WHERE answer IS NOT NULL), c AS (SELECT item_id, {sql_math('x')} AS x, {sql_math('y')} AS y FROM a) SELECT item_id, x AS form, x = y AS same FROM c")
 def rew3(spark: SparkSession, d: str) -> DataFrame:
-    a = items(spark, d).filter(F.col("answer").rlike(r"^\d+$"))
-    return a.select("item_id", gr.math_equal(F.concat(F.lit("x = "), "answer", F.lit("\\%")), F.col("answer")).alias("same"))
+    """Answers written in several ways, in canonical form, against truths written in other ways."""
+    a = items(spark, d).select("item_id", _written(0).alias("x"), _written(1).alias("y"))
+    return a.select("item_id", gr.canonical_math(F.col("x")).alias("form"), gr.math_equal(F.col("x"), F.col("y")).alias("same"))
 
 
 @query("rew4_final_answer", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS reward FROM benchmark_items WHERE answer IS NOT NULL AND regexp_full_match(answer, '\\d+')")
@@ -53,10 +82,13 @@ def rew6(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark_items").select("item_id", gr.contains_match(F.col("text"), F.array(F.substring("text", 1, 20))).alias("em"))
 
 
-@query("rew7_format_reward", f"SELECT response_id, CASE WHEN regexp_matches(teacher_response, '(?s)<think>.*</think>.*\\\\boxed\\{{.*\\}}.*') THEN 0.1::DOUBLE ELSE 0.0 END AS reward FROM {RESPONSES}")
+@query("rew7_format_reward", "SELECT item_id, round(CASE WHEN item_id % 3 = 0 THEN 0 ELSE 0.9 END + CASE WHEN item_id % 2 = 0 THEN 0.1 ELSE 0 END, 9)::DOUBLE AS reward FROM benchmark_items WHERE answer IS NOT NULL")
 def rew7(spark: SparkSession, d: str) -> DataFrame:
-    ok = F.coalesce(F.col("teacher_response").rlike(r"(?s)<think>.*</think>.*\\boxed\{.*\}.*"), F.lit(False))
-    return responses(spark, d).select("response_id", F.when(ok, 0.1).otherwise(0.0).alias("reward"))
+    """Form and answer: every third answer is wrong, every second response lacks the think block."""
+    given = F.when(F.col("item_id") % 3 == 0, F.concat("answer", F.lit("9"))).otherwise(F.col("answer"))
+    lead = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>"))).otherwise(F.col("text"))
+    said = F.concat(lead, F.lit("\n\\boxed{"), given, F.lit("}"))
+    return items(spark, d).select("item_id", F.round(gr.geometry_reward(said, F.col("answer")), 9).alias("reward"))
 
 
 @query("rew11_output_comparison", "SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part")
@@ -108,13 +140,33 @@ def rew18(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "recovery_pool").filter("split = 'opd'").select("sample_id", F.lit(0.0).alias("reward")).distinct()
 
 
-@query("rew1_dispatch", f"WITH r AS (SELECT response_id, domain, teacher_response, {_BOXED_SQL} AS b FROM {RESPONSES} WHERE domain IS NOT NULL) SELECT response_id, CASE WHEN domain IN ('math', 'science') THEN (b IS NOT NULL)::INT WHEN domain = 'code' THEN contains(teacher_response, '```')::INT ELSE 0 END::DOUBLE AS score FROM r")
+#: A data source of each grader, and a response in its form: {T} stands for the item's text, {A} for an answer.
+SAID = [
+    ("openai/gsm8k", "{T} #### {A}"), ("HuggingFaceH4/MATH-500", "{T} So $x = \\boxed{{A}\\%}$."), ("aime2024", "{T}\nAnswer: $x = {A}$"), ("numina_olympiads", "{T} \\boxed{{A}.0}"),
+    ("hiyouga/geometry3k", "<think>{T}</think> \\boxed{ {A} }"), ("searchR1_nq", "<answer> The {A}! </answer>"),
+]
+_ANSWERED = "CASE WHEN item_id % 5 < 3 THEN answer ELSE answer || '1' END"
+
+
+def _by_source(values: list, column: bool):
+    if column:
+        out = F.lit(None).cast("string")
+        for i, x in enumerate(values):
+            out = F.when(F.col("item_id") % len(values) == i, x).otherwise(out)
+        return out
+    return f"CASE item_id % {len(values)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(values)) + " END"
+
+
+_SAID_SQL = f"SELECT item_id, answer, {_by_source([literal(a) for a, _ in SAID], False)} AS source, {_by_source([f'replace(replace({literal(b)}, {chr(39)}{{A}}{chr(39)}, {_ANSWERED}), {chr(39)}{{T}}{chr(39)}, text)' for _, b in SAID], False)} AS said, {_ANSWERED} AS given FROM benchmark_items WHERE answer IS NOT NULL"
+
+
+@query("rew1_dispatch", f"WITH s AS ({_SAID_SQL}) SELECT item_id, source, round(CASE WHEN source = 'aime2024' THEN CASE WHEN given = answer THEN 1 ELSE -1 END WHEN source = 'hiyouga/geometry3k' THEN 0.1 + CASE WHEN given = answer THEN 0.9 ELSE 0 END ELSE (given = answer)::INT END::DOUBLE, 9) AS score FROM s")
 def rew1(spark: SparkSession, d: str) -> DataFrame:
-    """Graders by domain; a domain without one fails."""
-    t = F.col("teacher_response")
-    score = F.when(F.col("domain").isin("math", "science"), (F.coalesce(text.boxed(t), F.lit("")) != "").cast("double")).when(F.col("domain") == "code", F.contains(t, F.lit("```")).cast("double")).when(F.col("domain") == "instruction_following", 0.0)
-    failed = F.raise_error(F.concat(F.lit("no grader for "), "domain")).cast("double")
-    return responses(spark, d).filter("domain is not null").select("response_id", F.coalesce(score, F.when(t.isNotNull(), failed)).alias("score"))
+    """Graders by data source, over responses in the form that each reads, two fifths of them with a wrong answer."""
+    given = F.when(F.col("item_id") % 5 < 3, F.col("answer")).otherwise(F.concat("answer", F.lit("1")))
+    said = _by_source([F.replace(F.replace(F.lit(b), F.lit("{A}"), given), F.lit("{T}"), F.col("text")) for _, b in SAID], True)
+    a = items(spark, d).select("item_id", _by_source([F.lit(x) for x, _ in SAID], True).alias("source"), said.alias("said"), "answer")
+    return a.select("item_id", "source", F.round(gr.graded(F.col("source"), F.col("said"), F.col("answer")), 9).alias("score"))
 
 
 _PK = "1 - list_aggregate(list_concat([1.0::DOUBLE], list_transform(range(n - c + 1, n + 1), lambda i: 1 - {k} / i)), 'product')"
@@ -154,7 +206,30 @@ def agg9(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("benchmark")).agg(F.round(F.avg((F.col("o_totalprice") > 200000).cast("int")), 9).alias("accuracy"), F.count("*").alias("n"))
 
 
-@query("rcp12_evaluate_generations", f"WITH r AS (SELECT domain, tokens, truncated, {_BOXED_SQL} AS b FROM {RESPONSES} WHERE domain IS NOT NULL) SELECT domain, count(*) AS n, round(avg((b IS NOT NULL)::INT), 9) AS boxed_share, round(avg(truncated::INT), 9) AS truncated_share, round(avg(tokens), 6) AS mean_tokens FROM r GROUP BY domain")
+SAMPLES = 4
+_GENERATED = f"SELECT item_id, benchmark, k, answer, CASE WHEN (item_id * 7 + k * 3) % 11 = 0 THEN text ELSE text || CASE WHEN benchmark = 'science_hard' THEN ' The result is \\boxed{{' ELSE ' Hence \\boxed{{0' END || CASE WHEN (item_id * 5 + k * 3) % 7 < 4 THEN answer ELSE answer || '7' END || '}}' END AS said FROM benchmark_items, range({SAMPLES}) r(k) WHERE answer IS NOT NULL"
+
+
+@query(
+    "rcp12_evaluate_generations",
+    f"""WITH g AS ({_GENERATED}), x AS (SELECT *, regexp_extract(said, 'boxed[{{]([^}}]*)[}}]$', 1) AS b FROM g),
+s AS (SELECT *, b <> '' AND CASE WHEN benchmark = 'science_hard' THEN b = answer ELSE try_cast(b AS BIGINT) = try_cast(answer AS BIGINT) END AS ok FROM x),
+t AS (SELECT benchmark, item_id, count(*) AS n, count(*) FILTER (ok) AS c, bool_or(ok AND k = 0) AS first, count(*) FILTER (b <> '') AS boxed FROM s GROUP BY ALL)
+SELECT benchmark, count(*) AS items, round(sum(c) / sum(n), 7) AS avg_at_n, round(avg(first::INT), 7) AS first_pass, {_r('avg(CASE WHEN n - c < 2 THEN 1 ELSE ' + _PK.format(k=2) + ' END)', 'pass_2')}, round(sum(boxed) / sum(n), 7) AS boxed_share FROM t GROUP BY benchmark""",
+)
 def rcp12(spark: SparkSession, d: str) -> DataFrame:
-    r = responses(spark, d).filter("domain is not null").withColumn("b", F.coalesce(text.boxed(F.col("teacher_response")), F.lit("")) != "")
-    return r.groupBy("domain").agg(F.count("*").alias("n"), F.round(F.avg(F.col("b").cast("int")), 9).alias("boxed_share"), F.round(F.avg(F.col("truncated").cast("int")), 9).alias("truncated_share"), F.round(F.avg("tokens"), 6).alias("mean_tokens"))
+    """Stored generations graded against the items' answers: mean over samples, first sample, pass@2, share with a box.
+
+    Every item with an answer has four generations, some without a box, some with another answer, numbers with a zero before.
+    """
+    item, k = F.col("item_id"), F.col("k")
+    given = F.when((item * 5 + k * 3) % 7 < 4, F.col("answer")).otherwise(F.concat("answer", F.lit("7")))
+    lead = F.when(F.col("benchmark") == "science_hard", " The result is \\boxed{").otherwise(" Hence \\boxed{0")
+    said = F.when((item * 7 + k * 3) % 11 == 0, F.col("text")).otherwise(F.concat("text", lead, given, F.lit("}")))
+    g = items(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1)))).withColumn("said", said)
+    inside = text.boxed(F.col("said"))
+    right = F.when(F.col("benchmark") == "science_hard", gr.math_equal(inside, F.col("answer"))).otherwise(text.normalize_number(inside) == text.normalize_number(F.col("answer")))
+    s = g.select("benchmark", "item_id", "k", F.coalesce(right, F.lit(False)).alias("ok"), F.coalesce(inside != "", F.lit(False)).alias("boxed"))
+    t = s.groupBy("benchmark", "item_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("c"), F.bool_or(F.col("ok") & (F.col("k") == 0)).cast("int").alias("first"), F.count_if("boxed").alias("boxed"))
+    share = lambda x: F.round(F.sum(x) / F.sum("n"), 9)
+    return rounded(t.groupBy("benchmark").agg(F.count("*").alias("items"), share("c").alias("avg_at_n"), F.round(F.avg("first"), 9).alias("first_pass"), F.avg(gr.pass_at_k(F.col("n"), F.col("c"), 2)).alias("pass_2"), share("boxed").alias("boxed_share")))

@@ -119,7 +119,12 @@ def test_graders(spark):
     assert value(spark, grading.last_number(F.lit("a 3 b 4.5 ."))) == "4.5"
     assert value(spark, grading.minerva_reward(F.lit("Answer: $\\frac12$"), F.lit("\\frac{1}{2}"))) == 1.0
     assert value(spark, grading.minerva_reward(F.lit("no line"), F.lit("1"))) == -1.0
-    assert [grading.strip_math(x) for x in ("\\dfrac12", "1/2", "x=0.5", "\\sqrt2", ".5")] == ["\\frac{1}{2}", "\\frac{1}{2}", "\\frac{1}{2}", "\\sqrt{2}", "\\frac{1}{2}"]
+    forms = {"\\dfrac12": "\\frac{1}{2}", "1/2": "\\frac{1}{2}", "x=0.5": "\\frac{1}{2}", "\\sqrt2": "\\sqrt{2}", ".5": "\\frac{1}{2}", "abc = 3": "abc=3", "3 \\text{ cm}": "3", "\\frac1{72}": "\\frac{1}{72}", "": ""}
+    assert {x: value(spark, grading.canonical_math(F.lit(x))) for x in forms} == forms
+    assert not value(spark, grading.math_equal(F.lit(None).cast("string"), F.lit("1")))
+    with pytest.raises(Exception, match="no grader"):
+        value(spark, grading.graded(F.lit("codecontests"), F.lit("x"), F.lit("y")))
+    assert value(spark, grading.output_equal(F.lit("123456789012345678901234567890123456789.50"), F.lit("+123456789012345678901234567890123456789.5"))) and not value(spark, grading.output_equal(F.lit("1 x"), F.lit("1.0 x")))
     assert value(spark, grading.output_equal(F.lit("1.0 2\nx "), F.lit("1 2.00\nx"))) and not value(spark, grading.output_equal(F.lit("1\n2"), F.lit("1")))
     assert value(spark, grading.exact_match(F.lit("The  Cat!"), F.array(F.lit("dog"), F.lit("a cat"))))
     n, c = F.lit(2).cast("bigint"), F.lit(1).cast("bigint")
