@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomspark.operators import sampling
+from loomspark.session import checkpoint
+
 EPS = 1e-6
 SAFE = 20.0
 
@@ -157,8 +160,8 @@ def fold_back(tokens: DataFrame, fields: list[str], step: Callable[[tuple, tuple
         return pd.Series(out)
 
     g = tokens.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), *[F.col(f).cast("double").alias(f) for f in fields]))).alias("rows"))
-    done = g.select("seq", F.col("rows.pos").alias("pos"), run(F.size("rows"), *[F.col(f"rows.{f}") for f in fields]).alias("a"))
-    return done.select("seq", F.explode_outer(F.arrays_zip("pos", "a")).alias("x")).filter("x is not null").select("seq", "x.pos", "x.a")
+    done = g.select("seq", *[F.col(f"rows.{f}").alias(f) for f in ("pos", *fields)], run(F.size("rows"), *[F.col(f"rows.{f}") for f in fields]).alias("a"))
+    return done.select("seq", F.explode_outer(F.arrays_zip("pos", *fields, "a")).alias("x")).filter("x is not null").select("seq", "x.*")
 
 
 def gae(tokens: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
@@ -170,9 +173,9 @@ def gae(tokens: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
         last = np.where(mask == 1, new, last)
         return (np.where(mask == 1, value, after), last), last
 
-    raw = fold_back(tokens, ["reward", "value", "mask"], step, 2)
-    joined = tokens.join(raw, ["seq", "pos"])
-    return whiten(joined, "a", "w").select("seq", "pos", F.col("w").alias("advantage"), (F.col("a") + F.col("value")).alias("returns"))
+    # Value and mask come with the result: the tokens are read once, and whitening starts from what is written.
+    folded = checkpoint(fold_back(tokens, ["reward", "value", "mask"], step, 2))
+    return whiten(folded, "a", "w").select("seq", "pos", F.col("w").alias("advantage"), (F.col("a") + F.col("value")).alias("returns"))
 
 
 def discounted_returns(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
@@ -183,12 +186,11 @@ def discounted_returns(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
         total = reward + gamma * run
         return (total * mask,), total
 
-    return fold_back(tokens, ["reward", "mask"], step, 1)
+    return fold_back(tokens, ["reward", "mask"], step, 1).select("seq", "pos", "mask", "a")
 
 
 def reinforce_pp(tokens: DataFrame, gamma: float = 0.9) -> DataFrame:
-    joined = tokens.join(discounted_returns(tokens, gamma), ["seq", "pos"])
-    return whiten(joined, "a", "w").select("seq", "pos", (F.col("w") * F.col("mask")).alias("advantage"), F.col("a").alias("returns"))
+    return whiten(checkpoint(discounted_returns(tokens, gamma)), "a", "w").select("seq", "pos", (F.col("w") * F.col("mask")).alias("advantage"), F.col("a").alias("returns"))
 
 
 def reward_to_go(tokens: DataFrame, value: Column) -> Column:
@@ -285,6 +287,11 @@ def covariance(tokens: DataFrame, adv: Column) -> DataFrame:
     return _alone(means, t).withColumn("cov", (F.col("_a") - F.col("_ma")) * (F.col("lp") - F.col("_ml"))).drop("_ma", "_ml")
 
 
+def _nth(keys: DataFrame, n: int) -> DataFrame:
+    """(_edge): the n-th smallest k, or the largest if there are fewer; the keys are ordered by ranges, in no task as a whole."""
+    return sampling.global_rank(keys.select("k.*"), keys.select("k.*").columns, "_place").filter(F.col("_place") < n).agg(F.max(F.struct(*keys.select("k.*").columns)).alias("_edge"))
+
+
 def clip_cov_loss(tokens: DataFrame, adv: Column, ratio: float, low: float, high: float, seed: str) -> DataFrame:
     """Loss without a few tokens drawn (by hash) among those with covariance inside the bounds."""
     t = covariance(tokens, adv)
@@ -295,7 +302,7 @@ def clip_cov_loss(tokens: DataFrame, adv: Column, ratio: float, low: float, high
     rank = F.struct(F.sha2(F.concat_ws(":", F.lit(seed), "seq", "pos"), 256).alias("h"), F.col("seq"), F.col("pos"))
     wanted = F.greatest(F.floor(F.sum("mask") * ratio), F.lit(1)).cast("int")
     n = t.agg(wanted.alias("n")).first()["n"] or 1
-    edge = t.filter(inside).select(rank.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("_edge"))
+    edge = _nth(t.filter(inside).select(rank.alias("k")), n)
     t = _alone(edge, t).withColumn("_gone", F.coalesce(inside & (rank <= F.col("_edge")), F.lit(False)).cast("int"))
     m = F.col("mask")
     return t.agg(masked_mean(F.greatest("_one", "_two") * (1 - F.col("_gone")), m).alias("pg_loss"), masked_mean(F.col("_gone"), m).alias("clip_fraction"))
@@ -307,7 +314,7 @@ def kl_cov_loss(tokens: DataFrame, adv: Column, ratio: float, coefficient: float
     valid = t.filter("mask = 1")
     n = max(1, int(valid.count() * ratio))
     rank = F.struct((-F.col("cov")).alias("c"), F.col("seq"), F.col("pos"))
-    edge = valid.select(rank.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("_edge"))
+    edge = _nth(valid.select(rank.alias("k")), n)
     d = F.col("lp") - F.col("old_lp")
     loss = -F.col("_a") * F.exp(d) + F.when((F.col("mask") == 1) & (rank <= F.col("_edge")), coefficient * F.abs(d)).otherwise(0.0)
     return _alone(edge, t).agg(masked_mean(loss, F.col("mask")).alias("pg_loss"), masked_mean(F.abs(d), F.col("mask")).alias("abs_kl"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import text
-from loomspark.session import checkpoint
+from loomspark.session import broadcast_if_few, checkpoint
+
+#: Hash ranks are counted by their first digits, in so many buckets.
+BUCKET_DIGITS = 4
 
 
 def stable_rank(seed: str, *parts: Column) -> Column:
@@ -27,20 +30,46 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return got.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def _cut(df: DataFrame, n: Column, rank: Column, tie: str | None, group: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows surely among the n lowest of their group, rows to be decided (`_n` of them up to `_need`), rows surely beyond.
+
+    Ranks are hashes: counts of their first digits (65,536 buckets a group at most) tell the bucket in which the n-th
+    lies, and only rows of that bucket are ordered. No group is sorted, and only rows of that bucket are shuffled.
+    """
+    key = F.to_json(F.struct(*group)) if group else F.lit("")
+    rows = df.withColumn("_group", key).withColumn("_rank", rank).withColumn("_bucket", F.conv(F.substring("_rank", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    counts = rows.groupBy("_group", "_bucket").agg(F.count("*").alias("_count"), F.max(n).alias("_wanted"))
+    counts = counts.withColumn("_upto", F.sum("_count").over(Window.partitionBy("_group").orderBy("_bucket")))
+    below = F.col("_upto") <= F.col("_wanted")
+    edges = counts.groupBy("_group").agg(F.min(F.when(~below, F.col("_bucket"))).alias("_edge"), (F.max("_wanted") - F.coalesce(F.max(F.when(below, F.col("_upto"))), F.lit(0))).alias("_need"))
+    rows = rows.join(broadcast_if_few(edges), "_group")
+    inside = Window.partitionBy("_group").orderBy("_rank", *([tie] if tie else []))
+    decided = rows.filter("_bucket = _edge").withColumn("_n", F.row_number().over(inside))
+    return rows.filter("_edge is null or _bucket < _edge"), decided, rows.filter("_bucket > _edge")
+
+
+_CUT = ("_group", "_rank", "_bucket", "_edge", "_need", "_n")
+
+
+def lowest(df: DataFrame, n: int | Column, rank: Column, tie: str | None = None, group: list[str] | None = None) -> DataFrame:
+    """The n rows with the lowest hash ranks, of each group if there are groups (null is one); n may be a column of the group."""
+    sure, decided, _ = _cut(df, n if isinstance(n, Column) else F.lit(n), rank, tie, group or [])
+    return sure.drop(*_CUT).unionByName(decided.filter("_n <= _need").drop(*_CUT))
+
+
 def quota_sample(df: DataFrame, quota: int, rank: Column, stratum: Column | None = None, tie: str | None = None) -> DataFrame:
     """`quota` rows by hash rank, in turn from each stratum; the column `position` gives their order.
 
-    With strata the rows are numbered within each, and a global order by (number, stratum) takes one of each in turn.
+    With strata the rows are numbered within each, and the order by (number, stratum) takes one of each in turn.
     """
     ties = [tie] if tie else []
     if stratum is None:
-        picked = df.withColumn("_rank", rank).orderBy("_rank", *ties).limit(quota)
-        return picked.withColumn("position", F.row_number().over(Window.orderBy("_rank", *ties))).drop("_rank")
-    # Within a stratum no more than `quota` rows can be taken: Catalyst limits the groups before it sorts them whole.
-    rows = df.withColumn("_rank", rank).withColumn("_stratum", F.coalesce(stratum.cast("string"), F.lit("")))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_stratum").orderBy("_rank", *ties))).filter(F.col("_turn") <= quota)
-    picked = rows.orderBy("_turn", "_stratum").limit(quota)
-    return picked.withColumn("position", F.row_number().over(Window.orderBy("_turn", "_stratum"))).drop("_rank", "_turn", "_stratum")
+        picked = lowest(df, quota, rank, tie).withColumn("_rank", rank)
+        return global_rank(picked, ["_rank", *ties], "position").withColumn("position", F.col("position") + 1).drop("_rank")
+    rows = lowest(df.withColumn("_stratum", F.coalesce(stratum.cast("string"), F.lit(""))), quota, rank, tie, ["_stratum"])
+    rows = interleave(rows, "_stratum", rank, tie, "_turn")
+    picked = global_rank(rows, ["_turn", "_stratum"], "position").filter(F.col("position") < quota)
+    return picked.withColumn("position", F.col("position") + 1).drop("_turn", "_stratum")
 
 
 def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -54,6 +83,7 @@ def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = sizes.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(*order)
+    # One row for each partition of the shuffle, whose number is a setting and not a matter of the data.
     return ranged.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + F.row_number().over(inside) - 1).drop("_range", "_before")
 
 
@@ -65,16 +95,16 @@ def inverse_permutation(df: DataFrame, index: str, tie: str, out: str) -> DataFr
     return global_rank(df, [index, tie], out)
 
 
-def interleave(df: DataFrame, domain: str, rank: Column, tie: str) -> DataFrame:
+def interleave(df: DataFrame, domain: str, rank: Column, tie: str | None, turn: str = "turn") -> DataFrame:
     """(columns, turn): one row of each domain per turn, domains in order within a turn.
 
     The place within a domain is the place in the order of all less that of the domain's first, so that a domain may
     hold most of the rows.
     """
-    placed = global_rank(df.withColumn("_rank", rank), [domain, "_rank", tie], "_place")
-    first = placed.groupBy(domain).agg(F.min("_place").alias("_first"))
-    first = first.select(F.col(domain).alias("_domain"), "_first")
-    return placed.join(F.broadcast(first), F.col(domain).eqNullSafe(F.col("_domain"))).withColumn("turn", F.col("_place") - F.col("_first") + 1).drop("_rank", "_place", "_first", "_domain")
+    placed = global_rank(df.withColumn("_rank", rank), [domain, "_rank", *([tie] if tie else [])], "_place")
+    first = placed.groupBy(F.col(domain).alias("_domain")).agg(F.min("_place").alias("_first"))
+    joined = placed.join(broadcast_if_few(first), F.col(domain).eqNullSafe(F.col("_domain")))
+    return joined.withColumn(turn, F.col("_place") - F.col("_first") + 1).drop("_rank", "_place", "_first", "_domain")
 
 
 def resamples(df: DataFrame, group: str, value: str, tie: str, size: int, times: int, seed: int) -> DataFrame:
@@ -90,30 +120,26 @@ def resamples(df: DataFrame, group: str, value: str, tie: str, size: int, times:
 
 
 def first_n_split(df: DataFrame, n: int, rank: Column, tie: str, names: tuple[str, str] = ("sft", "opd")) -> DataFrame:
-    """Rows with the column `part`: the first n by rank, and the rest.
-
-    The n-th rank is found by a top-n query, and compared with, so that the table is never sorted in one task.
-    """
-    ranked = df.withColumn("_rank", F.struct(rank.alias("r"), F.col(tie).alias("t")))
-    edge = ranked.select("_rank").orderBy("_rank").limit(n).agg(F.max("_rank").alias("_edge"))
-    return ranked.crossJoin(F.broadcast(edge)).withColumn("part", F.when(F.col("_rank") <= F.col("_edge"), names[0]).otherwise(names[1])).drop("_rank", "_edge")
+    """Rows with the column `part`: the first n by hash rank, and the rest."""
+    sure, decided, beyond = _cut(df, F.lit(n), rank, tie, [])
+    parts = sure.withColumn("part", F.lit(names[0])), decided.withColumn("part", F.when(F.col("_n") <= F.col("_need"), names[0]).otherwise(names[1])), beyond.withColumn("part", F.lit(names[1]))
+    first, *others = (x.drop(*_CUT) for x in parts)
+    return first.unionByName(others[0]).unionByName(others[1])
 
 
 def balanced_sample(df: DataFrame, total: int, domain: str, rank: Column, tie: str) -> DataFrame:
-    """`total` rows spread evenly over the domains; the remainder goes to the first domains in order."""
-    names = [r[0] for r in df.select(domain).filter(F.col(domain).isNotNull()).distinct().orderBy(domain).limit(1000).collect()]
-    base, extra = divmod(total, max(1, len(names)))
-    wanted = F.lit(base)
-    for k, name in enumerate(names):
-        wanted = F.when(F.col(domain) == name, base + (k < extra)).otherwise(wanted)
-    rows = df.filter(F.col(domain).isNotNull()).withColumn("_rank", rank)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(domain).orderBy("_rank", tie))).filter(F.col("_n") <= wanted).drop("_n", "_rank")
+    """`total` rows spread evenly over the domains, however many; the remainder goes to the first domains in order."""
+    rows = df.filter(F.col(domain).isNotNull())
+    places = checkpoint(global_rank(rows.select(domain).distinct(), [domain], "_k"))
+    count = places.count()
+    base, extra = divmod(total, max(1, count))
+    wanted = places.select(domain, (F.lit(base) + (F.col("_k") < extra).cast("int")).alias("_share"))
+    return lowest(rows.join(broadcast_if_few(wanted), domain), F.col("_share"), rank, tie, [domain]).select(*df.columns)
 
 
 def up_to_n(df: DataFrame, n: int, domain: str, rank: Column, tie: str) -> DataFrame:
     """At most n rows of each domain."""
-    rows = df.withColumn("_rank", rank)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(domain).orderBy("_rank", tie))).filter(F.col("_n") <= n).drop("_n", "_rank")
+    return lowest(df, n, rank, tie, [domain])
 
 
 def drop_reserved(df: DataFrame, reserved: DataFrame, text_col: str) -> DataFrame:
@@ -152,17 +178,18 @@ def windows_until(df: DataFrame, position: str, key: str, window: int, need: int
     first = rows.groupBy(key).agg(F.min("turn").alias("turn"))
     counts = rows.groupBy("turn").agg(F.lit(0).cast("long").alias("zero")).join(first.groupBy("turn").count(), "turn", "left").select("turn", F.coalesce("count", "zero").alias("fresh"))
     order = Window.orderBy("turn")
-    counts = counts.withColumn("before", F.coalesce(F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("number", F.row_number().over(order))
-    read = counts.filter((F.col("before") < need) & (F.col("number") <= max_windows)).select("turn")
+    counts = counts.orderBy("turn").limit(max_windows)  # further windows are never read
+    counts = counts.withColumn("before", F.coalesce(F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    read = counts.filter(F.col("before") < need).select("turn")
     return rows.join(read, "turn", "left_semi").drop("turn")
 
 
 def quota_by_domain(df: DataFrame, quota: int, domain: str, stratum: Column, rank: Column, tie: str) -> DataFrame:
     """For each domain `quota` rows by hash rank, in turn from its strata, with their `position`.
 
-    The first window is limited to `quota` rows per stratum before the second orders what is left.
+    No more than `quota` rows of a stratum reach the windows, and Catalyst limits each domain to `quota` before it sorts.
     """
-    rows = df.withColumn("_rank", rank).withColumn("_stratum", F.coalesce(stratum.cast("string"), F.lit("")))
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(domain, "_stratum").orderBy("_rank", tie))).filter(F.col("_turn") <= quota)
+    rows = lowest(df.withColumn("_stratum", F.coalesce(stratum.cast("string"), F.lit(""))), quota, rank, tie, [domain, "_stratum"]).withColumn("_rank", rank)
+    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(domain, "_stratum").orderBy("_rank", tie)))
     rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(domain).orderBy("_turn", "_stratum", tie))).filter(F.col("position") <= quota)
     return rows.drop("_rank", "_stratum", "_turn")

@@ -10,7 +10,8 @@ from loomspark.functions import text
 from loomspark.operators import contamination, sampling
 from loomspark.plans.q_text import norm, sql_grams, sql_words
 from loomspark.plans.registry import query
-from loomspark.session import load
+from loomspark.session import checkpoint, load
+from loomspark.sources import files
 
 _MATCHES = f"""p AS (SELECT row_id AS prompt_id, {norm('prompt')} AS p FROM source_rows WHERE prompt IS NOT NULL),
 pw AS (SELECT prompt_id, p, {sql_words('p')} AS w FROM p), ps AS (SELECT prompt_id, p, list_distinct({sql_grams('w', 13)}) AS s FROM pw),
@@ -23,8 +24,17 @@ v AS (SELECT c.prompt_id, c.item_id, benchmark, benchmark_index, common, len(ps.
 m AS (SELECT prompt_id, item_id, benchmark, benchmark_index, CASE WHEN exact THEN 'exact' ELSE 'near_duplicate' END AS level, CASE WHEN exact THEN 1.0 ELSE round(common::DOUBLE / (np + nb - common), 4) END AS score, matched_characters FROM v WHERE exact OR (common > 0 AND common::DOUBLE / (np + nb - common) >= 0.6))"""
 
 
-def matches(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.contamination_matches(load(spark, d, "source_rows"), load(spark, d, "benchmark_items"), "row_id", "prompt")
+#: The prompts, and beside them the items themselves: some with words around them, some with other words at both ends.
+_PLANTED = "(SELECT row_id, prompt FROM source_rows UNION ALL SELECT -1 - item_id, CASE item_id % 3 WHEN 0 THEN concat('Now: ', text, ' So it ends.') WHEN 1 THEN concat('Then', substr(text, 20), ' and so on') ELSE substr(text, 200) END FROM benchmark_items WHERE text IS NOT NULL)"
+_PLANTED_MATCHES = _MATCHES.replace("FROM source_rows WHERE prompt", f"FROM {_PLANTED} WHERE prompt")
+
+
+def planted_matches(spark: SparkSession, d: str) -> DataFrame:
+    items = load(spark, d, "benchmark_items")
+    k = F.col("item_id") % 3
+    said = F.when(k == 0, F.concat(F.lit("Now: "), "text", F.lit(" So it ends."))).when(k == 1, F.concat(F.lit("Then"), F.expr("substr(text, 20)"), F.lit(" and so on"))).otherwise(F.expr("substr(text, 200)"))
+    rows = load(spark, d, "source_rows").select("row_id", "prompt").unionByName(items.filter("text is not null").select((-1 - F.col("item_id")).alias("row_id"), said.alias("prompt")))
+    return contamination.contamination_matches(rows, items, "row_id", "prompt")
 
 
 #: Documents against the items: the same operator where many texts do hold items.
@@ -51,9 +61,9 @@ def join2(spark: SparkSession, d: str) -> DataFrame:
     return contamination.contamination_matches(load(spark, d, "documents"), short, "doc_id", "text").select("prompt_id", "item_id")
 
 
-@query("con_source_rows", f"WITH {_MATCHES} SELECT {_MATCH_COLUMNS} FROM m")
+@query("con_source_rows", f"WITH {_PLANTED_MATCHES} SELECT {_MATCH_COLUMNS} FROM m")
 def con_source_rows(spark: SparkSession, d: str) -> DataFrame:
-    return matches(spark, d)
+    return planted_matches(spark, d)
 
 
 @query("win4_strongest_match", f"WITH {_DOC_MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, benchmark, benchmark_index, item_id) AS k, count(*) OVER (PARTITION BY prompt_id) AS total_matches FROM m) SELECT {_MATCH_COLUMNS}, total_matches FROM r WHERE k = 1")
@@ -75,9 +85,9 @@ def agg3(spark: SparkSession, d: str) -> DataFrame:
     return contamination.contamination_report(doc_matches(spark, d), load(spark, d, "benchmark_items"))
 
 
-@query("rcp2_contamination_scan", f"WITH {_MATCHES} {_REPORT}")
+@query("rcp2_contamination_scan", f"WITH {_PLANTED_MATCHES} {_REPORT}")
 def rcp2(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.contamination_report(matches(spark, d), load(spark, d, "benchmark_items"))
+    return contamination.contamination_report(planted_matches(spark, d), load(spark, d, "benchmark_items"))
 
 
 @query("agg15_disjointness", f"WITH h AS (SELECT DISTINCT split IN ('sft') AS s, sha256({norm('prompt')}) AS h FROM recovery_pool WHERE prompt IS NOT NULL AND split IN ('sft', 'opd')) SELECT count(DISTINCT h) FILTER (s) AS left_prompts, count(DISTINCT h) FILTER (NOT s) AS right_prompts, (SELECT count(*) FROM (SELECT h FROM h WHERE s INTERSECT SELECT h FROM h WHERE NOT s)) AS overlap FROM h")
@@ -157,9 +167,10 @@ def srt5(spark: SparkSession, d: str) -> DataFrame:
     return sampling.balanced_sample(pool_ids(spark, d), 102, "domain", sampling.stable_rank("c", F.col("sample_id")), "sample_id")
 
 
-@query("rcp4_calibration_sample", f"WITH s AS ({_BALANCED}) SELECT domain, count(*) AS n, sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)) AS digest FROM s GROUP BY domain")
+@query("rcp4_calibration_sample", f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY sample_id) - 1 AS place FROM ({_BALANCED})), b AS (SELECT domain, place // 1024 AS block, count(*) AS n, sha256(string_agg(sample_id, chr(10) ORDER BY place)) AS d FROM s GROUP BY domain, block) SELECT domain, sum(n)::BIGINT AS n, sha256(string_agg(d, chr(10) ORDER BY block)) AS digest FROM b GROUP BY domain")
 def rcp4(spark: SparkSession, d: str) -> DataFrame:
-    return srt5(spark, d).groupBy("domain").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("sample_id")), "\n"), 256).alias("digest"))
+    s = checkpoint(sampling.interleave(srt5(spark, d), "domain", F.col("sample_id"), None).withColumn("place", F.col("turn") - 1))
+    return files.ordered_digest(s, "sample_id", "place", ["domain"]).join(s.groupBy("domain").agg(F.count("*").alias("n")), "domain").select("domain", "n", "digest")
 
 
 @query("srt6_up_to_n", f"SELECT sample_id, domain FROM {_POOL} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY sha256(concat('u:', sample_id)), sample_id) <= 60")
@@ -177,10 +188,11 @@ def srt8(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark_items").orderBy("benchmark", "benchmark_index").limit(25).select("item_id")
 
 
-@query("srt9_date_desc", "SELECT row_id, row_number() OVER (ORDER BY CAST(fetched_at AS DATE) DESC, ord, row_id) AS place FROM source_rows QUALIFY place <= 200")
+@query("srt9_date_desc", "SELECT row_id, row_number() OVER (ORDER BY CAST(fetched_at AS DATE) DESC NULLS LAST, ord, row_id) AS place FROM source_rows")
 def srt9(spark: SparkSession, d: str) -> DataFrame:
-    top = load(spark, d, "source_rows").withColumn("day", F.to_date("fetched_at")).orderBy(F.desc("day"), "ord", "row_id").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("day"), "ord", "row_id"))).select("row_id", "place")
+    """The place of every row, the newest day first and as encountered within a day."""
+    rows = load(spark, d, "source_rows").select("row_id", "ord", F.coalesce(-F.unix_date(F.to_date("fetched_at")), F.lit(1 << 30)).alias("age"))
+    return sampling.global_rank(rows, ["age", "ord", "row_id"], "place").select("row_id", (F.col("place") + 1).alias("place"))
 
 
 @query("flt4_date_window", "SELECT row_id FROM source_rows WHERE substr(CAST(fetched_at AS VARCHAR), 1, 10) BETWEEN '2025-03-05' AND '2025-03-09'")
@@ -188,16 +200,25 @@ def flt4(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "source_rows").filter("fetched_at >= timestamp'2025-03-05' and fetched_at < timestamp'2025-03-10'").select("row_id")
 
 
-@query("srt17_reverse_index", "SELECT row_id, row_number() OVER (ORDER BY ord, row_id) - 1 AS old_place, ord AS new_place FROM source_rows QUALIFY old_place < 500")
+@query("srt17_reverse_index", "SELECT row_id, row_number() OVER (ORDER BY ord, row_id) - 1 AS old_place, ord AS new_place FROM source_rows")
 def srt17(spark: SparkSession, d: str) -> DataFrame:
-    """The inverse of a permutation of all rows, which is checked to be one; the SQL asks for its first 500 places."""
+    """The inverse of a permutation of all rows, which is checked to be one."""
     rows = sampling.inverse_permutation(load(spark, d, "source_rows").select("row_id", "ord"), "ord", "row_id", "old_place")
-    return rows.filter("old_place < 500").select("row_id", "old_place", F.col("ord").alias("new_place"))
+    return rows.select("row_id", "old_place", F.col("ord").alias("new_place"))
+
+
+_ORDERS = {"random": "sha256(concat('r:', row_id))", "sequential": "lpad(ord::VARCHAR, 20, '0')", "curriculum": "concat(CASE lower(strata['difficulty']) WHEN 'easy' THEN 0 WHEN 'medium' THEN 1 WHEN 'hard' THEN 2 WHEN 'very_hard' THEN 3 ELSE 4 END, ':', sha256(concat('r:', row_id)))"}
 
 
-@query("srt19_sampler_order", f"SELECT row_id, row_number() OVER (ORDER BY sha256(concat('r:', row_id)), row_id) AS place FROM source_rows QUALIFY place <= 300")
+@query("srt19_sampler_order", " UNION ALL ".join(f"SELECT '{name}' AS sampler, row_id, row_number() OVER (ORDER BY {key}, row_id) AS place FROM source_rows" for name, key in _ORDERS.items()))
 def srt19(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.quota_sample(load(spark, d, "source_rows"), 300, sampling.stable_rank("r", F.col("row_id")), tie="row_id").select("row_id", F.col("position").alias("place"))
+    """The order in which each sampler delivers all rows: at random, as they came, from easy to hard."""
+    rows = load(spark, d, "source_rows").select("row_id", "ord", F.lower(F.try_element_at("strata", F.lit("difficulty"))).alias("level"))
+    draw = sampling.stable_rank("r", F.col("row_id"))
+    step = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ("easy", "medium", "hard", "very_hard"))), F.col("level")), F.lit(0)) - 1, F.lit(4))
+    keys = {"random": draw, "sequential": F.lpad(F.col("ord").cast("string"), 20, "0"), "curriculum": F.concat(step.cast("string"), F.lit(":"), draw)}
+    parts = [sampling.global_rank(rows.select("row_id", key.alias("key")), ["key", "row_id"], "place").select(F.lit(name).alias("sampler"), "row_id", (F.col("place") + 1).alias("place")) for name, key in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("srt20_latest_checkpoint", "SELECT arg_max(path, step) AS latest, max(step) AS step FROM (SELECT concat('run/checkpoint-', event_id) AS path, event_id AS step FROM events)")
@@ -272,8 +293,9 @@ def rcp1(spark: SparkSession, d: str) -> DataFrame:
     """Both pools: extracted, deduplicated, decontaminated, with quotas per domain in turn over strata, disjoint."""
     rows = load(spark, d, "source_rows").filter(F.col("prompt").isNotNull() & F.col("domain").isin(*DOMAINS) & (F.length(F.trim("prompt")) >= 24))
     rows = rows.select("row_id", "ord", "domain", "source", "source_id", "prompt", text.normalize(F.col("prompt")).alias("key"), F.coalesce(F.try_element_at("strata", F.lit("difficulty")), F.lit("")).alias("stratum"))
-    rows = sampling.keep_first(rows, ["key"], ["ord", "row_id"])
-    clean = rows.join(matches(spark, d).select(F.col("prompt_id").alias("row_id")), "row_id", "left_anti")
+    rows = checkpoint(sampling.keep_first(rows, ["key"], ["ord", "row_id"]))
+    hits = contamination.contamination_matches(rows, load(spark, d, "benchmark_items"), "row_id", "prompt").select(F.col("prompt_id").alias("row_id"))
+    clean = checkpoint(rows.join(hits, "row_id", "left_anti"))  # both pools are cut from it
     sft = sampling.quota_by_domain(clean, SFT_QUOTA, "domain", F.col("stratum"), rank_of("sft"), "row_id")
     rest = clean.join(sft.select("key"), "key", "left_anti")
     opd = sampling.quota_by_domain(rest, OPD_QUOTA, "domain", F.col("stratum"), rank_of("opd"), "row_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import prompts, text
+from loomspark.operators import contamination
 from loomspark.plans.registry import query
 from loomspark.session import load, spread
 
@@ -53,28 +54,26 @@ def sca4(spark: SparkSession, d: str) -> DataFrame:
     return text.explode_once(load(spark, d, "benchmark_items"), text.shingles(text.normalize(F.col("text"))), "shingle", "item_id")
 
 
-_PAIR = f"WITH s AS (SELECT row_id, source_id, {norm('prompt')} AS p FROM source_rows WHERE prompt IS NOT NULL), l AS (SELECT row_id, p, lag(p) OVER (ORDER BY row_id) AS q FROM s)"
-
-
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each prompt with the one of the row before it (a self-join on the row number)."""
-    s = load(spark, d, "recovery_pool").filter("sample_id is not null and prompt is not null")
-    s = s.groupBy("sample_id", "split").agg(F.min("prompt").alias("prompt")).withColumn("p", text.normalize(F.col("prompt")))
-    return s.join(s.select(F.col("sample_id").alias("other_id"), F.col("p").alias("q")), F.substring("sample_id", -4, 3) == F.substring("other_id", -4, 3)).filter("sample_id < other_id")
+    """Documents and benchmark items that share a run of eight words."""
+    texts, items = (load(spark, d, n).filter("text is not null").select(k, text.normalize(F.col("text")).alias("t")) for n, k in (("documents", "doc_id"), ("benchmark_items", "item_id")))
+    return contamination.candidate_texts(texts, items, 8)
 
 
-_POOL_PAIRS = f"WITH s AS (SELECT sample_id, split, {norm('min(prompt)')} AS p FROM recovery_pool WHERE sample_id IS NOT NULL AND prompt IS NOT NULL GROUP BY sample_id, split), l AS (SELECT a.sample_id, b.sample_id AS other_id, a.p, b.p AS q FROM s a JOIN s b ON substr(a.sample_id, -4, 3) = substr(b.sample_id, -4, 3) AND a.sample_id < b.sample_id)"
+_SHARED = f"""WITH a AS (SELECT doc_id AS left_id, {norm('text')} AS p FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id AS right_id, {norm('text')} AS q FROM benchmark_items WHERE text IS NOT NULL),
+ag AS (SELECT DISTINCT left_id, unnest({sql_grams(sql_words('p'), 8)}) AS g FROM a), bg AS (SELECT DISTINCT right_id, unnest({sql_grams(sql_words('q'), 8)}) AS g FROM b),
+l AS (SELECT DISTINCT left_id, right_id, p, q FROM ag JOIN bg USING (g) JOIN a USING (left_id) JOIN b USING (right_id))"""
 
 
-@query("sca5_jaccard", f"{_POOL_PAIRS}, g AS (SELECT sample_id, other_id, list_distinct({sql_grams(sql_words('p'), 3)}) AS a, list_distinct({sql_grams(sql_words('q'), 3)}) AS b FROM l) SELECT sample_id, other_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 9) END AS score FROM g")
+@query("sca5_jaccard", f"{_SHARED}, g AS (SELECT left_id, right_id, list_distinct({sql_grams(sql_words('p'), 3)}) AS a, list_distinct({sql_grams(sql_words('q'), 3)}) AS b FROM l) SELECT left_id, right_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 9) END AS score FROM g")
 def sca5(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).select("sample_id", "other_id", text.shingles(F.col("p"), 3).alias("a"), text.shingles(F.col("q"), 3).alias("b"))
-    return p.select("sample_id", "other_id", F.round(text.jaccard(F.col("a"), F.col("b")), 9).alias("score"))
+    p = _pairs(spark, d).select("left_id", "right_id", text.shingles(F.col("p"), 3).alias("a"), text.shingles(F.col("q"), 3).alias("b"))
+    return p.select("left_id", "right_id", F.round(text.jaccard(F.col("a"), F.col("b")), 9).alias("score"))
 
 
-@query("sca6_containment", f"{_POOL_PAIRS} SELECT sample_id, other_id, (least(length(p), length(q)) >= 48 AND (contains(p, q) OR contains(q, p))) AS contained FROM l")
+@query("sca6_containment", f"{_SHARED} SELECT left_id, right_id, (least(length(p), length(q)) >= 48 AND (contains(p, q) OR contains(q, p))) AS contained FROM l")
 def sca6(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("sample_id", "other_id", text.contained(F.col("p"), F.col("q")).alias("contained"))
+    return _pairs(spark, d).select("left_id", "right_id", text.contained(F.col("p"), F.col("q")).alias("contained"))
 
 
 _COMPETING_SQL = prompts.COMPETING.replace("'", "''")

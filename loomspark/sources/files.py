@@ -75,10 +75,30 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
     return df.select(*walk(df.schema, ()))
 
 
-def ordered_digest(df: DataFrame, key: str, order: str, blocks: int = 1024) -> DataFrame:
-    """A digest of the ids in order, by blocks of the order: equal tables have equal digests, whatever their partitions."""
-    inner = df.groupBy(F.floor(F.col(order) / blocks).alias("block")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, key))), lambda x: x[key].cast("string")), "\n"), 256).alias("d"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.count("*").alias("blocks"))
+def _blocks(df: DataFrame, group: list[str], fanout: int) -> DataFrame:
+    """(group, _at, _d) of the blocks above rows (group, _at, _d): a digest of the digests of each `fanout` of them."""
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]), "\n")
+    return df.groupBy(*group, F.floor(F.col("_at") / fanout).alias("_block")).agg(F.sha2(inside, 256).alias("_d")).withColumnRenamed("_block", "_at")
+
+
+def ordered_digest(df: DataFrame, key: str, order: str, group: Sequence[str] = (), fanout: int = 1024) -> DataFrame:
+    """(group, digest, blocks): a digest of the keys by their places (from 0, each once), for each group if there are any.
+
+    A tree of digests: each is of up to `fanout` below it, until one is left, so that no task holds more. Equal tables
+    have equal digests, whatever their partitions.
+    """
+    group = list(group)
+    last = df.agg(F.max(order)).first()[0] or 0
+    leaves = _blocks(df.select(*group, F.col(order).alias("_at"), F.col(key).cast("string").alias("_d")), group, fanout)
+    last, root = last // fanout, leaves
+    while True:
+        root, last = _blocks(root, group, fanout), last // fanout
+        if last == 0:
+            break
+    sizes = df.groupBy(*group, F.floor(F.col(order) / fanout).alias("_at")).agg(F.lit(1).alias("_one")).groupBy(*group).agg(F.count("*").alias("blocks"))
+    if not group:
+        return root.select(F.col("_d").alias("digest")).crossJoin(F.broadcast(sizes))  # one row each
+    return root.select(*group, F.col("_d").alias("digest")).join(sizes, group)
 
 
 def signature(*parts: Column) -> Column:

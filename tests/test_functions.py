@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from itertools import product
 from statistics import fmean, pstdev
@@ -131,14 +132,27 @@ def test_graders(spark):
     assert value(spark, grading.pass_at_k(n, c, 1)) == 0.5 and value(spark, grading.pass_at_k(n, c, 2)) == 1.0
 
 
-def test_contamination_branches(spark):
+def test_contamination_branches(spark, monkeypatch):
     words = [f"word{i}" for i in range(40)]
     items = [("near", " ".join(words[:30])), ("short", "what does alphabetagamma owe deltaepsilon after sixty"), ("low", " ".join(words[10:40]))]
     b = spark.createDataFrame([(i, n, i, t) for i, (n, t) in enumerate(items)], "item_id bigint, benchmark string, benchmark_index int, text string")
     docs = [" ".join([*words[:28], "x", "y"]), "so: WHAT does alphabetagamma, owe deltaepsilon after sixty days", "alphabetagamma owe deltaepsilon after sixty", "", None, items[0][1].upper()]
     p = spark.createDataFrame(list(enumerate(docs)), "id bigint, t string")
-    got = {(r.prompt_id, r.benchmark): (r.level, r.score) for r in contamination.contamination_matches(p, b, "id", "t").collect()}
-    assert got == {(0, "near"): ("near_duplicate", round(16 / 20, 4)), (1, "short"): ("exact", 1.0), (5, "near"): ("exact", 1.0)}
+    want = {(0, "near"): ("near_duplicate", round(16 / 20, 4)), (1, "short"): ("exact", 1.0), (5, "near"): ("exact", 1.0)}
+    assert {(r.prompt_id, r.benchmark): (r.level, r.score) for r in contamination.contamination_matches(p, b, "id", "t").collect()} == want
+    monkeypatch.setattr(contamination, "broadcast_if_few", lambda df: df)  # both sides shuffled, hot shingles in parts
+    monkeypatch.setattr(contamination, "SALTS", 1)
+    assert {(r.prompt_id, r.benchmark): (r.level, r.score) for r in contamination.contamination_matches(p, b, "id", "t").collect()} == want
+
+
+def test_contamination_of_one_or_two_words(spark):
+    one, two, half = "z" * 20 + "y" * 40, "a" * 40 + " " + "b" * 12, "c" * 6 + " " + "d" * 50
+    b = spark.createDataFrame([(i, "x", i, t) for i, t in enumerate((one, two, half, "short words"))], "item_id bigint, benchmark string, benchmark_index int, text string")
+    long = " ".join(f"w{i}" for i in range(20))
+    docs = [f"{long} q{one}q {long}", f"{long} q{two}q {long}", f"{long} q{half}q {long}", long, f"{long} {two.split()[0]} x {two.split()[1]}", one[3:55], two[1:50], f"{one[:47]} {long}"]
+    p = spark.createDataFrame(list(enumerate(docs)), "id bigint, t string")
+    got = sorted((r.prompt_id, r.item_id) for r in contamination.contamination_matches(p, b, "id", "t").collect())
+    assert got == [(0, 0), (1, 1), (2, 2), (5, 0), (6, 1)]
 
 
 def test_sampling(spark):
@@ -150,6 +164,12 @@ def test_sampling(spark):
     assert sorted(r.id for r in sampling.keep_first(df, ["k"], ["id"]).collect()) == [0, 2, 4, 6, 8]
     assert [value(spark, sampling.van_der_corput(F.lit(k))) for k in range(5)] == [0, 0.5, 0.25, 0.75, 0.125]
     assert sorted(r.part for r in sampling.first_n_split(df, 3, rank, "id").collect()).count("sft") == 3
+    many = spark.range(4000).select("id", (F.col("id") % 1300).cast("string").alias("s"))
+    assert sampling.balanced_sample(many, 2600, "s", F.sha2(F.col("id").cast("string"), 256), "id").groupBy("s").count().filter("count = 2").count() == 1300
+    ranks = sorted((r.id for r in many.collect()), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+    for n in (0, 1, 777, 4000, 5000):
+        assert {r.id for r in sampling.lowest(many, n, F.sha2(F.col("id").cast("string"), 256), "id").collect()} == set(ranks[:n])
+        assert {r.id for r in sampling.first_n_split(many, n, F.sha2(F.col("id").cast("string"), 256), "id").filter("part = 'sft'").collect()} == set(ranks[:n])
     assert {r.s: r["count"] for r in sampling.balanced_sample(df, 6, "s", rank, "id").groupBy("s").count().collect()} == {"a": 2, "b": 2, "c": 1, "z": 1}
 
 
