@@ -1,13 +1,15 @@
 """Instruction checkers: does a response follow a constraint? Each is a Column over the response.
 
-Arguments must be given (nothing is drawn at random). Rules that need a sentence tokenizer, part-of-speech tags, syllable
-counts or an emoji list are in `UNSUPPORTED` unless a plain definition exists: no stand-in is used silently.
+Arguments must be given (nothing is drawn at random). Sentences, words and emoji have plain definitions (`sentences`,
+`tokens`, `EMOJI`), which are no trained tokenizers; rules that need part-of-speech tags or syllables are in `UNSUPPORTED`.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,20 +25,27 @@ NAMES = (
 ).split(", ")
 TEMPLATE = ["My Answer:", "My Conclusion:", "Future Outlook:"]
 
+CAPITALS = (
+    "Reykjavik, Helsinki, Oslo, Tallinn, Stockholm, Riga, Moscow, Copenhagen, Vilnius, Minsk, Dublin, Berlin, Amsterdam, Warsaw, London, Brussels, Prague, Luxembourg, Paris, Vienna, Bratislava, Budapest, Vaduz, Chisinau, Bern, Ljubljana, Zagreb"
+).split(", ")
+PRONOUNS = (
+    "i me we us you he him she her it they them my mine our ours your yours his hers its their theirs myself ourselves yourself yourselves himself herself itself themselves this that these those who whom whose which what whoever whomever whatever whichever "
+    "anybody anyone anything everybody everyone everything nobody nothing somebody someone something each either neither both all some any none"
+).split()
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing "
+    "a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such "
+    "no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
+CITY_HEADER = ["ID", "Country", "City", "Year", "Count"]
+PRODUCT_HEADER = ["ProductID", "Category", "Brand", "Price", "Stock"]
+STUDENT_HEADER = ["StudentID", "Subject", "Grade", "Semester", "Score"]
+#: Blocks of code points that are emoji (a plain definition, not the registry's list of sequences).
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{231A}\x{231B}\x{23E9}-\x{23FA}\x{1F1E6}-\x{1F1FF}\x{FE0F}]"
+
 UNSUPPORTED = {
-    "ratio:stop_words": "needs a stop-word list that is not shipped",
     "words:start_verb": "needs part-of-speech tags",
     "words:odd_even_syllables": "needs syllable counts",
-    "format:emoji": "needs an emoji list",
-    "count:pronouns": "needs a trained word tokenizer",
-    "words:words_position": "needs a trained word tokenizer",
-    "format:title_case": "needs a trained word tokenizer",
-    "words:keywords_specific_position": "needs trained sentence and word tokenizers",
-    "custom:reverse_newline": "needs Unicode decomposition",
-    "custom:european_capitals_sort": "needs Unicode decomposition",
-    "custom:mcq_count_length": "needs a parser of question blocks",
-    "custom:word_reverse": "needs a trained sentence tokenizer",
-    "format:no_bullets_bullets": "needs a trained sentence tokenizer",
 }
 
 
@@ -166,8 +175,10 @@ def prime_lengths(t: Column) -> Column:
 
 
 def option_response(t: Column, options: list[str], strict: bool) -> Column:
-    norm = (lambda x: x) if strict else (lambda x: F.lower(bare(strip(x))))
-    return F.array_contains(F.array(*[norm(F.lit(o)) for o in options]), norm(t if strict else t))
+    """Is the response one of the options? Unless strict, case, and punctuation and spaces at the ends, do not count."""
+    ends = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~ ]"
+    norm = (lambda x: x) if strict else (lambda x: F.lower(F.regexp_replace(x, f"^{ends}+|{ends}+$", "")))
+    return norm(t).isin(*[norm(F.lit(o)) for o in options]) if strict else F.array_contains(F.array(*[norm(F.lit(o)) for o in options]), norm(t))
 
 
 def newline_words(t: Column) -> Column:
@@ -297,24 +308,194 @@ def indent_stairs(t: Column) -> Column:
     return adjacent(F.transform(kept, lambda x: F.length(x) - F.length(F.ltrim(x))), lambda a, b: b > a)
 
 
-def nested_quotes(t: Column) -> Column:
-    """Single and double quotes open inside each other three levels deep and close again."""
+def nested_quotes(t: Column, levels: int = 3) -> Column:
+    """Single and double quotes open inside each other, and `levels` of them close again from the deepest there was."""
     start = F.struct(F.lit("").alias("stack"), F.lit(0).alias("deep"), F.lit(False).alias("ok"))
 
     def step(s: Column, c: Column) -> Column:
         closes = s["stack"].endswith(c) & (s["stack"] != "")
         stack = F.when(closes, F.substring(s["stack"], F.lit(1), F.length(s["stack"]) - 1)).otherwise(F.concat(s["stack"], c))
-        deep = F.greatest(s["deep"], F.length(stack))
-        return F.struct(stack.alias("stack"), F.when(F.length(stack) == 0, 0).otherwise(deep).alias("deep"), (s["ok"] | (closes & (s["deep"] >= 3))).alias("ok"))
+        return F.struct(stack.alias("stack"), F.greatest(s["deep"], F.length(stack)).alias("deep"), (s["ok"] | (closes & (s["deep"] - F.length(stack) >= levels))).alias("ok"))
 
     return F.aggregate(F.filter(F.split(F.regexp_replace(t, "[^'\"]", ""), ""), lambda c: c != ""), start, step)["ok"]
 
 
-def csv_shape(t: Column, rows: int, columns: int) -> Column:
-    """A header and `rows` rows of `columns` fields; fields in quotes may hold commas."""
-    filled = F.filter(lines(F.replace(strip(t), F.lit("\r"), F.lit(""))), lambda x: x != "")
-    fields = lambda x: F.regexp_count(F.regexp_replace(x, '"[^"]*"', ""), F.lit(",")) + 1
-    return (F.size(filled) == rows + 1) & every(filled, lambda x: fields(x) == columns)
+def _table(t: Column) -> Column:
+    """Lines of a table; the line end after the last one opens no further line."""
+    return F.split(F.regexp_replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), r"\n\z", ""), "\n")
+
+
+def _fields(line: Column, separator: str) -> Column:
+    """The number of fields; quoted ones may hold separators."""
+    return F.regexp_count(F.regexp_replace(line, '"[^"]*"', ""), F.lit(separator)) + 1
+
+
+def _header(names: list[str], between: str) -> str:
+    return "^" + between.join(f'(?:{n}|"{n}")' for n in names) + "$"
+
+
+def csv_city(t: Column) -> Column:
+    """The header of `CITY_HEADER` and seven rows of five fields."""
+    return let(_table(t), lambda a: (F.size(a) == 8) & F.get(a, 0).rlike(_header(CITY_HEADER, ",")) & every(a, lambda x: (x != "") & (_fields(x, ",") == 5)))
+
+
+def csv_special_character(t: Column) -> Column:
+    """The header of `PRODUCT_HEADER` and fourteen rows, of five fields up to one with a special character in quotes."""
+
+    def first(a: Column) -> Column:
+        flags = F.transform(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x: F.when(_fields(x, ",") != 5, "short").when(x.rlike(r'(?U)(?:^|,)"[^"]*[^\d\w\s"][^"]*"'), "special").otherwise("plain"))
+        return F.coalesce(F.get(F.filter(flags, lambda f: f != "plain"), 0) == "special", F.lit(False))
+
+    return let(_table(t), lambda a: (F.size(a) == 15) & strip(F.get(a, 0)).rlike(_header(PRODUCT_HEADER, r",[ \t]*")) & first(a))
+
+
+def csv_quotes(t: Column) -> Column:
+    """The header of `STUDENT_HEADER`, tabs between fields, three rows, and all fields in double quotes."""
+    quoted = r'^ *"[^"\t]*" *(?:\t *"[^"\t]*" *){4}$'
+    return let(_table(t), lambda a: (F.size(a) == 4) & strip(F.get(a, 0)).rlike(_header(STUDENT_HEADER, r"\t *")) & every(a, lambda x: x.rlike(quoted)))
+
+
+def tokens(t: Column) -> Column:
+    """Words, hyphenated ones whole, and single marks (a plain definition, not a trained tokenizer)."""
+    return F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}\p{M}_]+(?:['’-][\p{L}\p{N}\p{M}_]+)*|[^\p{L}\p{N}\p{M}_\s]"), F.lit(0))
+
+
+def _is_word(w: Column) -> Column:
+    return w.rlike(r"^[\p{L}\p{N}\p{M}_]")
+
+
+def stop_word_share(t: Column, percent: float) -> Column:
+    """At most so many percent of the words are stop words; no words, no share."""
+    ws = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
+    return let(ws, lambda a: (F.size(a) > 0) & (F.size(F.filter(a, lambda w: w.isin(STOP_WORDS))) * 100 / F.greatest(F.size(a), F.lit(1)) <= percent))
+
+
+def pronouns(t: Column, least: int) -> Column:
+    return F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0)), lambda w: w.isin(PRONOUNS))) >= least
+
+
+def growing_alliteration(t: Column) -> Column:
+    """Every sentence has more words in runs of one first letter than the one before."""
+
+    def runs(sentence: Column) -> Column:
+        initials = F.filter(F.transform(words(F.lower(sentence)), lambda w: F.substring(F.regexp_replace(w, r"^[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~ ]+", ""), 1, 1)), lambda c: c != "")
+        same = lambda a: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), lambda x, y: x == y)
+        # A run of n words has n - 1 equal neighbours; the first of them counts for two words.
+        return let(let(initials, same), lambda f: F.size(F.filter(f, lambda x: x)) + F.size(F.filter(f, lambda x, i: x & ((i == 0) | ~F.coalesce(F.get(f, i - 1), F.lit(False))))))
+
+    return adjacent(F.transform(sentences(t), runs), lambda a, b: a < b)
+
+
+def ends_with_emoji(t: Column) -> Column:
+    """An emoji at the end of every sentence, or at the beginning of the next."""
+    bared = F.transform(sentences(t), lambda s: strip(bare(s)))
+    near = lambda a: F.transform(a, lambda x, i: F.right(x, F.lit(2)).rlike(EMOJI) | F.coalesce(F.left(F.get(a, i + 1), F.lit(1)).rlike(EMOJI), F.lit(False)))
+    return let(bared, lambda a: every(a, lambda x: x != "") & every(near(a), lambda ok: ok))
+
+
+def ascii_fold(t: Column) -> Column:
+    """Letters without marks; what has no plain form is left out."""
+
+    @F.pandas_udf("string")
+    def fold(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    return fold(t)
+
+
+def countries_backwards(t: Column, least: int = 52) -> Column:
+    """From the line of Zimbabwe on, at least so many lines in descending order, without marks on letters."""
+    ends = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~ ]"
+    kept = F.filter(F.transform(lines(ascii_fold(t)), lambda x: F.regexp_replace(x, f"^{ends}+|{ends}+$", "")), lambda x: x != "")
+
+    def ordered(a: Column) -> Column:
+        return let(F.slice(a, F.greatest(F.array_position(F.transform(a, lambda x: F.contains(x, F.lit("Zimbabwe"))), True), F.lit(1)).cast("int"), F.greatest(F.size(a), F.lit(1))), lambda b: (F.size(b) >= least) & F.contains(F.get(b, 0), F.lit("Zimbabwe")) & adjacent(b, lambda x, y: x >= y))
+
+    return F.coalesce(let(kept, ordered), F.lit(False))
+
+
+def capitals_sorted(t: Column) -> Column:
+    """The capitals of `CAPITALS` in their order, between commas."""
+    given = F.filter(F.transform(F.split(ascii_fold(t), ","), strip), lambda x: x != "")
+    return given == F.array(*map(F.lit, CAPITALS))
+
+
+def reversed_sentence(t: Column) -> Column:
+    """Read backwards, word by word, one sentence about the bald eagle."""
+    back = F.array_join(F.reverse(words(bare(F.lower(strip(t))))), " ")
+    return F.contains(back, F.lit("bald eagle"))
+
+
+def some_bullets(t: Column) -> Column:
+    """At least two sentences, then at least two lines that start with an asterisk, and nothing else after them."""
+
+    def shape(a: Column) -> Column:
+        flags = F.transform(a, lambda x: strip(x).startswith("*"))
+        first = F.array_position(flags, True)
+        before = F.aggregate(F.slice(a, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")), F.lit(0), lambda n, x: n + F.size(sentences(strip(x))))
+        # A blank line among the leading lines ends the sentences: only bullets may follow it.
+        blank = F.exists(F.slice(a, F.lit(1), F.greatest(first - 2, F.lit(0)).cast("int")), lambda x: strip(x) == "")
+        bullets = F.size(a) - first + 1
+        return (first > 0) & (before >= 2) & ~blank & (bullets >= 2) & every(F.slice(flags, F.greatest(first, F.lit(1)).cast("int"), F.size(a)), lambda f: f)
+
+    return let(lines(t), shape)
+
+
+def growing_questions(t: Column, questions: int = 4, options: int = 5) -> Column:
+    """Nothing but so many numbered questions with so many options each, every question longer than the one before."""
+    blocks = F.filter(F.transform(F.split(t, r"\n*Question \d+[.|):;]?\s*"), strip), lambda x: x != "")
+    is_option = lambda x: strip(x).rlike(r"(?U)^[A-Ea-e][.|)]\s*\w+")
+
+    def size(block: Column) -> Column:
+        flags = F.transform(lines(block), is_option)
+        first = F.array_position(flags, True)
+        asked = F.slice(lines(block), F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))
+        return F.when(F.size(F.filter(flags, lambda f: f)) == options, F.length(strip(F.array_join(F.transform(asked, strip), " "))))
+
+    return t.startswith("Question") & let(F.transform(blocks, size), lambda a: (F.size(a) == questions) & every(a, lambda x: x.isNotNull()) & adjacent(a, lambda x, y: x < y))
+
+
+def keyword_at(t: Column, keyword: str, sentence: int, word: int) -> Column:
+    """The word at a place (from 1) of a sentence; marks are no words."""
+    ws = F.filter(tokens(F.get(sentences(t), sentence - 1)), _is_word)
+    return F.coalesce(F.lower(F.get(ws, word - 1)) == keyword.lower(), F.lit(False))
+
+
+def words_at_both_ends(t: Column, keyword: str) -> Column:
+    """The second word and the second to last (a closing mark aside) are the keyword."""
+
+    def both(a: Column) -> Column:
+        back = F.when(_is_word(F.try_element_at(a, F.lit(-1))), F.try_element_at(a, F.lit(-2))).otherwise(F.try_element_at(a, F.lit(-3)))
+        return (F.lower(F.get(a, 1)) == keyword.lower()) & (F.lower(back) == keyword.lower())
+
+    return F.coalesce(let(tokens(t), both), F.lit(False))
+
+
+def title_case(t: Column) -> Column:
+    """No word begins in lower case; one that mixes cases otherwise is let pass."""
+    return every(F.filter(tokens(t), lambda w: w.rlike(r"^\p{L}")), lambda w: ~w.rlike(r"^\p{Ll}(?:[^\p{Lu}]*|[^\p{Ll}]*)$"))
+
+
+#: Checkers whose arguments come with each row: id -> (text, arguments by name) -> Column.
+WITH_ARGUMENTS: dict[str, Callable[[Column, Callable[[str], Column]], Column]] = {
+    "count:word_count_range": lambda t, arg: word_count_range(t, arg("min_words").cast("int"), arg("max_words").cast("int")),
+    "count:unique_word_count": lambda t, arg: unique_words(t, arg("N").cast("int")),
+    "count:conjunctions": lambda t, arg: conjunctions(t, arg("small_n").cast("int")),
+    "count:numbers": lambda t, arg: numbers(t, arg("N").cast("int")),
+    "count:pronouns": lambda t, arg: pronouns(t, arg("N").cast("int")),
+    "ratio:stop_words": lambda t, arg: stop_word_share(t, arg("percentage").cast("double")),
+    "words:repeats": lambda t, arg: word_repeats(t, arg("small_n").cast("int")),
+    "sentence:increment": lambda t, arg: growing_sentences(t, arg("small_n").cast("int")),
+}
+
+
+def follows(instruction: Column, t: Column, arguments: Column) -> Column:
+    """Does a response follow the instruction of its row, with the row's arguments (a map)? Others than those above fail."""
+    arg = lambda name: F.try_element_at(arguments, F.lit(name))
+    out = F.raise_error(F.concat(F.lit("no checker for "), F.coalesce(instruction, F.lit("null")))).cast("boolean")
+    for name, check in WITH_ARGUMENTS.items():
+        out = F.when(instruction == name, check(t, arg)).otherwise(out)
+    return out
 
 
 def loose_variants(t: Column) -> Column:

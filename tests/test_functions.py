@@ -86,7 +86,17 @@ def test_competing(spark):
     assert value(spark, prompts.competing_count(F.lit("The answer is [X]. Answer: X" + prompts.BOXED_SUFFIX), F.lit("math"))) == 2
 
 
+CITY = "ID,Country,City,Year,Count\n" + "1,a,b,2,3\n" * 7
+STOCK = "ProductID,Category,Brand,Price,Stock\n" + "1,a,b,2,3\n" * 13
+GRADES = "\n".join(["\t".join(f'"{x}"' for x in ck.STUDENT_HEADER)] + ['"1"\t"a b"\t"c"\t"d"\t"e"'] * 3)
+QUIZ = "\n".join(f"Question {i}. Why {'so ' * i}?\n" + "\n".join(f"{c}. it" for c in "ABCDE") for i in (1, 2, 3, 4))
 CHECKS = [
+    (ck.csv_city, CITY, True), (ck.csv_city, CITY.replace("City", "Town"), False), (ck.csv_city, "a,b,c,d,e\n" + CITY[26:], False), (ck.csv_city, CITY + "\n", False), (ck.csv_special_character, STOCK + '1,"a#",b,2,3', True), (ck.csv_special_character, STOCK + "1,a,b,2,3", False),
+    (ck.csv_special_character, STOCK.replace("1,a,b,2,3\n", "1,a,b\n", 1) + '1,"a#",b,2,3', False), (ck.csv_quotes, GRADES, True), (ck.csv_quotes, GRADES.replace('"e"', "e"), False), (ck.csv_quotes, GRADES.replace("\t", ","), False),
+    (ck.nested_quotes, "'a \"b 'c' d", False), (lambda t: ck.option_response(t, ["itsyes no"], False), "it's-yes no", False), (lambda t: ck.option_response(t, ["it's-yes no"], False), "(It's-YES no).", True),
+    (ck.growing_alliteration, "One thing. Big bears run. Big bears bite two toads.", True), (ck.growing_alliteration, "Big bears. Two toads.", False), (ck.title_case, "A Big-Cat iPhone", True), (ck.title_case, "A big Cat", False), (ck.some_bullets, "A b. C d.\n\n* e\n* f", True), (ck.some_bullets, "A b.\n\nC d.\n* e\n* f", False), (ck.some_bullets, "A b. C d.\n* e\nx\n* f", False),
+    (ck.growing_questions, QUIZ, True), (ck.growing_questions, "Hi. " + QUIZ, False), (ck.growing_questions, QUIZ.replace("E. it", "it", 1), False), (ck.capitals_sorted, ",".join(ck.CAPITALS), True), (ck.capitals_sorted, ",".join(ck.CAPITALS[::-1]), False), (ck.countries_backwards, "Zimbabwe\n" + "x\n" * 60, False),
+    (lambda t: ck.pronouns(t, 3), "she/her/hers", True), (lambda t: ck.stop_word_share(t, 50), "the cat", True), (lambda t: ck.stop_word_share(t, 49), "the cat", False), (ck.ends_with_emoji, "Yes 😀. No!", False), (ck.ends_with_emoji, "Yes. 😀 No 🎉!", True), (lambda t: ck.keyword_at(t, "cat", 2, 3), "A. See, the CAT now.", True), (lambda t: ck.words_at_both_ends(t, "x"), "a x b x c!", True), (ck.reversed_sentence, "Flies eagle bald the!", True),
     (ck.nested_parentheses, "a ([{(())}]) b", True), (ck.nested_parentheses, "((((a))))", False), (ck.alphabet_loop, "zebra ate berries", True), (ck.alphabet_loop, "a c", False),
     (ck.prime_lengths, "is the", True), (ck.prime_lengths, "four", False), (ck.multiples, "14, 21, 28, 35, 42, 49", True), (ck.reversed_phrase, "elgae dlab", True), (ck.punctuation_cover, "a. b, c! d? e; f: g!?", True),
     (ck.date_list, "1800-02-29, 1769-12-31", True), (ck.date_list, "1800-02-30", False), (ck.italics_thesis, "<i>x</i> more", True), (ck.italics_thesis, "<i> </i> more", False), (ck.no_whitespace, "a　b", False),
@@ -94,7 +104,7 @@ CHECKS = [
     (ck.no_consecutive_initials, "a b a", True), (ck.no_consecutive_initials, "a b bb", False), (ck.nested_quotes, "'a \"b 'c' d\" e'", True), (ck.nested_quotes, "'a' \"b\"", False), (ck.indent_stairs, "a\n b\n\n  c", True), (ck.indent_stairs, "a\nb", False),
     (ck.sentence_type_ratio, "A b. C d. E f?", True), (ck.last_first, "I go. Go on.", True), (ck.output_template, "My Answer: a My Conclusion: b Future Outlook: c", True), (ck.consonant_clusters, "strong words", True), (ck.few_vowels, "a test", True),
     (lambda t: ck.word_repeats(t, 1), "a A", False), (lambda t: ck.growing_sentences(t, 1), "A b. A b c.", True), (lambda t: ck.keyword_counts(t, ["a1", "b1", "c1", "d1", "e1"]), "a1 b1 b1 c1 c1 c1 " + "d1 " * 5 + "e1 " * 7, True),
-    (lambda t: ck.option_response(t, ["Yes", "No"], False), " yes. ", True), (lambda t: ck.option_response(t, ["Yes", "No"], True), "yes", False), (lambda t: ck.csv_shape(t, 1, 2), 'a,b\n"x,y",z', True), (lambda t: ck.person_names(t, 2), "Emma met Leo", True),
+    (lambda t: ck.option_response(t, ["Yes", "No"], False), " yes. ", True), (lambda t: ck.option_response(t, ["Yes", "No"], True), "yes", False), (lambda t: ck.person_names(t, 2), "Emma met Leo", True),
     (lambda t: ck.repeat_changed(t, F.lit("say it again")), "tell it again", True), (lambda t: ck.marker_list(t, "!!"), "!!a !!b", True), (lambda t: ck.nth_word_japanese(t, 2), "a 日 b 3", True), (lambda t: ck.keyword_in_sentence(t, "cat", 2), "A b. The cat.", True),
 ]
 
