@@ -522,14 +522,3 @@ def sca36(spark: SparkSession, d: str) -> DataFrame:
 @query("sca37_expected_steps", "SELECT split, (count(*) // 32) * 2 AS steps FROM recovery_pool GROUP BY split")
 def sca37(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "recovery_pool").groupBy("split").agg((F.floor(F.count("*") / 32) * 2).alias("steps"))
-
-
-def _extract(spark: SparkSession, d: str, domain: str, by_text: bool) -> DataFrame:
-    s = load(spark, d, "source_rows").filter((F.col("domain") == domain) & F.col("prompt").isNotNull() & (F.length(F.trim("prompt")) >= 24))
-    key = text.normalize(F.col("prompt")) if by_text else F.col("source_id")
-    return sampling.keep_first(s.select("row_id", "ord", key.alias("key")).filter("key is not null"), ["key"], ["ord", "row_id"]).select("row_id")
-
-
-for _n, _domain, _by_text in [("ext1_math", "math", True), ("ext2_code", "code", False), ("ext3_science", "science", True), ("ext4_instructions", "instruction_following", True), ("ext5_math_supplement", "math", True), ("ext6_code_by_id", "code", False), ("ext7_science_open", "science", True), ("ext8_instructions_by_id", "instruction_following", False)]:
-    _k = norm("prompt") if _by_text else "source_id"
-    query(_n, f"SELECT row_id FROM source_rows WHERE domain = '{_domain}' AND prompt IS NOT NULL AND length(trim(prompt)) >= 24 AND {_k} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_k} ORDER BY ord, row_id) = 1")(lambda spark, d, a=_domain, b=_by_text: _extract(spark, d, a, b))

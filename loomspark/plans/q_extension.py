@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import prompts
 from loomspark.functions import registry as reg
 from loomspark.operators import rollouts as ro
-from loomspark.plans.q_data import _extract, _scratch
+from loomspark.plans.q_data import _scratch
 from loomspark.plans.q_rollouts import _S, rounded, seqs
 from loomspark.plans.q_text import RESPONSES, norm, responses
 from loomspark.plans.registry import query
@@ -21,8 +21,6 @@ from loomspark.sources import files, generated
 
 for _name in ("grpo", "rloo", "opo", "gpg"):
     reg.ESTIMATORS.register(_name)(getattr(ro, _name))
-for _domain in ("math", "code", "science", "instruction_following"):
-    reg.EXTRACTORS.register(_domain)(lambda spark, d, a=_domain: _extract(spark, d, a, a != "code"))
 reg.custom_reward(lambda a, b: len(set(a.split()) & set(b.split())) / max(1, len(set(b.split()))), "word_overlap")
 
 
@@ -53,16 +51,6 @@ def src17(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_E = "SELECT '{0}' AS domain, count(DISTINCT {1}) AS n FROM source_rows WHERE domain = '{0}' AND prompt IS NOT NULL AND length(trim(prompt)) >= 24"
-
-
-@query("ext9_registry", f"{_E.format('math', norm('prompt'))} UNION ALL {_E.format('code', 'source_id')}")
-def ext9(spark: SparkSession, d: str) -> DataFrame:
-    """Extractors by the name of their domain."""
-    counts = [reg.EXTRACTORS.get(a)(spark, d).agg(F.count("*").alias("n")).select(F.lit(a).alias("domain"), "n") for a in ("math", "code")]
-    return counts[0].unionByName(counts[1])
-
-
 @query("snk9_generation_cache", "SELECT s * 50 AS start, (s + 1) * 50 AS stop, s % 2 = 0 AS cached FROM range(6) t(s)")
 def snk9(spark: SparkSession, d: str) -> DataFrame:
     """Shards of generations with manifests: a shard counts if signature, range and number of rows agree."""

@@ -33,16 +33,16 @@ def literal(x: str) -> str:
 WORDED_SQL = "(CASE row_id % " + str(len(AROUND)) + " " + " ".join(f"WHEN {k} THEN {literal(a)} || prompt || {literal(b)}" for k, (a, b) in enumerate(AROUND)) + " END)"
 
 
-def worded() -> Column:
+def worded_of(prompt: Column) -> Column:
     out = F.lit(None).cast("string")
     for k, (a, b) in enumerate(AROUND):
-        out = F.when(F.col("row_id") % len(AROUND) == k, F.concat(F.lit(a), "prompt", F.lit(b))).otherwise(out)
+        out = F.when(F.col("row_id") % len(AROUND) == k, F.concat(F.lit(a), prompt, F.lit(b))).otherwise(out)
     return out
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, domain, t): prompts with instructions around them."""
-    return spread(load(spark, d, "source_rows").filter("prompt is not null").select("row_id", "domain", worded().alias("t")))
+    return spread(load(spark, d, "source_rows").filter("prompt is not null").select("row_id", "domain", worded_of(F.col("prompt")).alias("t")))
 
 
 ROWS_SQL = f"SELECT row_id, domain, {WORDED_SQL} AS t FROM source_rows WHERE prompt IS NOT NULL"
@@ -82,18 +82,18 @@ def _gaps(x: str) -> str:
     return f"string_split(regexp_replace({x}, '([.!?]|\\\\\\])(\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 
 
-def sql_stripped(source: str) -> str:
-    """WITH clauses that end in `stripped(row_id, body)`, from `source` with (row_id, t)."""
-    lines = f"(SELECT row_id, pass, body, {sql_lines('l')} AS l FROM {sql_core('(SELECT row_id, pass, body, string_split(body, chr(10)) AS l FROM s WHERE pass < ' + str(prompts.PASSES) + ' AND NOT done)', 'l', 'row_id, pass, body')})"
+def sql_stripped(source: str, name: str = "stripped") -> str:
+    """WITH clauses that end in `name`(row_id, body), from `source` with (row_id, t)."""
+    lines = f"(SELECT row_id, pass, body, {sql_lines('l')} AS l FROM {sql_core('(SELECT row_id, pass, body, string_split(body, chr(10)) AS l FROM ' + f's_{name}' + ' WHERE pass < ' + str(prompts.PASSES) + ' AND NOT done)', 'l', 'row_id, pass, body')})"
     first = sql_core(f"(SELECT *, {_gaps('l[1]')} AS a FROM {lines})", "a", "row_id, pass, body, l")
     shown = f"(SELECT row_id, pass, body, l, {sql_strip(chr(97) + '_')} AS f FROM (SELECT *, array_to_string(a, '') AS a_ FROM {first}))"
     last = sql_core(f"(SELECT *, {_gaps('CASE WHEN len(l) = 1 THEN f ELSE l[len(l)] END')} AS b FROM {shown})", "b", "row_id, pass, body, l, f")
     ends = f"(SELECT row_id, pass, body, CASE WHEN len(l) = 1 THEN [g] ELSE list_concat([f], list_concat(l[2:len(l) - 1], [g])) END AS l FROM (SELECT *, {sql_strip(chr(98) + '_')} AS g FROM (SELECT *, array_to_string(b, '') AS b_ FROM {last})))"
     whole = sql_core(ends, "l", "row_id, pass, body")
     after = sql_strip("regexp_replace(regexp_replace(array_to_string(l, chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
-    return f"""s AS (SELECT row_id, 0 AS pass, replace(t, chr(13) || chr(10), chr(10)) AS body, false AS done FROM {source}
+    return f"""s_{name} AS (SELECT row_id, 0 AS pass, replace(t, chr(13) || chr(10), chr(10)) AS body, false AS done FROM {source}
 UNION ALL SELECT row_id, pass + 1, after, after = {sql_strip('body')} FROM (SELECT row_id, pass, body, {after} AS after FROM {whole})),
-stripped AS (SELECT row_id, {sql_strip('arg_max(body, pass)')} AS body FROM s GROUP BY row_id)"""
+{name} AS (SELECT row_id, {sql_strip('arg_max(body, pass)')} AS body FROM s_{name} GROUP BY row_id)"""
 
 
 _ANY_HARNESS = "|".join(map(prompts.quoted, prompts.HARNESS))
