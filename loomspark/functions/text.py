@@ -23,6 +23,11 @@ def explode_once(df: DataFrame, array: Column, name: str, *kept: str) -> DataFra
     return df.select(*kept, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a costly column that later filters and projections read: Catalyst would else compute it in each of them."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once: an expression inside a lambda is else computed for every element."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -21,14 +21,15 @@ FIELDS = ("row_id", "ord", "source", "source_id", "label")
 def text_rows(df: DataFrame, question: Column, domain: str) -> DataFrame:
     """Rows of a suffix domain: long enough before and after stripping, and without a second request for a format."""
     rows = df.withColumn("_q", text.strip(question)).filter(F.length("_q") >= MIN_CHARS)
-    rows = rows.withColumn("body", prompts.strip_column(F.col("_q"))).filter(F.length("body") >= MIN_CHARS)
-    clean = prompts.competing_count(prompts.align_column(F.col("_q"), F.lit(domain)), F.lit(domain)) == 0
-    return rows.filter(clean).select(*FIELDS, "body")
+    rows = text.once(rows, "body", prompts.strip_column(F.col("_q"))).filter(F.length("body") >= MIN_CHARS)
+    bare = prompts.without_suffix(F.col("_q"))
+    aligned = F.when(bare == F.col("_q"), F.concat("body", F.lit(prompts.SUFFIXES[domain]))).otherwise(prompts.align_column(F.col("_q"), F.lit(domain)))
+    return rows.filter(prompts.competing_count(aligned, F.lit(domain)) == 0).select(*FIELDS, "body")
 
 
 def code_rows(df: DataFrame, question: Column) -> DataFrame:
     """Rows of the code domain: the question without its harness and its format instructions."""
-    return df.withColumn("body", prompts.strip_column(prompts.strip_harness(question))).filter(F.length("body") >= MIN_CHARS).select(*FIELDS, "body")
+    return text.once(df, "body", prompts.strip_column(prompts.strip_harness(question))).filter(F.length("body") >= MIN_CHARS).select(*FIELDS, "body")
 
 
 def by_text(rows: DataFrame) -> DataFrame:
