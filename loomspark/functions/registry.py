@@ -34,6 +34,7 @@ class Registry:
 REWARDS = Registry("reward")
 ESTIMATORS = Registry("estimator")
 EXTRACTORS = Registry("extractor")
+LOSSES = Registry("policy loss")
 
 
 @REWARDS.register("zero")

@@ -12,6 +12,8 @@ MIN_CONTAINED = 48
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 #: White space of Python's str.split, which regular expressions know only in part.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same, as characters.
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def explode_once(df: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:
@@ -40,7 +42,7 @@ def normalize(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, in the sense of Python."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def split_words(text: Column) -> Column:

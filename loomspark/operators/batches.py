@@ -122,3 +122,22 @@ def batches_of(df: DataFrame, size: int, epochs: int) -> DataFrame:
 def iterate(df: DataFrame) -> Iterator:
     """Rows one by one without collecting the table."""
     return df.orderBy("ord").toLocalIterator()
+
+
+def concat(parts: list[tuple[DataFrame, dict]]) -> tuple[DataFrame, dict]:
+    """Batches (rows, facts) put together by rows: a column that one lacks is null there; facts are merged, and must agree."""
+    rows, facts = parts[0][0], dict(parts[0][1])
+    for more, others in parts[1:]:
+        for name, value in others.items():
+            if name in facts and facts[name] != value:
+                raise ValueError(f"batches disagree on {name!r}: {facts[name]!r} and {value!r}")
+        facts |= others
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows, facts
+
+
+def collate(df: DataFrame, batch: str, key: str, values: str, fill: Column) -> DataFrame:
+    """(batch, width, rows): the arrays of a batch by key, each filled up to the longest of the batch."""
+    g = df.groupBy(batch).agg(F.max(F.size(values)).alias("width"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(values).alias("values")))).alias("rows"))
+    filled = F.transform("rows", lambda r: F.struct(r["key"].alias("key"), F.concat(r["values"], F.array_repeat(fill, F.col("width") - F.size(r["values"]))).alias("values")))
+    return g.select(batch, "width", filled.alias("rows"))

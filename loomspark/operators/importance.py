@@ -74,11 +74,30 @@ def rank_correlation(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.groupBy("layer").agg(F.corr("rank", "other").alias("rank_correlation"))
 
 
+def shifted(logits: DataFrame, columns: list[str]) -> DataFrame:
+    """Logits less the largest of their position, so that no exponential overflows."""
+    w = Window.partitionBy("sample", "pos")
+    return logits.select(*[c for c in logits.columns if c not in columns], *[(F.col(c) - F.max(c).over(w)).alias(c) for c in columns])
+
+
+def token_statistics(logits: DataFrame, chosen: Column, top_p: float) -> DataFrame:
+    """(sample, pos, entropy, logprob, kept, inside): of each position its entropy, the log probability of the chosen token,
+    how many tokens the nucleus of mass `top_p` holds, and whether the chosen one is among them.
+    """
+    w = Window.partitionBy("sample", "pos")
+    lp = shifted(logits, ["teacher"]).withColumn("_chosen", F.col("token") == chosen)
+    lp = lp.withColumn("lp", F.col("teacher") - F.log(F.sum(F.exp("teacher")).over(w))).withColumn("p", F.exp("lp"))
+    order = w.orderBy(F.desc("p"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    lp = lp.withColumn("_in", F.coalesce(F.sum("p").over(order), F.lit(0.0)) < top_p)
+    return lp.groupBy("sample", "pos").agg((-F.sum(F.col("p") * F.col("lp"))).alias("entropy"), F.max(F.when(F.col("_chosen"), F.col("lp"))).alias("logprob"), F.count_if("_in").alias("kept"), F.bool_or(F.col("_chosen") & F.col("_in")).alias("inside"))
+
+
 def forward_kl(logits: DataFrame, k: int, floor: float = 1e-12) -> DataFrame:
     """(sample, pos, kl): divergence of teacher from probe on the teacher's k likeliest tokens and one for all others."""
     w = Window.partitionBy("sample", "pos")
-    soft = lambda c: F.exp(F.col(c) - F.max(c).over(w)) / F.sum(F.exp(F.col(c) - F.lit(0.0))).over(w) * F.exp(F.max(c).over(w))
-    p = logits.withColumn("_p", soft("teacher")).withColumn("_q", soft("probe"))
+    p = shifted(logits, ["teacher", "probe"])
+    soft = lambda c: F.exp(c) / F.sum(F.exp(c)).over(w)
+    p = p.withColumn("_p", soft("teacher")).withColumn("_q", soft("probe"))
     p = p.withColumn("_r", F.row_number().over(w.orderBy(F.desc("teacher"), "token")))
     top = F.col("_r") <= k
     g = p.groupBy("sample", "pos").agg(

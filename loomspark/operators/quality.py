@@ -78,3 +78,10 @@ def generation_diagnostics(df: DataFrame, task: str, response: str, tokens: str,
         F.round(F.avg(tokens), 6).alias("mean_tokens"),
         F.round(F.avg("_rate"), 9).alias("mean_repetition"),
     )
+
+
+def mask_provenance(masks: DataFrame, expected: Column, default: str = "minitron") -> DataFrame:
+    """(arm, expected, problems, passed): masks of each arm (arm, pruning_method) that another method made."""
+    m = masks.withColumn("expected", expected)
+    g = m.groupBy("arm", "expected").agg(F.count_if(F.coalesce("pruning_method", F.lit(default)) != F.col("expected")).alias("problems"))
+    return g.withColumn("passed", F.col("problems") == 0)

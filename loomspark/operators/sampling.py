@@ -18,6 +18,11 @@ def stable_rank(seed: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def hash_number(seed: str, *parts: Column) -> Column:
+    """A whole number below 2**60 from the seed and the parts."""
+    return F.conv(F.substring(stable_rank(seed, *parts), 1, 15), 16, 10).cast("bigint")
+
+
 def row_rank(seed: str, source: Column, source_id: Column, prompt: Column) -> Column:
     return stable_rank(seed, source, source_id, F.substring(prompt, 1, 256))
 
@@ -115,10 +120,38 @@ def resamples(df: DataFrame, group: str, value: str, tie: str, size: int, times:
     placed = global_rank(df.filter(F.col(value).isNotNull()).select(group, value, tie), [group, value, tie], "_place")
     groups = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
     draws = groups.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(size))))
-    draws = draws.select("resample", "draw", (F.col("_first") + F.pmod(F.xxhash64(F.lit(seed), F.col("_group"), F.col("resample"), F.col("draw")), F.col("_n"))).alias("_place"))
+    draws = draws.select("resample", "draw", (F.col("_first") + hash_number(str(seed), F.col("_group"), F.col("resample"), F.col("draw")) % F.col("_n")).alias("_place"))
     return draws.join(placed.select("_place", group, value), "_place").select(group, "resample", "draw", value)
 
 
+def weighted_draws(df: DataFrame, key: str, weight: Column, n: int, seed: str) -> DataFrame:
+    """(draw, key): n draws with replacement, by whole weights; draws are numbered from 0, `key` tells all rows apart.
+
+    Rows own intervals of the running sum of the weights, cut where equal slices of the whole end; a draw looks its number
+    up among the intervals of its slice. So a row may own most of the weight, and no task holds more than its share.
+    """
+    rows = running_sum(df.select(key, weight.cast("bigint").alias("_w")).filter("_w > 0"), "_w", [key], "_upto")
+    total = rows.agg(F.max("_upto")).first()[0] or 0
+    if total == 0:
+        return rows.select(F.lit(0).cast("bigint").alias("draw"), key).limit(0)
+    width = max(1, total // max(1, n))
+    low, high = F.col("_upto") - F.col("_w"), F.col("_upto") - 1
+    cut = rows.withColumn("_slice", F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))).select(key, low.alias("_low"), "_upto", "_slice")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (hash_number(seed, F.col("id")) % total).alias("_u"))
+    met = draws.withColumn("_slice", F.floor(F.col("_u") / width)).join(cut, "_slice")
+    return met.filter("_u >= _low and _u < _upto").select("draw", key)
+
+
+def running_sum(df: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
+    """df with the sum of a column up to and with each row, in the order of columns that tell all rows apart; by ranges."""
+    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + F.sum(value).over(inside)).drop("_range", "_before")
+
+
 def first_n_split(df: DataFrame, n: int, rank: Column, tie: str, names: tuple[str, str] = ("sft", "opd")) -> DataFrame:
     """Rows with the column `part`: the first n by hash rank, and the rest."""
     sure, decided, beyond = _cut(df, F.lit(n), rank, tie, [])

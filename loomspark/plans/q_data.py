@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import text
-from loomspark.operators import batches, sampling
+from loomspark.operators import batches, quality, sampling
 from loomspark.plans.q_rollouts import _r10, rounded
 from loomspark.plans.q_text import norm
 from loomspark.plans.registry import query
-from loomspark.session import ensure_checkpoint_dir, load
+from loomspark.session import checkpoint, ensure_checkpoint_dir, load
 from loomspark.sources import files
 from loomspark.streaming import monitor
 
@@ -37,9 +37,15 @@ def src6(spark: SparkSession, d: str) -> DataFrame:
     return files.read_parquet(spark, f"{d}/source_rows.parquet", ["row_id", "prompt"], skip_corrupt=True)
 
 
-@query("src10_benchmark_catalogue", "SELECT item_id, benchmark, benchmark_index FROM benchmark_items WHERE benchmark IN ('contest_a', 'science_hard')")
+#: Benchmarks of the catalogue: name, and whether its answers are graded.
+CATALOGUE = [("contest_a", True), ("contest_b", True), ("code_window", False), ("science_hard", True), ("constraint_eval", False)]
+_WANTED = ("contest_a", "science_hard", "code_window")
+
+
+@query("src10_benchmark_catalogue", f"SELECT item_id, benchmark, benchmark_index, CASE WHEN benchmark IN {tuple(n for n, g in CATALOGUE if g)} THEN answer END AS answer, benchmark IN {tuple(n for n, g in CATALOGUE if g)} AS graded FROM benchmark_items WHERE benchmark IN {_WANTED}")
 def src10(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "benchmark_items").filter(F.col("benchmark").isin("contest_a", "science_hard")).select("item_id", "benchmark", "benchmark_index")
+    """Items of the benchmarks that are included, with their answers where these are graded; unknown benchmarks fail."""
+    return files.catalogue(load(spark, d, "benchmark_items"), CATALOGUE, _WANTED).select("item_id", "benchmark", "benchmark_index", "answer", "graded")
 
 
 @query("src5_jsonl_round_trip", "SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_id % 3 <> 0")
@@ -99,10 +105,18 @@ def snk8(spark: SparkSession, d: str) -> DataFrame:
     return files.flatten(load(spark, d, "recovery_pool").filter("split = 'opd'").select("sample_id", "reward_model").distinct(), "__")
 
 
-@query("snk10_missing_shards", "SELECT s * 250 AS start, least((s + 1) * 250, 2300) AS stop FROM range(10) t(s) WHERE s % 3 <> 1")
+_COVER = "SELECT s AS block, s * 250 AS start, least((s + 1) * 250, n) AS stop FROM (SELECT count(*) AS n FROM source_rows), unnest(range((n + 249) // 250)) r(s)"
+
+
+@query("snk10_missing_shards", f"SELECT start, stop FROM ({_COVER}) WHERE block % 3 <> 1")
 def snk10(spark: SparkSession, d: str) -> DataFrame:
-    done = spark.range(0, 10).filter("id % 3 = 1").select((F.col("id") * 250).alias("start"), F.least((F.col("id") + 1) * 250, F.lit(2300)).alias("stop"))
-    return files.missing_shards(done, 2300, 250)
+    """Ranges of all rows that no written shard covers as a whole; here every third range has one, and others are short by a row."""
+    rows = load(spark, d, "source_rows").select("ord")
+    path = _scratch(spark, "ranges")
+    block = F.floor(F.col("ord") / 250)
+    rows.withColumn("block", block).filter((F.col("block") % 3 == 1) | ((F.col("block") % 3 == 2) & (F.col("ord") % 250 > 0))).write.partitionBy("block").json(path)
+    have = spark.read.schema("ord bigint, block bigint").json(path).groupBy("block").agg(F.min("ord").alias("start"), (F.max("ord") + 1).alias("stop"), F.countDistinct("ord").alias("n"))
+    return files.missing_shards(have.filter("n = stop - start").select("start", "stop"), rows.count(), 250)
 
 
 _DIGEST = "WITH b AS (SELECT ord // 1024 AS block, sha256(string_agg(row_id::VARCHAR, chr(10) ORDER BY ord, row_id)) AS d FROM source_rows GROUP BY block) SELECT sha256(string_agg(d, chr(10) ORDER BY block)) AS digest, count(*) AS blocks FROM b"
@@ -113,12 +127,31 @@ def snk11(spark: SparkSession, d: str) -> DataFrame:
     return files.ordered_digest(load(spark, d, "source_rows"), "row_id", "ord")
 
 
-query("snk14_split_identity", _DIGEST)(lambda spark, d: files.ordered_digest(load(spark, d, "source_rows").repartition(5, "domain"), "row_id", "ord"))
+@query("snk14_split_identity", "SELECT split, split <> 'val' AS reused, count(*) AS n FROM (SELECT DISTINCT sample_id, split FROM recovery_pool WHERE sample_id IS NOT NULL) GROUP BY split")
+def snk14(spark: SparkSession, d: str) -> DataFrame:
+    """Splits are written again only if the digest of their ids differs from the one that is stored; here that of `val` does."""
+    pool = load(spark, d, "recovery_pool").filter("sample_id is not null").select("sample_id", "split").distinct()
+    placed = checkpoint(sampling.interleave(pool, "split", F.col("sample_id"), None).withColumn("place", F.col("turn") - 1))
+    path, out = _scratch(spark, "digests"), _scratch(spark, "splits")
+    now = checkpoint(files.ordered_digest(placed, "sample_id", "place", ["split"]).select("split", "digest"))
+    now.withColumn("digest", F.when(F.col("split") == "val", "stale").otherwise(F.col("digest"))).write.json(path)
+    stored = spark.read.schema("split string, digest string").json(path)
+    state = checkpoint(now.join(stored.withColumnRenamed("digest", "old"), "split", "left").select("split", F.coalesce(F.col("digest") == F.col("old"), F.lit(False)).alias("reused")))
+    placed.join(state.filter("not reused"), "split", "left_semi").select("split", "sample_id").write.partitionBy("split").parquet(out)
+    rewritten = spark.read.schema("sample_id string, split string").parquet(out).groupBy("split").agg(F.count("*").alias("written"))
+    sizes = pool.groupBy("split").agg(F.count("*").alias("n"))
+    return state.join(sizes, "split").join(rewritten, "split", "left").select("split", "reused", F.when(F.col("reused"), F.col("n")).otherwise(F.col("written")).alias("n"))
 
 
-@query("snk12_task_signature", "SELECT item_id, sha256(concat_ws(chr(1), 'v1', benchmark, text)) AS signature FROM benchmark_items")
+_PROMPTS = "SELECT benchmark, string_agg(sha256(text), chr(10) ORDER BY benchmark_index, item_id) AS p, string_agg(coalesce(answer, ''), chr(10) ORDER BY benchmark_index, item_id) AS l FROM benchmark_items GROUP BY benchmark"
+
+
+@query("snk12_task_signature", f"SELECT benchmark, sha256('v1' || chr(1) || benchmark || chr(1) || 'model' || chr(1) || 'full' || chr(1) || sha256(p) || chr(1) || sha256(l) || chr(1) || '{{\"n\":8}}') AS signature FROM ({_PROMPTS})")
 def snk12(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "benchmark_items").select("item_id", F.sha2(F.concat_ws("\x01", F.lit("v1"), "benchmark", "text"), 256).alias("signature"))
+    """The signature of each task: schema, task, model, profile, prompts, labels and sampling."""
+    b = load(spark, d, "benchmark_items").groupBy("benchmark").agg(F.array_sort(F.collect_list(F.struct("benchmark_index", "item_id", F.sha2("text", 256).alias("p"), F.coalesce("answer", F.lit("")).alias("l")))).alias("r"))
+    part = lambda f: F.sha2(F.array_join(F.transform("r", lambda x: x[f]), "\n"), 256)
+    return b.select("benchmark", F.sha2(F.concat_ws("\x01", F.lit("v1"), "benchmark", F.lit("model"), F.lit("full"), part("p"), part("l"), F.lit('{"n":8}')), 256).alias("signature"))
 
 
 @query("snk13_cache_hits", "SELECT benchmark, count(*) FILTER (benchmark_index % 2 = 0) AS hits, count(*) AS asked FROM benchmark_items GROUP BY benchmark")
@@ -136,13 +169,14 @@ def snk15(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.json(path).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("snk5_jsonl_append", "SELECT event_id FROM events WHERE event_id < 200")
+@query("snk5_jsonl_append", "SELECT event_id, event_type FROM events")
 def snk5(spark: SparkSession, d: str) -> DataFrame:
+    """All events, written in one dump and appended in two."""
     path = _scratch(spark, "append")
-    e = load(spark, d, "events").select("event_id")
-    e.filter("event_id < 100").write.json(path)
-    e.filter("event_id between 100 and 199").write.mode("append").json(path)
-    return spark.read.schema("event_id bigint").json(path)
+    e = load(spark, d, "events").select("event_id", "event_type")
+    for k in range(3):
+        e.filter(F.col("event_id") % 3 == k).write.mode("append").json(path)
+    return spark.read.schema("event_id bigint, event_type string").json(path)
 
 
 @query("join4_positional_lookup", "SELECT s.row_id, coalesce(b.text, s.prompt) AS question FROM source_rows s LEFT JOIN benchmark_items b ON s.domain = 'math' AND b.benchmark = 'contest_a' AND b.benchmark_index = s.ord % 100")
@@ -153,10 +187,12 @@ def join4(spark: SparkSession, d: str) -> DataFrame:
     return s.join(b, ["benchmark", "benchmark_index"], "left").select("row_id", F.coalesce("text", "prompt").alias("question"))
 
 
-@query("join5_zip_by_position", "SELECT DISTINCT response_id, messages[1].role AS first_role, messages[2].role AS second_role FROM teacher_responses WHERE len(messages) >= 2")
+@query("join5_zip_by_position", "WITH r AS (SELECT response_id, any_value(messages) AS m FROM teacher_responses WHERE len(messages) > 0 GROUP BY response_id) SELECT response_id, i AS position, m[i + 1].role AS role, m[i + 2].role AS next_role FROM (SELECT *, unnest(range(len(m))) AS i FROM r)")
 def join5(spark: SparkSession, d: str) -> DataFrame:
-    m = load(spark, d, "teacher_responses").filter("size(messages) >= 2").select("response_id", F.arrays_zip(F.col("messages.role").alias("a"), F.slice(F.col("messages.role"), 2, 1000).alias("b")).alias("z")).select("response_id", F.get("z", 0).alias("p"))
-    return m.select("response_id", F.col("p")["0"].alias("first_role"), F.col("p")["1"].alias("second_role")).distinct() if "0" in m.schema["p"].dataType.names else m.select("response_id", F.col("p.a").alias("first_role"), F.col("p.b").alias("second_role")).distinct()
+    """Turns zipped by position with the turns after them; the last has none."""
+    m = load(spark, d, "teacher_responses").filter("size(messages) > 0").groupBy("response_id").agg(F.first("messages.role").alias("r"))
+    z = F.arrays_zip(F.col("r").alias("role"), F.slice("r", F.lit(2), F.size("r")).alias("next_role"))
+    return m.select("response_id", F.posexplode(z).alias("position", "z")).select("response_id", F.col("position").cast("bigint").alias("position"), "z.role", "z.next_role")
 
 
 @query("join6_last_response_wins", "SELECT sample_id, arg_max(response_id, generated_at) AS response_id FROM (SELECT sample_id, response_id, max(generated_at) AS generated_at FROM teacher_responses WHERE sample_id IS NOT NULL GROUP BY ALL) GROUP BY sample_id")
@@ -189,11 +225,12 @@ def set2(spark: SparkSession, d: str) -> DataFrame:
     return files.ordered_digest(s.filter("row_id % 2 = 0").unionByName(s.filter("row_id % 2 = 1")), "row_id", "ord")
 
 
-@query("set3_batch_concat", "SELECT event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY event_type")
+@query("set3_batch_concat", "SELECT event_type, count(*) AS n, round(sum(value), 5) AS total, count(props) AS with_props, 'a,b' AS origins FROM (SELECT event_type, value, CASE WHEN event_id % 2 = 0 THEN props END AS props FROM events) GROUP BY event_type")
 def set3(spark: SparkSession, d: str) -> DataFrame:
+    """Batches put together by rows: columns that one lacks are null, facts about them are merged, conflicting ones fail."""
     e = load(spark, d, "events")
-    both = e.filter("event_id < 3000").drop("props").unionByName(e.filter("event_id >= 3000"), allowMissingColumns=True)
-    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
+    both, facts = batches.concat([(e.filter("event_id % 2 = 0"), {"origin_a": "a", "scale": 1}), (e.filter("event_id % 2 = 1").drop("props"), {"origin_b": "b", "scale": 1})])
+    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"), F.count("props").alias("with_props"), F.lit(",".join(v for k, v in sorted(facts.items()) if k.startswith("origin"))).alias("origins"))
 
 
 @query("set5_hash_intersection", f"SELECT h FROM (SELECT sha256({norm('prompt')}) AS h FROM recovery_pool WHERE split = 'sft' AND prompt IS NOT NULL INTERSECT SELECT sha256({norm('prompt')}) FROM recovery_pool WHERE split <> 'sft' AND prompt IS NOT NULL)")
@@ -239,7 +276,13 @@ def bat5(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).withColumnsRenamed({"o_custkey": "uid"}).select("ord", "uid")
 
 
-query("bat6_union", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")(join9)
+@query("bat6_union", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, l.n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o_orderkey")
+def bat6(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of another batch beside those of this; a column that both have must agree."""
+    o = load(spark, d, "orders")
+    n = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    other = o.select("o_orderkey", "o_custkey", "o_orderstatus").join(n, "o_orderkey", "left")
+    return batches.union_columns(o.select("o_orderkey", "o_custkey", "o_totalprice"), other, "o_orderkey")
 
 
 @query("bat7_chunk", "SELECT item_id - 1 AS ord, ((item_id - 1) // 61)::INTEGER AS chunk FROM benchmark_items")
@@ -253,7 +296,10 @@ def bat8(spark: SparkSession, d: str) -> DataFrame:
     return batches.split_rows(_rows(spark, d).select("ord"), 128)
 
 
-query("bat9_concat", "SELECT event_type, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY event_type")(set3)
+@query("bat9_concat", "SELECT o_orderkey, o_orderkey % 3 AS origin FROM orders")
+def bat9(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("origin"))
+    return batches.concat([(o.filter(F.col("origin") == k), {}) for k in range(3)])[0]
 
 
 @query("bat10_reorder", "SELECT o_orderkey AS ord, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders")
@@ -296,7 +342,13 @@ def bat16(spark: SparkSession, d: str) -> DataFrame:
     return batches.batches_of(_rows(spark, d), 64, 2).groupBy("epoch", "batch").agg(F.count("*").alias("n"))
 
 
-query("bat17_collate", "SELECT o_orderkey // 8 AS batch, array_to_string(list(o_custkey ORDER BY o_orderkey), ',') AS members FROM orders GROUP BY batch")(bat15)
+@query("bat17_collate", "SELECT l_orderkey // 16 AS batch, max(n) AS width, array_to_string(list_sort(list(row)), ';') AS rows FROM (SELECT l_orderkey, n, concat(lpad(l_orderkey::VARCHAR, 12, '0'), ':', array_to_string(list_concat(a, list_transform(range(w - n), lambda i: -1)), ',')) AS row FROM (SELECT *, max(n) OVER (PARTITION BY l_orderkey // 16) AS w FROM (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS a, count(*) AS n FROM lineitem GROUP BY l_orderkey))) GROUP BY batch")
+def bat17(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of different lengths stacked into batches, each padded to the longest of its batch."""
+    s = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a"))
+    stacked = batches.collate(s.withColumn("batch", F.floor(F.col("l_orderkey") / 16)), "batch", "l_orderkey", "a", F.lit(-1))
+    line = F.transform("rows", lambda r: F.concat(F.lpad(r["key"].cast("string"), 12, "0"), F.lit(":"), F.array_join(r["values"].cast("array<string>"), ",")))
+    return stacked.select("batch", F.col("width").cast("bigint").alias("width"), F.array_join(line, ";").alias("rows"))
 
 
 @query("bat18_dict_of_lists", "SELECT array_to_string(list(r_name ORDER BY r_regionkey), ',') AS names, array_to_string(list(r_regionkey ORDER BY r_regionkey), ',') AS keys FROM region")
@@ -306,9 +358,16 @@ def bat18(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.array_join(F.col("g.r_name"), ",").alias("names"), F.array_join(F.col("g.r_regionkey").cast("array<string>"), ",").alias("keys"))
 
 
-@query("bat19_null_safe_equal", "SELECT row_id, source_id IS NOT DISTINCT FROM domain AS same FROM source_rows")
+_PARTS = "[CASE WHEN event_id % 3 = 0 THEN 'nan'::DOUBLE ELSE value END, {other}]"
+
+
+@query("bat19_null_safe_equal", f"SELECT event_id, {_PARTS.format(other='user_id')} IS NOT DISTINCT FROM {_PARTS.format(other='CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END')} AS same FROM events")
 def bat19(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "source_rows").select("row_id", F.col("source_id").eqNullSafe(F.col("domain")).alias("same"))
+    """Equality of nested values, with NaN equal to NaN and null to null only."""
+    k, u = F.col("event_id"), F.col("user_id").cast("double")
+    first = F.when(k % 3 == 0, float("nan")).otherwise(F.col("value"))
+    other = F.when(k % 5 == 0, None).when(k % 7 == 0, u + 1).otherwise(u)
+    return load(spark, d, "events").select("event_id", F.array(first, u).eqNullSafe(F.array(first, other)).alias("same"))
 
 
 @query("bat20_pad_array", "SELECT l_orderkey AS seq, array_to_string(list_concat(list(l_linenumber ORDER BY l_linenumber), [0, 0, 0, 0, 0])[1:5], ',') AS padded FROM lineitem GROUP BY l_orderkey")
@@ -361,27 +420,42 @@ def win5(spark: SparkSession, d: str) -> DataFrame:
     return rounded(e.select("run", (F.col("p") + 1).cast("bigint").alias("step"), "average"), 10)
 
 
-@query("win6_plateau")
+_PLATEAU = f"""WITH RECURSIVE {_RUNS}, e(run, step, average, best, stale, stopped) AS (SELECT run, step, value, value, 0, -1::BIGINT FROM r WHERE step = 1
+UNION ALL SELECT run, step, a, CASE WHEN watch AND better THEN a ELSE best END, CASE WHEN NOT watch THEN stale WHEN better THEN 0 ELSE stale + 1 END, CASE WHEN watch AND NOT better AND stale + 1 >= 3 THEN step ELSE stopped END
+FROM (SELECT *, a - best > 0.01 * abs(best) AS better FROM (SELECT r.run, r.step, 0.9 * e.average + (1 - 0.9) * r.value AS a, best, stale, stopped, r.step >= 20 AND r.step % 10 = 0 AND stopped < 0 AS watch FROM e JOIN r ON r.run = e.run AND r.step = e.step + 1)))
+SELECT run, step, round(average, 7) + 0.0 AS average, round(best, 7) + 0.0 AS best, stale, stopped FROM e QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1"""
+
+
+@query("win6_plateau", _PLATEAU)
 def win6(spark: SparkSession, d: str) -> DataFrame:
     return rounded(monitor.plateau(runs(spark, d)))
 
 
-@query("str1_plateau_stream")
+@query("str1_plateau_stream", _PLATEAU)
 def str1(spark: SparkSession, d: str) -> DataFrame:
-    """The monitor on a stream of the stored runs; its last states equal those of the fold."""
+    """The monitor on a stream of the stored runs, a run in one file; its last states equal those of the fold."""
     path = _scratch(spark, "runs")
-    runs(spark, d).repartition(1).sortWithinPartitions("run", "step").write.parquet(path)
+    runs(spark, d).repartition("run").sortWithinPartitions("run", "step").write.parquet(path)
     sink = f"plateau_{uuid.uuid4().hex}"
     stream = monitor.plateau_stream(spark.readStream.schema("run bigint, step bigint, value double").parquet(path))
     stream.writeStream.format("memory").queryName(sink).outputMode("update").option("checkpointLocation", _scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.table(sink))
 
 
-@query("str3_shard_resume", "SELECT event_id FROM events WHERE event_id % 4 <> 0")
+@query("str3_shard_resume", "SELECT (event_id % 8)::INTEGER AS shard, count(*) AS rows, event_id % 8 IN (1, 4, 6) AS resumed FROM events GROUP BY ALL")
 def str3(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that no earlier shard holds."""
-    e = load(spark, d, "events").select("event_id")
-    return e.join(e.filter("event_id % 4 = 0"), "event_id", "left_anti")
+    """Work by shards, resumed: shards that are whole are kept, the others are done and appended; here three are there already, and one is cut short."""
+    path = _scratch(spark, "shards")
+    e = load(spark, d, "events").select("event_id", (F.col("event_id") % 8).cast("int").alias("shard"))
+    wanted = e.groupBy("shard").agg(F.count("*").alias("n"))
+    e.filter(F.col("shard").isin(1, 4, 6) | ((F.col("shard") == 5) & (F.col("event_id") % 16 == 5))).write.partitionBy("shard").json(path)
+
+    def done() -> DataFrame:
+        return spark.read.schema("event_id bigint, shard int").json(path).distinct().groupBy("shard").agg(F.count("*").alias("rows"))
+
+    whole = checkpoint(wanted.join(done(), "shard").filter("rows = n").select("shard"))
+    e.join(F.broadcast(whole), "shard", "left_anti").write.mode("append").partitionBy("shard").json(path)  # a row a shard
+    return done().join(whole.withColumn("resumed", F.lit(True)), "shard", "left").select("shard", "rows", F.coalesce("resumed", F.lit(False)).alias("resumed"))
 
 
 @query("str5_batch_append", "SELECT event_id, event_id * 2 AS doubled FROM events")
@@ -406,7 +480,35 @@ def agg16(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(F.when(F.size("a") > 0, F.aggregate("a", F.lit(0), lambda x, y: x + y) / F.size("a")), 7).alias("mean"))
 
 
-query("rcp8_result_summary", "SELECT p_partkey, round(list_avg(list_filter([CASE WHEN p_size % 2 = 0 THEN p_size END, CASE WHEN p_size % 3 = 0 THEN 2 * p_size END, CASE WHEN p_size % 5 = 0 THEN 3 * p_size END], lambda x: x IS NOT NULL)), 7) AS mean FROM part")(agg16)
+_SCORES = "SELECT s_nationkey AS run, s_suppkey % 3 AS stage, " + ", ".join(f"round(avg(s_acctbal) FILTER (s_suppkey % 4 <> {k}) / 10000, 6) AS aime_{y}_avg8" for k, y in enumerate((2024, 2025, 2026))) + ", count(*) AS n FROM supplier GROUP BY ALL"
+
+
+@query(
+    "rcp8_result_summary",
+    f"WITH s AS ({_SCORES}) SELECT run, stage, round(list_avg(list_filter([aime_2024_avg8, aime_2025_avg8, aime_2026_avg8], lambda x: x IS NOT NULL)), 7) AS aime_avg, n, CASE WHEN (run + stage) % 2 = 0 THEN n * 2 END AS truncated FROM s",
+)
+def rcp8(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of runs, a JSON file each in a tree, with the mean of the metrics that are there and the diagnostics beside them, if any.
+
+    A run is a nation here, a stage a third of its suppliers.
+    """
+    k = F.col("s_suppkey") % 4
+    s = load(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("run"), (F.col("s_suppkey") % 3).alias("stage"))
+    s = s.agg(*[F.round(F.avg(F.when(k != i, F.col("s_acctbal"))) / 10000, 6).alias(f"aime_{y}_avg8") for i, y in enumerate((2024, 2025, 2026))], F.count("*").alias("n"))
+    root, beside = _scratch(spark, "outputs"), _scratch(spark, "diagnostics")
+    names = [f"aime_{y}_avg8" for y in (2024, 2025, 2026)]
+    s.select("run", "stage", F.to_json(F.struct(*names, "n")).alias("value")).repartition("run", "stage").write.partitionBy("run", "stage").text(root)
+    s.filter((F.col("run") + F.col("stage")) % 2 == 0).select("run", "stage", F.to_json(F.struct((F.col("n") * 2).alias("truncated"))).alias("value")).write.partitionBy("run", "stage").text(beside)
+
+    def tree(where: str, schema: str) -> DataFrame:
+        read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").schema(schema).json(where)
+        path = F.col("_metadata.file_path")
+        return read.select(F.regexp_extract(path, r"/run=(\d+)/", 1).cast("bigint").alias("run"), F.regexp_extract(path, r"/stage=(\d+)/", 1).cast("bigint").alias("stage"), "*")
+
+    present = F.array_compact(F.array(*names))
+    mean = F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
+    summary = tree(root, ", ".join(f"{n} double" for n in names) + ", n bigint").select("run", "stage", F.round(mean, 7).alias("aime_avg"), "n")
+    return summary.join(tree(beside, "truncated bigint"), ["run", "stage"], "left")
 
 
 @query("agg19_reduce_by_name", "SELECT name, round(CASE WHEN name LIKE '%max%' THEN max(value) WHEN name LIKE '%min%' THEN min(value) ELSE avg(value) END, 7) AS value FROM (SELECT concat(event_type, CASE user_id % 3 WHEN 0 THEN '/max' WHEN 1 THEN '/min' ELSE '/loss' END) AS name, value FROM events) GROUP BY name")
@@ -425,7 +527,10 @@ def agg21(spark: SparkSession, d: str) -> DataFrame:
     return s.join(index, "source").select("row_id", "g")
 
 
-@query("agg29_bootstrap")
+_BEST = "WITH p AS (SELECT c_mktsegment AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS at, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WHERE c_acctbal IS NOT NULL), k AS (SELECT DISTINCT g, n FROM p), w AS (SELECT g, r, CAST('0x' || substr(sha256(concat_ws(':', 42, g, r, i)), 1, 15) AS BIGINT) % n AS at FROM k, range(1, 1001) a(r), range(1, 5) b(i)), x AS (SELECT g, r, max(v) AS best, min(v) AS worst, avg(v) AS mean FROM w JOIN p USING (g, at) GROUP BY g, r)"
+
+
+@query("agg29_bootstrap", f"{_BEST.replace(' AS at', ' AS place').replace('(g, at)', '(g, place)')} SELECT g, " + ", ".join(f"round({f}({n}), 4) + 0.0 AS {n}_{k}" for n in ("best", "worst", "mean") for f, k in (("avg", "mean"), ("stddev_pop", "std"))) + " FROM x GROUP BY g")
 def agg29(spark: SparkSession, d: str) -> DataFrame:
     """Means and deviations of best, worst and mean over 1,000 resamples of 4, drawn by hash from all values of a group."""
     c = load(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), "c_custkey", "c_acctbal")
@@ -433,15 +538,27 @@ def agg29(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x.groupBy("g").agg(*[f(n).alias(f"{n}_{k}") for n in ("best", "worst", "mean") for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"))]), 4)
 
 
-@query("flt15_required_columns", "SELECT 'recovery_pool' AS name, 0 AS missing")
+REQUIRED = {"recovery_pool": ["sample_id", "prompt", "domain"], "documents": ["doc_id", "text", "label"], "teacher_responses": ["response_id", "messages", "score", "teacher_response"]}
+_NEEDED = " UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS c" for t, cs in REQUIRED.items() for c in cs)
+
+
+@query("flt15_required_columns", f"SELECT name, count(*) FILTER (column_name IS NULL)::INTEGER AS missing, coalesce(string_agg(c, ',' ORDER BY c) FILTER (column_name IS NULL), '') AS names FROM ({_NEEDED}) n LEFT JOIN (SELECT DISTINCT table_name, column_name FROM duckdb_columns()) d ON d.table_name = n.name AND d.column_name = n.c GROUP BY name")
 def flt15(spark: SparkSession, d: str) -> DataFrame:
-    missing = {"sample_id", "prompt", "domain"} - set(load(spark, d, "recovery_pool").columns)
-    return spark.range(1).select(F.lit("recovery_pool").alias("name"), F.lit(len(missing)).alias("missing"))
+    """Columns that a table must have and does not."""
+    rows = [(t, len(gone), ",".join(gone)) for t, cs in REQUIRED.items() if (gone := sorted(set(cs) - set(load(spark, d, t).columns))) is not None]
+    return spark.createDataFrame(rows, "name string, missing int, names string")
+
+
+_MASKS = "SELECT s_nationkey % 5 AS arm, s_suppkey AS ratio_id, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'minitron' WHEN 2 THEN CASE WHEN s_nationkey % 5 < 2 THEN 'minitron' ELSE 'wanda' END ELSE CASE WHEN s_nationkey % 5 = 0 THEN 'minitron' ELSE 'flap' END END AS pruning_method FROM supplier"
 
 
-@query("flt21_mask_provenance", "SELECT plan_name, count(DISTINCT split) = 1 AS ok FROM mix_targets GROUP BY plan_name")
+@query("flt21_mask_provenance", f"WITH m AS ({_MASKS}) SELECT arm, CASE WHEN arm = 4 THEN 'wanda' ELSE 'minitron' END AS expected, count(*) FILTER (coalesce(pruning_method, 'minitron') <> CASE WHEN arm = 4 THEN 'wanda' ELSE 'minitron' END) AS problems, count(*) FILTER (coalesce(pruning_method, 'minitron') <> CASE WHEN arm = 4 THEN 'wanda' ELSE 'minitron' END) = 0 AS passed FROM m GROUP BY arm")
 def flt21(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "mix_targets").groupBy("plan_name").agg((F.countDistinct("split") == 1).alias("ok"))
+    """Was every mask built by the method that its arm declares? Masks without the field are of the first method."""
+    arm, key = F.col("s_nationkey") % 5, F.col("s_suppkey") % 4
+    found = F.when(key == 1, "minitron").when(key == 2, F.when(arm < 2, "minitron").otherwise("wanda")).when(key == 3, F.when(arm == 0, "minitron").otherwise("flap"))
+    masks = load(spark, d, "supplier").select(arm.alias("arm"), found.alias("pruning_method"))
+    return quality.mask_provenance(masks, F.when(F.col("arm") == 4, "wanda").otherwise("minitron"))
 
 
 @query("flt23_increasing", "SELECT benchmark, coalesce(bool_and(ok), true) AS increasing FROM (SELECT benchmark, benchmark_index > lag(benchmark_index) OVER (PARTITION BY benchmark ORDER BY item_id) AS ok FROM benchmark_items) GROUP BY benchmark")
@@ -451,20 +568,44 @@ def flt23(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("benchmark").agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("increasing"))
 
 
-@query("rcp10_preflight", "SELECT 'unique_ids' AS check_name, (SELECT count(*) = 0 FROM (SELECT row_id FROM source_rows GROUP BY row_id HAVING count(*) > 1)) AS ok UNION ALL SELECT 'domains_covered', (SELECT count(DISTINCT domain) = 4 FROM recovery_pool) UNION ALL SELECT 'splits_disjoint', (SELECT count(*) = 0 FROM (SELECT sample_id FROM recovery_pool WHERE split = 'sft' INTERSECT SELECT sample_id FROM recovery_pool WHERE split = 'opd'))")
+_ONE = {
+    "unique_row_ids": "SELECT count(*) FROM (SELECT row_id FROM source_rows GROUP BY row_id HAVING count(*) > 1)",
+    "unique_sample_ids": "SELECT count(*) FROM (SELECT sample_id FROM recovery_pool WHERE sample_id IS NOT NULL GROUP BY sample_id HAVING count(*) > 1)",
+    "domains_covered": "SELECT 4 - count(DISTINCT domain) FROM recovery_pool WHERE domain IN ('math', 'code', 'science', 'instruction_following')",
+    "split_ids_disjoint": "SELECT count(*) FROM (SELECT sample_id FROM recovery_pool WHERE split = 'sft' INTERSECT SELECT sample_id FROM recovery_pool WHERE split = 'opd')",
+    "split_prompts_disjoint": f"SELECT count(*) FROM (SELECT sha256({norm('prompt')}) AS h FROM recovery_pool WHERE split = 'sft' AND prompt IS NOT NULL INTERSECT SELECT sha256({norm('prompt')}) FROM recovery_pool WHERE split = 'opd' AND prompt IS NOT NULL)",
+    "no_blank_prompts": "SELECT count(*) FROM recovery_pool WHERE split IN ('sft', 'opd') AND coalesce(trim(prompt), '') = ''",
+    "columns_present": f"SELECT count(*) FILTER (column_name IS NULL) FROM ({_NEEDED}) n LEFT JOIN (SELECT DISTINCT table_name, column_name FROM duckdb_columns()) d ON d.table_name = n.name AND d.column_name = n.c",
+    "mask_provenance": f"SELECT count(*) FROM ({_MASKS}) WHERE coalesce(pruning_method, 'minitron') <> CASE WHEN arm = 4 THEN 'wanda' ELSE 'minitron' END",
+    "indices_increasing": "SELECT count(*) FROM (SELECT benchmark_index <= lag(benchmark_index) OVER (PARTITION BY benchmark ORDER BY item_id) AS bad FROM benchmark_items) WHERE bad",
+    "plan_shares_sum_to_one": "SELECT count(*) FROM (SELECT plan_name FROM mix_targets GROUP BY plan_name HAVING abs(sum(target_share) - 1) > 1e-6)",
+}
+
+
+@query("rcp10_preflight", " UNION ALL ".join(f"SELECT '{n}' AS check_name, ({q})::BIGINT AS problems, ({q}) = 0 AS passed" for n, q in _ONE.items()))
 def rcp10(spark: SparkSession, d: str) -> DataFrame:
-    """Named gates with their verdicts."""
+    """Named gates, what each found, and its verdict."""
     s, p = load(spark, d, "source_rows"), load(spark, d, "recovery_pool")
-    gates = [
-        ("unique_ids", s.groupBy("row_id").count().filter("count > 1").agg((F.count("*") == 0).alias("ok"))),
-        ("domains_covered", p.agg((F.countDistinct("domain") == 4).alias("ok"))),
-        ("splits_disjoint", set9(spark, d).select((F.col("shared") == 0).alias("ok"))),
-    ]
+    n = F.count("*").alias("problems")
+    hashes = p.filter("prompt is not null").select("split", text.prompt_hash(F.col("prompt")).alias("h"))
+    w = Window.partitionBy("benchmark").orderBy("item_id")
+    gates = {
+        "unique_row_ids": s.groupBy("row_id").count().filter("count > 1").agg(n),
+        "unique_sample_ids": p.filter("sample_id is not null").groupBy("sample_id").count().filter("count > 1").agg(n),
+        "domains_covered": p.filter(F.col("domain").isin("math", "code", "science", "instruction_following")).agg((4 - F.countDistinct("domain")).alias("problems")),
+        "split_ids_disjoint": set9(spark, d).withColumnRenamed("shared", "problems"),
+        "split_prompts_disjoint": hashes.filter("split = 'sft'").select("h").intersect(hashes.filter("split = 'opd'").select("h")).agg(n),
+        "no_blank_prompts": p.filter(F.col("split").isin("sft", "opd") & (F.coalesce(F.trim("prompt"), F.lit("")) == "")).agg(n),
+        "columns_present": flt15(spark, d).agg(F.sum("missing").alias("problems")),
+        "mask_provenance": flt21(spark, d).agg(F.sum("problems").alias("problems")),
+        "indices_increasing": load(spark, d, "benchmark_items").select((F.col("benchmark_index") <= F.lag("benchmark_index").over(w)).alias("bad")).filter("bad").agg(n),
+        "plan_shares_sum_to_one": load(spark, d, "mix_targets").groupBy("plan_name").agg(F.sum("target_share").alias("t")).filter("abs(t - 1) > 1e-6").agg(n),
+    }
     out = None
-    for name, g in gates:
-        row = g.select(F.lit(name).alias("check_name"), "ok")
+    for name, g in gates.items():
+        row = g.select(F.lit(name).alias("check_name"), F.coalesce("problems", F.lit(0)).cast("bigint").alias("problems"))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.withColumn("passed", F.col("problems") == 0)
 
 
 @query("rcp9_trajectory_table", "SELECT DISTINCT sample_id, reward_model.style AS reward_model__style, extra_info.original_id AS extra_info__original_id FROM recovery_pool WHERE split = 'opd'")

@@ -9,18 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import prompts
+from loomspark.functions import text
 from loomspark.functions import registry as reg
 from loomspark.operators import rollouts as ro
 from loomspark.plans.q_data import _scratch
 from loomspark.plans.q_rollouts import _S, rounded, seqs
-from loomspark.plans.q_text import RESPONSES, norm, responses
-from loomspark.plans.registry import query
+from loomspark.plans.q_text import RESPONSES, responses
+from loomspark.plans.registry import QUERIES, query
 from loomspark.session import load
 from loomspark.sources import files, generated
 
 for _name in ("grpo", "rloo", "opo", "gpg"):
     reg.ESTIMATORS.register(_name)(getattr(ro, _name))
+for _loss, _query in {"vanilla": "num23_ppo_loss", "sequence_ratio": "num24_gspo_loss", "plain": "num25_gpg_loss", "clip_cov": "num26_clip_cov_loss", "kl_cov": "num27_kl_cov_loss", "geo_mean": "num28_geo_mean_loss"}.items():
+    reg.LOSSES.register(_loss)(QUERIES[_query])
 reg.custom_reward(lambda a, b: len(set(a.split()) & set(b.split())) / max(1, len(set(b.split()))), "word_overlap")
 
 
@@ -33,34 +35,48 @@ def src1(spark: SparkSession, d: str) -> DataFrame:
     return files.read_jsonl(spark, path, "row_id bigint, prompt string").filter("row_id is not null").select("row_id")
 
 
-@query("src15_tree_of_summaries", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
+@query("src15_tree_of_summaries", "SELECT n_regionkey AS region, n_nationkey, n_name FROM nation ORDER BY n_regionkey, n_nationkey")
 def src15(spark: SparkSession, d: str) -> DataFrame:
+    """JSON files of a tree, one for each nation in the folder of its region, with what the path says."""
     root = _scratch(spark, "tree")
-    n = load(spark, d, "nation").filter("n_nationkey < 5")
-    n.select("n_regionkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("value")).repartition(1).write.partitionBy("n_regionkey").text(root)
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").schema("n_nationkey int, n_name string").json(root).select("n_nationkey", "n_name")
+    n = load(spark, d, "nation")
+    n.select("n_regionkey", "n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("value")).repartition("n_nationkey").write.partitionBy("n_regionkey", "n_nationkey").text(root)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").schema("n_nationkey int, n_name string").json(root)
+    return read.select(F.regexp_extract("_metadata.file_path", r"/n_regionkey=(\d+)/", 1).cast("int").alias("region"), "n_nationkey", "n_name")
 
 
-@query("src17_growing_dataset", "SELECT event_id FROM events WHERE event_id < 300")
+@query("src17_growing_dataset", "SELECT event_id, (event_id % 4)::INTEGER AS batch FROM events")
 def src17(spark: SparkSession, d: str) -> DataFrame:
-    """A table that grows by what each batch adds."""
+    """A table that grows by what each batch adds, until all events are in it."""
     path = _scratch(spark, "grow")
-    e = load(spark, d, "events").select("event_id")
-    for k in range(3):
-        e.filter((F.col("event_id") >= 100 * k) & (F.col("event_id") < 100 * (k + 1))).write.mode("append").parquet(path)
+    e = load(spark, d, "events").select("event_id", (F.col("event_id") % 4).cast("int").alias("batch"))
+    for k in range(4):
+        e.filter(F.col("batch") == k).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
-@query("snk9_generation_cache", "SELECT s * 50 AS start, (s + 1) * 50 AS stop, s % 2 = 0 AS cached FROM range(6) t(s)")
+_SHARD = 50
+
+
+@query("snk9_generation_cache", f"WITH i AS (SELECT item_id - 1 AS index FROM benchmark_items), n AS (SELECT count(*) AS n FROM i) SELECT s * {_SHARD} AS start, least((s + 1) * {_SHARD}, n) AS stop, s % 4 = 0 AS cached FROM n, range(100) t(s) WHERE s * {_SHARD} < n")
 def snk9(spark: SparkSession, d: str) -> DataFrame:
-    """Shards of generations with manifests: a shard counts if signature, range and number of rows agree."""
-    path = _scratch(spark, "shards")
-    rows = load(spark, d, "benchmark_items").select((F.col("item_id") - 1).alias("index"), F.col("text").alias("output")).filter("index < 300")
-    rows.withColumn("start", F.floor(F.col("index") / 50) * 50).filter("(start / 50) % 2 = 0").write.partitionBy("start").json(path)
-    have = spark.read.json(path).groupBy(F.col("start").cast("bigint").alias("start")).agg(F.count("*").alias("rows"), F.min("index").alias("lo"), F.max("index").alias("hi"))
-    wanted = spark.range(6).select((F.col("id") * 50).alias("start"), ((F.col("id") + 1) * 50).alias("stop"))
-    ok = (F.col("rows") == 50) & (F.col("lo") == F.col("start")) & (F.col("hi") == F.col("stop") - 1)
-    return wanted.join(have, "start", "left").select("start", "stop", F.coalesce(ok, F.lit(False)).alias("cached"))
+    """Shards of generations with manifests: one counts if signature, range and rows all agree with what is wanted.
+
+    Of the shards here one in four is whole, one has another signature, one lacks its first row, one is not there; the
+    last is shorter than the others.
+    """
+    rows, manifests = _scratch(spark, "shards"), _scratch(spark, "manifests")
+    i = load(spark, d, "benchmark_items").select((F.col("item_id") - 1).alias("index"), F.col("text").alias("output"))
+    start = (F.floor(F.col("index") / _SHARD) * _SHARD).cast("bigint")
+    wanted = i.groupBy(start.alias("start")).agg(F.count("*").alias("n"))
+    wanted = wanted.select("start", (F.col("start") + F.col("n")).alias("stop"), files.signature(F.lit("v1"), F.lit("math"), F.col("start")).alias("signature"))
+    kind = F.col("start") / _SHARD % 4
+    i.withColumn("start", start).filter((kind != 3) & ~((kind == 2) & (F.col("index") == F.col("start")))).write.partitionBy("start").json(rows)
+    wanted.filter(kind != 3).withColumn("signature", F.when(kind == 1, "other").otherwise(F.col("signature"))).write.json(manifests)
+    have = spark.read.schema("index bigint, start bigint").json(rows).groupBy("start").agg(F.count("*").alias("rows"), F.min("index").alias("lo"), F.max("index").alias("hi"), F.countDistinct("index").alias("distinct"))
+    told = spark.read.schema("start bigint, stop bigint, signature string").json(manifests)
+    ok = (F.col("rows") == F.col("stop") - F.col("start")) & (F.col("distinct") == F.col("rows")) & (F.col("lo") == F.col("start")) & (F.col("hi") == F.col("stop") - 1)
+    return wanted.join(told.withColumn("same", F.lit(True)), ["start", "stop", "signature"], "left").join(have, "start", "left").select("start", "stop", F.coalesce(F.col("same") & ok, F.lit(False)).alias("cached"))
 
 
 @query("snk2_atomic_shards", "SELECT count(*) AS rows, count(DISTINCT sample_id) AS ids FROM recovery_pool WHERE split = 'val'")
@@ -87,26 +103,52 @@ def rew9(spark: SparkSession, d: str) -> DataFrame:
     return responses(spark, d).select("response_id", repeats(F.col("teacher_response")).alias("repeats"))
 
 
-@query("rew17_batched_rewards", f"SELECT response_id, 1.0::DOUBLE AS score FROM {RESPONSES} WHERE regexp_matches(teacher_response, '[A-Za-z]')")
+#: The first question of a response's messages.
+_ASKED = "(SELECT response_id, min(domain) AS domain, min(teacher_response) AS said, min(list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[1].content) AS asked FROM teacher_responses WHERE teacher_response IS NOT NULL AND len(messages) > 0 GROUP BY response_id)"
+_WORDS = "list_distinct(list_filter(string_split_regex({x}, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda w: w <> ''))"
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "teacher_responses").filter("teacher_response is not null and size(messages) > 0")
+    return t.groupBy("response_id").agg(F.min("domain").alias("domain"), F.min("teacher_response").alias("said"), F.min(text.first_content(F.col("messages"), "user")).alias("asked"))
+
+
+@query("rew17_batched_rewards", f"SELECT response_id, round(CASE WHEN asked IS NULL THEN 0 ELSE len(list_intersect({_WORDS.format(x='said')}, {_WORDS.format(x='asked')})) / greatest(1, len({_WORDS.format(x='asked')})) END::DOUBLE, 9) AS score FROM {_ASKED}")
 def rew17(spark: SparkSession, d: str) -> DataFrame:
-    r = responses(spark, d).filter(F.col("teacher_response").rlike("[A-Za-z]"))
-    return r.select("response_id", reg.REWARDS.get("word_overlap")(F.col("teacher_response"), F.col("teacher_response")).alias("score"))
+    """A scorer in Python run over batches: the share of the question's words that the response uses."""
+    return asked(spark, d).select("response_id", F.round(reg.REWARDS.get("word_overlap")(F.col("said"), F.col("asked")), 9).alias("score"))
 
 
-@query("udf1_custom_reward", f"SELECT response_id, CASE WHEN domain = 'math' THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM {RESPONSES} WHERE domain IN ('math', 'code') AND teacher_response IS NOT NULL")
+@query("udf1_custom_reward", f"SELECT response_id, domain, round(CASE domain WHEN 'math' THEN 0 WHEN 'code' THEN (trim(said) = trim(coalesce(asked, '')))::INT ELSE CASE WHEN asked IS NULL THEN 0 ELSE len(list_intersect({_WORDS.format(x='said')}, {_WORDS.format(x='asked')})) / greatest(1, len({_WORDS.format(x='asked')})) END END::DOUBLE, 9) AS score FROM {_ASKED} WHERE domain IN ('math', 'code', 'science')")
 def udf1(spark: SparkSession, d: str) -> DataFrame:
-    r = responses(spark, d).filter("domain in ('math', 'code') and teacher_response is not null")
-    return reg.score_by(r, "domain", F.col("teacher_response"), F.col("teacher_response"), {"math": "zero", "code": "exact"}).select("response_id", "score")
+    """A reward by the name that each domain is given, one of them a plain Python function."""
+    r = asked(spark, d).filter("domain in ('math', 'code', 'science')")
+    scored = reg.score_by(r, "domain", F.col("said"), F.col("asked"), {"math": "zero", "code": "exact", "science": "word_overlap"})
+    return scored.select("response_id", "domain", F.round("score", 9).alias("score"))
 
 
-@query("udf3_estimator_registry", f"WITH {_S} SELECT count(*) * 4 AS n FROM s")
+@query("udf3_estimator_registry", lambda o: " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, round(sum(abs(advantage)), 3) AS size FROM ({o[q]})" for n, q in (("grpo", "num11_grpo"), ("rloo", "num16_rloo"), ("opo", "num18_opo"), ("gpg", "num21_gpg"))))
 def udf3(spark: SparkSession, d: str) -> DataFrame:
+    """Advantages of every estimator of the registry, by name."""
     s = seqs(spark, d)
     out = None
     for name in ("grpo", "rloo", "opo", "gpg"):
-        one = reg.ESTIMATORS.get(name)(s).select("seq")
+        one = rounded(reg.ESTIMATORS.get(name)(s).select("seq", "advantage")).agg(F.count("*").alias("n"), F.round(F.sum(F.abs("advantage")), 3).alias("size")).select(F.lit(name).alias("name"), "n", "size")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_LOSSES = {"vanilla": "num23_ppo_loss", "sequence_ratio": "num24_gspo_loss", "plain": "num25_gpg_loss", "clip_cov": "num26_clip_cov_loss", "kl_cov": "num27_kl_cov_loss", "geo_mean": "num28_geo_mean_loss"}
+
+
+@query("udf4_loss_registry", lambda o: " UNION ALL ".join(f"SELECT '{n}' AS name, round(pg_loss, 5) AS pg_loss FROM ({o[q]})" for n, q in _LOSSES.items()))
+def udf4(spark: SparkSession, d: str) -> DataFrame:
+    """The policy loss of every entry of the registry; an unknown name fails."""
+    out = None
+    for name in reg.LOSSES.items:
+        one = reg.LOSSES.get(name)(spark, d).select(F.lit(name).alias("name"), F.round("pg_loss", 5).alias("pg_loss"))
         out = one if out is None else out.unionByName(one)
-    return out.agg(F.count("*").alias("n"))
+    return out
 
 
 @query("udf5_data_source", "SELECT i AS id, concat('prompt ', i) AS prompt FROM range(500) t(i)")

@@ -12,7 +12,7 @@ from loomspark.session import load
 
 _A = "a AS (SELECT label AS layer, vec_id AS sample, i::INTEGER AS channel, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i))"
 _M = f"{_A}, m AS (SELECT layer, channel, sqrt(sum(m * m)) AS score FROM (SELECT layer, channel, sample, avg(abs(x)) AS m FROM a GROUP BY ALL) GROUP BY ALL)"
-_N = f"{_A}, n AS (SELECT layer, channel, sqrt(sum(x * x)) AS norm FROM a WHERE sample % 2 = 0 GROUP BY ALL)"
+_N = f"{_A}, n AS (SELECT layer, channel, sqrt(sum(x * x)) AS norm FROM a GROUP BY ALL)"
 _W = f"{_N}, w AS (SELECT layer, channel, norm * sqrt(avg(x * x)) AS wanda, greatest(avg(x * x) - pow(avg(x), 2), 0) * norm * norm AS wifv, avg(abs(x)) * norm AS wifn FROM a JOIN n USING (layer, channel) GROUP BY layer, channel, norm)"
 _O = f"{_M}, o AS (SELECT layer, channel, row_number() OVER (PARTITION BY layer ORDER BY round(score, 10) DESC, channel) - 1 AS rank FROM m)"
 _K = "least(greatest(floor(64 * (1 - {r}) / 8 + 0.5) * 8, 8), 64)"
@@ -25,7 +25,7 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def norms(spark: SparkSession, d: str) -> DataFrame:
-    return im.column_norms(acts(spark, d).filter("sample % 2 = 0").withColumnRenamed("x", "w"))
+    return im.column_norms(acts(spark, d).withColumnRenamed("x", "w"))
 
 
 def order(spark: SparkSession, d: str) -> DataFrame:
@@ -156,16 +156,15 @@ def num34(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("sample", "pos")
-    s = logits(spark, d).withColumn("a", F.col("teacher") - F.log(F.sum(F.exp("teacher")).over(w))).withColumn("b", F.col("probe") - F.log(F.sum(F.exp("probe")).over(w)))
+    s = im.shifted(logits(spark, d), ["teacher", "probe"]).withColumn("a", F.col("teacher") - F.log(F.sum(F.exp("teacher")).over(w))).withColumn("b", F.col("probe") - F.log(F.sum(F.exp("probe")).over(w)))
     s = s.withColumn("r", F.row_number().over(w.orderBy(F.desc("teacher"), "token"))).filter("r <= 8")
     s = s.withColumn("wt", F.exp("b") / F.sum(F.exp("b")).over(w))
     return rounded(s.groupBy("sample", "pos").agg(F.sum(-(F.col("b") - F.col("a")) * F.col("wt")).alias("reward")))
 
 
-@query("num36_entropy", f"WITH {_L}, s AS (SELECT *, exp(teacher) / sum(exp(teacher)) OVER (PARTITION BY sample, pos) AS p FROM l) SELECT sample, pos, {_r('-sum(p * ln(p))', 'entropy')} FROM s GROUP BY ALL")
+@query("num36_entropy", f"WITH {_L}, s AS (SELECT *, exp(teacher) / sum(exp(teacher)) OVER (PARTITION BY sample, pos) AS p FROM l), t AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY sample, pos ORDER BY p DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.9 AS nucleus, token = sample % 64 AS chosen FROM s) SELECT sample, pos, {_r('-sum(p * ln(p))', 'entropy')}, {_r('max(ln(p)) FILTER (chosen)', 'logprob')}, count(*) FILTER (nucleus) AS kept, bool_or(chosen AND nucleus) AS inside FROM t GROUP BY ALL")
 def num36(spark: SparkSession, d: str) -> DataFrame:
-    g = logits(spark, d).groupBy("sample", "pos").agg(F.log(F.sum(F.exp("teacher"))).alias("z"), F.sum(F.exp("teacher") * F.col("teacher")).alias("u"), F.sum(F.exp("teacher")).alias("e"))
-    return rounded(g.select("sample", "pos", (F.col("z") - F.col("u") / F.col("e")).alias("entropy")))
+    return rounded(im.token_statistics(logits(spark, d), F.col("sample") % 64, 0.9))
 
 
 @query("rcp11_weighted_statistics", f"WITH {_KL}, kl AS (SELECT sample, pos, greatest(sum(pp * (ln(pp) - ln(qq))), 0) AS kl FROM y GROUP BY ALL), {_A}, j AS (SELECT layer, channel, sum(abs(x) * kl) / sum(kl) AS score FROM a JOIN kl USING (sample) GROUP BY layer, channel) SELECT layer, channel, {_r('score', 'score')} FROM j")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.operators import rollouts as ro
+from loomspark.operators import sampling
 from loomspark.plans.registry import query
 from loomspark.session import load
 
@@ -294,15 +295,33 @@ def srt12(spark: SparkSession, d: str) -> DataFrame:
     return rounded(w)
 
 
+_WEIGHTS = f"WITH {_S}, w AS (SELECT seq, (round(pow(abs(score), 2), 3) * 1000)::BIGINT + 1 AS w FROM s), c AS (SELECT seq, w, sum(w) OVER (ORDER BY seq) AS upto FROM w), tot AS (SELECT sum(w) AS total, count(*) AS n FROM w)"
+
+
+@query("srt12_resample", f"{_WEIGHTS}, k AS (SELECT i AS draw, CAST('0x' || substr(sha256(concat('pf:', i)), 1, 15) AS BIGINT) % total AS u FROM tot, range(n) r(i)) SELECT draw, seq FROM k ASOF JOIN (SELECT seq, upto - w AS low FROM c) x ON k.u >= x.low")
+def srt12_resample(spark: SparkSession, d: str) -> DataFrame:
+    """As many sequences as there are, drawn with replacement by the squares of their scores."""
+    s = seqs(spark, d).select("seq", "score")
+    return sampling.weighted_draws(s, "seq", (F.round(F.pow(F.abs("score"), 2), 3) * 1000).cast("bigint") + 1, s.count(), "pf")
+
+
 @query("srt16_workload", f"WITH {_S} SELECT seq, (24576 * length + length * length)::BIGINT AS workload FROM s")
 def srt16(spark: SparkSession, d: str) -> DataFrame:
     return seqs(spark, d).select("seq", (24576 * F.col("length") + F.col("length") * F.col("length")).alias("workload"))
 
 
-@query("agg34_length_imbalance", f"WITH {_S}, p AS (SELECT seq % 8 AS part, sum(length) AS load FROM s GROUP BY part) SELECT min(load)::BIGINT AS least, max(load)::BIGINT AS largest, {_r('avg(load)', 'mean')} FROM p")
+_LOADS = f"WITH {_S}, z AS (SELECT length, (row_number() OVER (ORDER BY length DESC, seq) - 1) AS r, seq FROM s), p AS (SELECT 'before' AS side, seq % 8 AS part, sum(length) AS load FROM s GROUP BY part UNION ALL SELECT 'after', CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END AS part, sum(length) FROM z GROUP BY part)"
+
+
+@query("agg34_length_imbalance", f"{_LOADS} SELECT side, min(load)::BIGINT AS least, max(load)::BIGINT AS largest, {_r('avg(load)', 'mean')}, {_r('max(load) - min(load)', 'spread')} FROM p GROUP BY side")
 def agg34(spark: SparkSession, d: str) -> DataFrame:
-    p = seqs(spark, d).groupBy(F.pmod("seq", F.lit(8)).alias("part")).agg(F.sum("length").alias("load"))
-    return rounded(p.agg(F.min("load").alias("least"), F.max("load").alias("largest"), F.avg("load").alias("mean")))
+    """Token loads of eight ranks, as the sequences come and when they are dealt out by length, forth and back."""
+    s = seqs(spark, d).select("seq", "length")
+    placed = sampling.global_rank(s.withColumn("k", -F.col("length")), ["k", "seq"], "r")
+    dealt = F.when(F.floor(F.col("r") / 8) % 2 == 0, F.col("r") % 8).otherwise(7 - F.col("r") % 8)
+    both = s.select(F.lit("before").alias("side"), F.pmod("seq", F.lit(8)).cast("bigint").alias("part"), "length").unionByName(placed.select(F.lit("after").alias("side"), dealt.cast("bigint").alias("part"), "length"))
+    p = both.groupBy("side", "part").agg(F.sum("length").alias("load"))
+    return rounded(p.groupBy("side").agg(F.min("load").alias("least"), F.max("load").alias("largest"), F.avg("load").alias("mean"), (F.max("load") - F.min("load")).alias("spread")))
 
 
 @query("agg35_median_tokens", f"WITH {_S} SELECT uid, trunc(median(length))::BIGINT AS median_length FROM s GROUP BY uid")
@@ -348,14 +367,25 @@ def num35(spark: SparkSession, d: str) -> DataFrame:
     return rounded(k.select("uid", ro.kl_controller(F.col("a.kl"), 0.2, 0.02, 10_000, 64).alias("coefficient")))
 
 
-@query("agg27_timing_per_token", f"WITH {_T} SELECT {_r('sum(reward) / sum(mask)', 'gen_per_token')}, {_r('sum(reward) / count(*)', 'update_per_token')} FROM t")
+#: Seconds of a training step's sections come from the events: a step is a day, a section a kind of event.
+_TIMES = "SELECT CAST(ts AS DATE) AS step, event_type AS section, sum(value) AS seconds, count(*) * 16 AS tokens FROM events GROUP BY ALL"
+
+
+def timings(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").groupBy(F.to_date("ts").alias("step"), F.col("event_type").alias("section")).agg(F.sum("value").alias("seconds"), (F.count("*") * 16).alias("tokens"))
+
+
+@query("agg27_timing_per_token", f"SELECT step::VARCHAR AS step, section, {_r('seconds', 'seconds')}, {_r('seconds * 1000 / tokens', 'ms_per_token')} FROM ({_TIMES})")
 def agg27(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(tokens(spark, d).agg((F.sum("reward") / F.sum("mask")).alias("gen_per_token"), (F.sum("reward") / F.count("*")).alias("update_per_token")))
+    """Time of each section of a step, and per token."""
+    return rounded(timings(spark, d).select(F.col("step").cast("string").alias("step"), "section", "seconds", (F.col("seconds") * 1000 / F.col("tokens")).alias("ms_per_token")))
 
 
-@query("agg28_throughput", f"WITH {_T} SELECT {_r('count(*) / (sum(reward) * 8)', 'tokens_per_second')} FROM t")
+@query("agg28_throughput", f"WITH t AS ({_TIMES}) SELECT step::VARCHAR AS step, sum(tokens)::BIGINT AS tokens, {_r('sum(seconds)', 'seconds')}, {_r('sum(tokens) / (sum(seconds) * 8)', 'throughput')} FROM t GROUP BY step")
 def agg28(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(tokens(spark, d).agg((F.count("*") / (F.sum("reward") * 8)).alias("tokens_per_second")))
+    """Tokens per second and device of each step."""
+    g = timings(spark, d).groupBy(F.col("step").cast("string").alias("step")).agg(F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"))
+    return rounded(g.select("step", "tokens", "seconds", (F.col("tokens") / (F.col("seconds") * 8)).alias("throughput")))
 
 
 @query("res5_advantage_dispatch", f"WITH {_G} SELECT seq, {_r('CASE WHEN uid % 2 = 0 THEN (score - m) / (sd + 1e-6) WHEN n > 1 THEN n / (n - 1) * (score - m) ELSE score END', 'advantage')} FROM g")

@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 FLAGSHIP = "rcp1_build_pools"
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, oracle: str | Callable[[dict[str, str]], str] | None = None) -> Callable[[Query], Query]:
     """Register a query under a name, with its SQL where SQL can express it."""
 
     def register(f: Query) -> Query:
@@ -20,7 +20,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if oracle:
-            ORACLES[name] = oracle
+            ORACLES[name] = oracle if isinstance(oracle, str) else oracle(ORACLES)  # from the SQL of earlier queries
         return f
 
     return register

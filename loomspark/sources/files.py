@@ -116,3 +116,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(name, digest) of files."""
     f = spark.read.format("binaryFile").load(path)
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+
+
+def catalogue(items: DataFrame, known: Sequence[tuple[str, bool]], wanted: Sequence[str]) -> DataFrame:
+    """Items of the wanted benchmarks, with `graded`, and answers only where they are graded; unknown names fail."""
+    flags = dict(known)
+    if unknown := set(wanted) - set(flags):
+        raise ValueError(f"unknown benchmarks {sorted(unknown)}")
+    graded = F.col("benchmark").isin([n for n, g in known if g])
+    rows = items.filter(F.col("benchmark").isin(list(wanted)))
+    return rows.withColumn("graded", graded).withColumn("answer", F.when(F.col("graded"), F.col("answer")))
