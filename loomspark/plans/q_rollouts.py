@@ -313,7 +313,7 @@ def srt16(spark: SparkSession, d: str) -> DataFrame:
 _LOADS = f"WITH {_S}, z AS (SELECT length, (row_number() OVER (ORDER BY length DESC, seq) - 1) AS r, seq FROM s), p AS (SELECT 'before' AS side, seq % 8 AS part, sum(length) AS load FROM s GROUP BY part UNION ALL SELECT 'after', CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END AS part, sum(length) FROM z GROUP BY part)"
 
 
-@query("agg34_length_imbalance", f"{_LOADS} SELECT side, min(load)::BIGINT AS least, max(load)::BIGINT AS largest, {_r('avg(load)', 'mean')}, {_r('max(load) - min(load)', 'spread')} FROM p GROUP BY side")
+@query("agg34_length_imbalance", f"{_LOADS} SELECT side, min(load)::BIGINT AS least, max(load)::BIGINT AS largest, {_r('avg(load)', 'mean')}, {_r('(max(load) - min(load))::DOUBLE', 'spread')} FROM p GROUP BY side")
 def agg34(spark: SparkSession, d: str) -> DataFrame:
     """Token loads of eight ranks, as the sequences come and when they are dealt out by length, forth and back."""
     s = seqs(spark, d).select("seq", "length")

@@ -226,6 +226,29 @@ def test_inverse_permutation_of_all_rows(spark, tmp_path):
             catalog.QUERIES["srt17_reverse_index"](spark, path).collect()
 
 
+def test_weighted_draws(spark):
+    """Every draw falls into the interval of its row, also where one row owns nearly all weight and others none."""
+    rows = spark.createDataFrame([(i, 0 if i % 10 == 0 else 10**9 if i == 77 else i) for i in range(300)], "id bigint, w bigint")
+    got = {r.draw: r.id for r in sampling.weighted_draws(rows, "id", F.col("w"), 5000, "s").collect()}
+    upto, edges = 0, []
+    for r in sorted(rows.collect()):
+        upto += r.w
+        edges.append((upto, r.id))
+    total = upto
+    for k in range(5000):
+        u = int(hashlib.sha256(f"s:{k}".encode()).hexdigest()[:15], 16) % total
+        assert got[k] == next(i for top, i in edges if u < top)
+    assert len(got) == 5000 and sampling.weighted_draws(rows.filter("w = 0"), "id", F.col("w"), 9, "s").count() == 0
+
+
+def test_batches_of_different_facts(spark):
+    a, b = spark.range(2).toDF("id"), spark.range(3).toDF("id").withColumn("x", F.lit(1))
+    rows, facts = batches.concat([(a, {"m": 1}), (b, {"m": 1, "k": 2})])
+    assert rows.count() == 5 and rows.filter("x is null").count() == 2 and facts == {"m": 1, "k": 2}
+    with pytest.raises(ValueError, match="disagree"):
+        batches.concat([(a, {"m": 1}), (b, {"m": 2})])
+
+
 def test_bootstrap_draws_from_all_values(spark, tmp_path):
     """The figures are those of resamples drawn from all sorted values of a group, not from its smallest."""
     values = {"a": [float(i) for i in range(500)], "b": [7.0], "c": [-1.5, 2.5, 2.5]}
@@ -234,7 +257,7 @@ def test_bootstrap_draws_from_all_values(spark, tmp_path):
     got = {r.g: r for r in catalog.QUERIES["agg29_bootstrap"](spark, str(tmp_path)).collect()}
     assert set(got) == set(values)
     for g, x in values.items():
-        at = F.pmod(F.xxhash64(F.lit(42), F.lit(g), F.col("b"), F.col("i")), F.lit(len(x)))
+        at = sampling.hash_number("42", F.lit(g), F.col("b"), F.col("i")) % len(x)
         drawn = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("b")).select("b", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("b", at.alias("at")).collect()
         samples = [[sorted(x)[r.at] for r in drawn[4 * k : 4 * k + 4]] for k in range(1000)]
         for name, f in (("best", max), ("worst", min), ("mean", fmean)):
