@@ -43,9 +43,9 @@ def script_of(word: str) -> str | None:
     return None
 
 
-def sample_share(df: DataFrame, key: str, rows: int) -> Column:
-    """A condition that holds for about `rows` rows of df, by a hash of their key."""
-    share = min(1.0, rows / max(1, df.count()))
+def sample_share(count: int, key: str, rows: int) -> Column:
+    """A condition that holds for about `rows` of `count` rows, by a hash of their key."""
+    share = min(1.0, rows / max(1, count))
     return F.pmod(F.xxhash64(F.lit(7), F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
@@ -165,7 +165,12 @@ class LanguageModel:
 
 
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel:
-    """A model from about `rows` labelled texts of df."""
-    labelled = df.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    taken = labelled.filter(sample_share(labelled, id_col, rows)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
-    return LanguageModel([(x, r.t) for r in taken if (x := label_of(r.l))])
+    """A model from about `rows` labelled texts of df; the labels are counted without reading the texts."""
+    labelled = df.filter(F.col(label_col).isNotNull())
+    taken = labelled.filter(sample_share(labelled.count(), id_col, rows) & F.col(text_col).isNotNull()).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).collect()
+    return from_rows([(r.l, r.t) for r in taken])
+
+
+def from_rows(rows: list[tuple[str, str]]) -> LanguageModel:
+    """A model from (label as it is written, text), in whatever order."""
+    return LanguageModel([(x, t) for label, t in sorted(rows) if (x := label_of(label))])

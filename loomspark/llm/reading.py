@@ -363,9 +363,13 @@ def reading_levels(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sc = df.sparkSession.sparkContext
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     rated = labels.select(F.col(id_col).alias("doc_id"), F.col(level_col).cast("int").alias("level")).filter("doc_id is not null and level is not null")
-    rated = rated.filter(langid.sample_share(rated, "doc_id", train_docs))
-    train = [(r.text, r.level) for r in docs.join(F.broadcast(rated), "doc_id").select("text", "level", "doc_id").collect()]
-    languages = langid.fit(df, text_col, lang_col, id_col)
+    rated = rated.filter(langid.sample_share(rated.count(), "doc_id", train_docs)).groupBy("doc_id").agg(F.collect_list("level").alias("levels"))
+    # One pass over the texts fetches what both models learn from: the languages are counted without reading the texts.
+    lang = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sampled = F.col("lang").isNotNull() & langid.sample_share(lang.filter("lang is not null").count(), "doc_id", langid.TRAIN_ROWS)
+    rows = lang.filter("text is not null").join(F.broadcast(rated), "doc_id", "left").withColumn("sampled", F.coalesce(sampled, F.lit(False))).filter("sampled or levels is not null").collect()
+    train = sorted((r.text, level) for r in rows for level in r.levels or [])
+    languages = langid.from_rows([(r.lang, r.text) for r in rows if r.sampled])
     if "en" not in languages.langs:
         languages = langid.LanguageModel([("en", t) for t, _ in train])
     kept = english_prose([sentences(t)[0] for t, _ in train], languages)
