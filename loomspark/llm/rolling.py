@@ -3,28 +3,26 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 import numpy as np
 
 
-class WordCodes:
+class WordCodes(dict):
     """A code of 32 bits for each word, the same in every process; the store only saves repeated work."""
 
     def __init__(self, most: int = 1_000_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, words: Iterable[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for w in words:
-            code = known.get(w)
-            if code is None:
-                code = known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            out.append(code)
-        return np.array(out, np.uint64)
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return code
+
+    def __call__(self, words: Sequence[str]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def rolling(codes: np.ndarray, q: int) -> np.ndarray:
