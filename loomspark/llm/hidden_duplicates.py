@@ -3,7 +3,8 @@
 Every record becomes a set of (field name, normalized value) pairs. A field that holds a JSON object contributes one
 pair per member, so the order of members cannot matter. Each pair is hashed, the hashes are combined by a commutative
 multiset hash (addition modulo 2**62 in two independent lanes), records are grouped by that fingerprint, and members of
-a group are compared with its keeper as sets of pairs: nothing is sorted.
+a group are compared with its keeper as sets of pairs: nothing is sorted. The fingerprints are written once; the pairs are
+made again only for the rows of groups.
 
 Skew. The grouping is a map-side combined min/count. Groups holding more than a thousandth of all rows (fewer than 1000
 by that definition, three numbers each) are attached by broadcast; the comparison with the keeper replicates each
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.session import checkpoint
+from loomspark.session import broadcast_if_few, checkpoint
 
 #: Unicode classes that carry meaning; everything else is formatting.
 IGNORED = r"[^\p{L}\p{M}\p{N}\p{S}]+"
@@ -124,24 +125,29 @@ def hidden_duplicates(df: DataFrame, id_col: str = "row_id", fields: Sequence[st
     delivered again is not a copy of itself. Records without copies and empty tables give no rows. Further columns of
     `df` are never touched, whatever their names.
     """
-    rows = fingerprinted(df, id_col, fields, json_fields)
-    groups = checkpoint(rows.groupBy("fp1", "fp2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"))
+    prints = checkpoint(fingerprinted(df, id_col, fields, json_fields).select("id", "fp1", "fp2"))
+    groups = checkpoint(prints.groupBy("fp1", "fp2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"))
     copies_total, largest = (x or 0 for x in groups.agg(F.sum("n"), F.max("n")).first())
     hot_from = max(HOT_GROUP, copies_total // 1000)  # fewer than 1000 groups can be larger
     hot = groups.filter(F.col("n") > hot_from)
     cold = groups.filter(F.col("n") <= hot_from)
     replicas = F.ceil(F.col("n") / COPIES_PER_REPLICA).cast("int")
 
-    columns = ["id", "pairs", "keep_id", "n"]
-    members = rows.join(cold, ["fp1", "fp2"]).select(*columns)
-    if largest > hot_from:
-        members = (
-            rows.join(F.broadcast(hot.select("fp1", "fp2")), ["fp1", "fp2"], "left_anti").join(cold, ["fp1", "fp2"]).select(*columns)
-        ).unionByName(rows.join(F.broadcast(hot), ["fp1", "fp2"]).select(*columns))
-    keepers = members.filter("id = keep_id").dropDuplicates(["id"]).select("keep_id", F.col("pairs").alias("kept"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("slot"))
+    def grouped(rows: DataFrame) -> DataFrame:
+        """Rows of the groups, with keep_id and n."""
+        if largest <= hot_from:
+            return rows.join(cold, ["fp1", "fp2"])
+        others = rows.join(F.broadcast(hot.select("fp1", "fp2")), ["fp1", "fp2"], "left_anti").join(cold, ["fp1", "fp2"])
+        return others.unionByName(rows.join(F.broadcast(hot), ["fp1", "fp2"]))
+
+    # Only rows of groups are read for their pairs: the others have no copies.
+    ids = broadcast_if_few(checkpoint(grouped(prints).select(F.col("id").alias(id_col)).distinct()))
+    wanted = df.select(*dict.fromkeys([id_col, *fields])).join(ids, id_col, "left_semi")
+    members = checkpoint(grouped(fingerprinted(wanted, id_col, fields, json_fields)))
+    keepers = members.filter("id = keep_id").dropDuplicates(["fp1", "fp2"]).select("fp1", "fp2", F.col("pairs").alias("kept"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("slot"))
     copies = members.filter("id <> keep_id").withColumn("slot", F.pmod(F.xxhash64("id"), replicas).cast("int"))
     same = (F.size("pairs") == F.size("kept")) & (F.size(F.array_except("pairs", "kept")) == 0) & (F.size(F.array_except("kept", "pairs")) == 0)
-    compared = checkpoint(copies.join(keepers, ["keep_id", "slot"]).withColumn("same", same).select("id", "keep_id", "same", F.when(~same, F.col("pairs")).alias("pairs")))
+    compared = checkpoint(copies.join(keepers, ["fp1", "fp2", "slot"]).withColumn("same", same).select("id", "keep_id", "same", F.when(~same, F.col("pairs")).alias("pairs")))
 
     # A fingerprint shared by different records (never seen, 124 bits): these few are grouped by their own pairs.
     strays = compared.filter(~F.col("same")).withColumn("pairs", F.array_sort("pairs"))
