@@ -91,6 +91,10 @@ def _members(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json_members(t) if t is not None else None)
 
 
+def _named(members: Column, name: str) -> Column:
+    return F.transform(members, lambda m: F.concat(F.lit(name), m))
+
+
 def fingerprinted(df: DataFrame, id_col: str, fields: Sequence[str], json_fields: Sequence[str]) -> DataFrame:
     """(id, pairs, fp1, fp2) of the rows that can have copies."""
     rows = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(fields)])
@@ -104,7 +108,7 @@ def fingerprinted(df: DataFrame, id_col: str, fields: Sequence[str], json_fields
             rows = rows.filter(v.rlike(r"[\p{L}\p{N}]"))
             like = F.ltrim(v, F.lit(" \t\r\n")).startswith("{")
             rows = rows.withColumn(f"m{i}", _members(F.when(like, v)))
-            members = F.transform(F.col(f"m{i}"), lambda m, i=i: F.concat(F.lit(f"{i}.\x1f"), m))
+            members = _named(F.col(f"m{i}"), f"{i}.\x1f")
             parts.append(F.when(F.col(f"m{i}").isNull(), plain).otherwise(members))
         else:
             parts.append(plain)
