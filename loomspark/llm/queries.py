@@ -73,7 +73,7 @@ g AS (SELECT *, min(row_id) OVER w AS keep_id, count(*) OVER w AS n FROM m WINDO
 #: which neither text has more words of its own than edits are allowed.
 _ROW = "list_transform(range(0, len(b) + 1), lambda j: CASE WHEN j = 0 THEN x[1] ELSE least(acc[j + 1] + 1, acc[j] + (a[x[1]] <> b[j])::INT) END)"
 _DISTANCE = f"list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda acc, x: list_transform([{_ROW}], lambda t: list_transform(range(0, len(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda h: t[h + 1] - h))))[1], range(0, len(b) + 1))[len(b) + 1]"
-_OVERLAPS = f"""WITH w AS (SELECT DISTINCT sample_id AS id, lower(trim(split)) IN ('val', 'test') AS held, regexp_extract_all(upper(prompt), '[\p{{L}}\p{{N}}]+') AS a FROM recovery_pool WHERE sample_id IS NOT NULL AND prompt IS NOT NULL AND lower(trim(split)) IN ('val', 'test', 'sft', 'opd')),
+_OVERLAPS = f"""WITH w AS (SELECT DISTINCT sample_id AS id, lower(trim(split)) IN ('val', 'test') AS held, regexp_extract_all(upper(prompt), '[\\p{{L}}\\p{{N}}]+') AS a FROM recovery_pool WHERE sample_id IS NOT NULL AND prompt IS NOT NULL AND lower(trim(split)) IN ('val', 'test', 'sft', 'opd')),
 v AS (SELECT * FROM w WHERE len(a) > 0), u AS (SELECT DISTINCT held, a, len(list_distinct(a)) AS n FROM v),
 c AS (SELECT x.a AS a, y.a AS b, greatest(len(x.a), len(y.a)) // 6 AS k FROM u x JOIN u y ON x.held AND NOT y.held AND abs(len(x.a) - len(y.a)) <= greatest(len(x.a), len(y.a)) // 6 WHERE greatest(x.n, y.n) - len(list_intersect(x.a, y.a)) <= greatest(len(x.a), len(y.a)) // 6),
 m AS (SELECT a, b FROM c WHERE CASE WHEN a = b THEN 0 ELSE {_DISTANCE} END <= k),
