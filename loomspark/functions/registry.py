@@ -35,6 +35,7 @@ REWARDS = Registry("reward")
 ESTIMATORS = Registry("estimator")
 EXTRACTORS = Registry("extractor")
 LOSSES = Registry("policy loss")
+MANAGERS = Registry("reward manager")
 
 
 @REWARDS.register("zero")

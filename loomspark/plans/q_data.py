@@ -401,7 +401,12 @@ def srt15(spark: SparkSession, d: str) -> DataFrame:
     return batches.balanced_parts(_customer_batches(spark, d), "g", "k", "size", 20_000, "budget")
 
 
-query("srt18_rank_balance")(lambda spark, d: srt13(spark, d).withColumnRenamed("part", "rank"))
+@query("srt18_rank_balance")
+def srt18(spark: SparkSession, d: str) -> DataFrame:
+    """The new order of each batch, in which every rank's rows stand together and all ranks have about the same load."""
+    place = F.row_number().over(Window.partitionBy("g").orderBy("part", "k")) - 1  # a batch has a bounded number of rows
+    return srt13(spark, d).select("g", "k", F.col("part").alias("rank"), place.alias("place"))
+
 
 _RUNS = "r AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value FROM events)"
 
@@ -632,11 +637,15 @@ def res6(spark: SparkSession, d: str) -> DataFrame:
     return batches.repeat_rows(rows, 4).select("uid", F.col("copy").cast("bigint").alias("copy"))
 
 
-@query("res7_passages", "SELECT benchmark, string_agg(concat('Doc ', i, ' (Title: ', split_part(text, '.', 1), ')'), chr(10) ORDER BY i) AS passages FROM (SELECT benchmark, text, row_number() OVER (PARTITION BY benchmark ORDER BY benchmark_index) AS i FROM benchmark_items) WHERE i <= 3 GROUP BY benchmark")
+@query("res7_passages", "SELECT benchmark, string_agg(concat('Doc ', i, ' (Title: ', split_part(text, '.', 1), ') ', substr(text, length(split_part(text, '.', 1)) + 2)), chr(10) ORDER BY i) AS passages FROM (SELECT benchmark, text, row_number() OVER (PARTITION BY benchmark ORDER BY benchmark_index, item_id) AS i FROM benchmark_items) WHERE i <= 3 GROUP BY benchmark")
 def res7(spark: SparkSession, d: str) -> DataFrame:
-    hits = load(spark, d, "benchmark_items").groupBy("benchmark").agg(F.slice(F.array_sort(F.collect_list(F.struct("benchmark_index", "text"))), 1, 3).alias("h"))
-    line = lambda h, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), F.substring_index(h["text"], ".", 1), F.lit(")"))
-    return hits.select("benchmark", F.array_join(F.transform("h", line), "\n").alias("passages"))
+    """The three best hits of a search as one text: number, title and what follows it."""
+    w = Window.partitionBy("benchmark").orderBy("benchmark_index", "item_id")
+    hits = load(spark, d, "benchmark_items").withColumn("i", F.row_number().over(w)).filter("i <= 3")
+    title = F.substring_index("text", ".", 1)
+    line = F.concat(F.lit("Doc "), F.col("i").cast("string"), F.lit(" (Title: "), title, F.lit(") "), F.substring("text", F.length(title) + 2, F.length("text")))
+    g = hits.groupBy("benchmark").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("h"))
+    return g.select("benchmark", F.array_join(F.transform("h", lambda x: x["line"]), "\n").alias("passages"))
 
 
 @query("res8_generation_table", "SELECT o_custkey AS prompt, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS responses FROM orders GROUP BY o_custkey")
@@ -660,6 +669,9 @@ def sca36(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "mix_targets").select("plan_name", "target_id", F.format_string("%s of %s at %.2f", "plan_name", "split", "target_share").alias("description"))
 
 
-@query("sca37_expected_steps", "SELECT split, (count(*) // 32) * 2 AS steps FROM recovery_pool GROUP BY split")
+@query("sca37_expected_steps", "SELECT split, batch, least((count(*) // batch) * 2, 12) AS steps, (count(*) // batch) * 2 > 12 AS cut FROM recovery_pool, (VALUES (32), (64), (100)) b(batch) GROUP BY split, batch")
 def sca37(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "recovery_pool").groupBy("split").agg((F.floor(F.count("*") / 32) * 2).alias("steps"))
+    """Optimizer steps of two epochs by batch size, within a budget of twelve."""
+    n = load(spark, d, "recovery_pool").groupBy("split").agg(F.count("*").alias("n")).withColumn("batch", F.explode(F.array(F.lit(32), F.lit(64), F.lit(100))))
+    steps = F.floor(F.col("n") / F.col("batch")) * 2
+    return n.select("split", "batch", F.least(steps, F.lit(12)).alias("steps"), (steps > 12).alias("cut"))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text
 from loomspark.functions import registry as reg
+from loomspark.functions.grading import overlong_penalty
 from loomspark.operators import rollouts as ro
 from loomspark.plans.q_data import _scratch
 from loomspark.plans.q_rollouts import _S, rounded, seqs
 from loomspark.plans.q_text import RESPONSES, responses
 from loomspark.plans.registry import QUERIES, query
 from loomspark.session import load
-from loomspark.sources import files, generated
+from loomspark.sources import files, generated, windows
 
 for _name in ("grpo", "rloo", "opo", "gpg"):
     reg.ESTIMATORS.register(_name)(getattr(ro, _name))
@@ -26,13 +27,21 @@ for _loss, _query in {"vanilla": "num23_ppo_loss", "sequence_ratio": "num24_gspo
 reg.custom_reward(lambda a, b: len(set(a.split()) & set(b.split())) / max(1, len(set(b.split()))), "word_overlap")
 
 
-@query("src1_line_windows", "SELECT row_id FROM source_rows WHERE row_id % 5 <> 0")
+#: Lines of a file, bytes of a line with its end, and the windows that are read of each file.
+_LINES, _LINE, _OFFSETS, _LENGTH = 4096, 64, (0, 60_000, 131_050, 200_000), 20_000
+_INSIDE = " OR ".join(f"(ord % {_LINES} * {_LINE} - 1 >= {o} AND ord % {_LINES} * {_LINE} + {_LINE - 1} <= {o + _LENGTH})" for o in _OFFSETS)
+
+
+@query("src1_line_windows", f"SELECT row_id FROM source_rows WHERE row_id % 5 <> 0 AND ({_INSIDE})")
 def src1(spark: SparkSession, d: str) -> DataFrame:
-    """JSON lines read in byte windows (splits begin and end at whole lines); what cannot be decoded is skipped."""
+    """Byte windows of JSON lines: cut lines at both ends are dropped, lines that cannot be decoded are skipped."""
     path = _scratch(spark, "windows")
-    rows = load(spark, d, "source_rows")
-    rows.select(F.when(F.col("row_id") % 5 != 0, F.to_json(F.struct("row_id", "prompt"))).otherwise('{"row_id": ')).write.text(path)
-    return files.read_jsonl(spark, path, "row_id bigint, prompt string").filter("row_id is not null").select("row_id")
+    row = F.when(F.col("row_id") % 5 != 0, F.to_json(F.struct("row_id"))).otherwise('{"row_id": ')
+    lines = load(spark, d, "source_rows").select("ord", F.floor(F.col("ord") / _LINES).alias("file"), F.rpad(row, _LINE - 1, " ").alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
+    spark.dataSource.register(windows.WindowSource)
+    read = spark.read.format("byte_windows").option("path", path).option("offsets", ",".join(map(str, _OFFSETS))).option("length", _LENGTH).load()
+    return read.select(F.from_json("line", "row_id bigint").alias("x")).select("x.row_id").filter("row_id is not null").distinct()
 
 
 @query("src15_tree_of_summaries", "SELECT n_regionkey AS region, n_nationkey, n_name FROM nation ORDER BY n_regionkey, n_nationkey")
@@ -207,6 +216,41 @@ def rcp13(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(tag, ratio, f"{c['pruning']['method']}_{tag}_masks", c["pipeline"]["stop_after"])], "tag string, ratio double, mask_dir string, stop_after string")
 
 
+def _manager(name: str):  # noqa: ANN202
+    """A reward manager: (df with response, tokens) -> df with score."""
+    return reg.MANAGERS.register(name)
+
+
+@_manager("naive")
+def _naive(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.contains("teacher_response", F.lit("\\boxed{")).cast("double"))
+
+
+@_manager("overlong")
+def _overlong(df: DataFrame) -> DataFrame:
+    return _naive(df).withColumn("score", F.col("score") + overlong_penalty(F.coalesce("tokens", F.lit(0)), 400, 100))
+
+
+@_manager("clipped")
+def _clipped(df: DataFrame) -> DataFrame:
+    return _overlong(df).withColumn("score", F.greatest("score", F.lit(-1.0)))
+
+
+_NAIVE = "contains(teacher_response, '\\boxed{')::INT"
+_LONG = f"{_NAIVE} + least(-(coalesce(tokens, 0) - 300) / 100.0, 0)"
+
+
+@query("udf2_reward_managers", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, round(sum({x})::DOUBLE, 4) AS total FROM {RESPONSES} WHERE teacher_response IS NOT NULL" for n, x in (("naive", _NAIVE), ("overlong", _LONG), ("clipped", f"greatest({_LONG}, -1)"))))
+def udf2(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by every reward manager of the registry."""
+    r = responses(spark, d).filter("teacher_response is not null")
+    out = None
+    for name, manager in reg.MANAGERS.items.items():
+        one = manager(r).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total")).select(F.lit(name).alias("name"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("res9_reward_loop", f"SELECT response_id, round((CASE WHEN contains(teacher_response, '\\boxed{{') THEN 1.0 ELSE 0.0 END + least(-(coalesce(tokens, 0) - 300) / 100.0, 0))::DOUBLE, 7) AS score FROM {RESPONSES} WHERE teacher_response IS NOT NULL")
 def res9(spark: SparkSession, d: str) -> DataFrame:
     """Per-sample rewards with the soft penalty for length."""
@@ -231,17 +275,21 @@ def snk3(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark_items").groupBy("benchmark").agg(F.sha2(F.array_join(t, "\n"), 256).alias("digest"))
 
 
-@query("snk4_json_rows", "SELECT event_id, user_id, event_type FROM events")
+@query("snk4_json_rows", "SELECT event_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || ' \u00e9\",\"user_id\":' || user_id || '}' AS line FROM events")
 def snk4(spark: SparkSession, d: str) -> DataFrame:
-    """Rows as JSON text with unicode kept, and parsed again."""
-    j = load(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type")).alias("j"))
-    return j.select(F.from_json("j", "event_id bigint, user_id bigint, event_type string").alias("x")).select("x.*")
+    """Rows as JSON text with sorted keys and unicode kept."""
+    names = sorted(["user_id", "event_type", "event_id"])
+    e = load(spark, d, "events").withColumn("event_type", F.concat("event_type", F.lit(" \u00e9")))
+    return e.select("event_id", F.to_json(F.struct(*names)).alias("line"))
 
 
-@query("snk7_typed_values", "SELECT row_id, domain IS NULL AS no_domain FROM source_rows")
+@query("snk7_typed_values", "SELECT row_id, CASE WHEN domain IS NULL THEN NULL ELSE domain END AS domain, ord::VARCHAR AS ord, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') AS fetched_at, cardinality(strata)::VARCHAR AS n_strata FROM source_rows")
 def snk7(spark: SparkSession, d: str) -> DataFrame:
-    j = load(spark, d, "source_rows").select("row_id", F.to_json(F.struct("domain", "ord", "fetched_at", "strata")).alias("j"))
-    return j.select("row_id", F.get_json_object("j", "$.domain").isNull().alias("no_domain"))
+    """Values as JSON has them: times as ISO text, maps as objects, missing ones left out."""
+    iso = F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at")
+    j = load(spark, d, "source_rows").select("row_id", F.to_json(F.struct("domain", "ord", iso, F.size("strata").alias("n_strata"), "strata")).alias("j"))
+    field = lambda n: F.get_json_object("j", f"$.{n}").alias(n)
+    return j.select("row_id", field("domain"), field("ord"), field("fetched_at"), F.when(F.get_json_object("j", "$.strata").isNotNull(), F.get_json_object("j", "$.n_strata")).alias("n_strata"))
 
 
 @query("src14_path_keys", "SELECT n_nationkey, md5(concat('hdfs://data/', n_name)) AS local_key FROM nation")

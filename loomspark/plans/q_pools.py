@@ -311,3 +311,31 @@ def rcp1(spark: SparkSession, d: str) -> DataFrame:
 def flt16(spark: SparkSession, d: str) -> DataFrame:
     n = rcp1(spark, d).groupBy("split", "domain").agg(F.count("*").alias("n"))
     return n.withColumn("balanced", F.col("n") == F.when(F.col("split") == "sft", SFT_QUOTA).otherwise(OPD_QUOTA))
+
+
+_BUILT = f"SELECT p.*, {norm('r.prompt')} AS key, coalesce(r.strata['difficulty'], '') AS stratum FROM ({_POOLS}) p JOIN source_rows r USING (row_id)"
+
+
+@query(
+    "flt17_pool_gate",
+    f"SELECT 'residual_contamination' AS check_name, (WITH {_MATCHES} SELECT count(*) FROM ({_BUILT}) WHERE row_id IN (SELECT prompt_id FROM m)) AS problems, true AS passed UNION ALL SELECT 'splits_disjoint', (SELECT count(*) FROM (SELECT key FROM ({_BUILT}) WHERE split = 'sft' INTERSECT SELECT key FROM ({_BUILT}) WHERE split = 'opd')), true UNION ALL SELECT 'quotas_met', (SELECT count(*) FROM (SELECT split, domain FROM ({_BUILT}) GROUP BY split, domain HAVING count(*) <> CASE WHEN split = 'sft' THEN {SFT_QUOTA} ELSE {OPD_QUOTA} END)), (SELECT count(*) = 0 FROM (SELECT split, domain FROM ({_BUILT}) GROUP BY split, domain HAVING count(*) <> CASE WHEN split = 'sft' THEN {SFT_QUOTA} ELSE {OPD_QUOTA} END)) UNION ALL SELECT 'strata_spread', (SELECT count(*) FROM (SELECT split, domain FROM ({_BUILT}) GROUP BY split, domain HAVING count(DISTINCT stratum) < 2)), (SELECT count(*) = 0 FROM (SELECT split, domain FROM ({_BUILT}) GROUP BY split, domain HAVING count(DISTINCT stratum) < 2))",
+)
+def flt17(spark: SparkSession, d: str) -> DataFrame:
+    """The gate of built pools: no match with an evaluation item left, no prompt in both, quotas met, more than one stratum in each."""
+    pools = checkpoint(rcp1(spark, d))
+    texts = checkpoint(pools.join(load(spark, d, "source_rows").select("row_id", "prompt", F.coalesce(F.try_element_at("strata", F.lit("difficulty")), F.lit("")).alias("stratum")), "row_id").withColumn("key", text.normalize(F.col("prompt"))))
+    residual = contamination.contamination_matches(texts, load(spark, d, "benchmark_items"), "row_id", "prompt").select("prompt_id").distinct()
+    keys = texts.select("split", "key")
+    quota = F.when(F.col("split") == "sft", SFT_QUOTA).otherwise(OPD_QUOTA)
+    n = F.count("*").alias("problems")
+    gates = {
+        "residual_contamination": residual.agg(n),
+        "splits_disjoint": keys.filter("split = 'sft'").select("key").intersect(keys.filter("split = 'opd'").select("key")).agg(n),
+        "quotas_met": pools.groupBy("split", "domain").agg(F.count("*").alias("c")).filter(F.col("c") != quota).agg(n),
+        "strata_spread": texts.groupBy("split", "domain").agg(F.countDistinct("stratum").alias("c")).filter("c < 2").agg(n),
+    }
+    out = None
+    for name, g in gates.items():
+        row = g.select(F.lit(name).alias("check_name"), "problems")
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("passed", F.col("problems") == 0)

@@ -123,14 +123,6 @@ def flt14(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "recovery_pool").groupBy("sample_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("flt17_pool_gate", "SELECT domain, round(n::DOUBLE / total, 9) AS share, abs(n::DOUBLE / total - 0.25) > 0.02 AS off FROM (SELECT domain, count(*) AS n, sum(count(*)) OVER () AS total FROM recovery_pool WHERE split = 'opd' GROUP BY domain)")
-def flt17(spark: SparkSession, d: str) -> DataFrame:
-    n = load(spark, d, "recovery_pool").filter("split = 'opd'").groupBy("domain").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    return n.crossJoin(F.broadcast(total)).select("domain", F.round(share, 9).alias("share"), (F.abs(share - 0.25) > 0.02).alias("off"))
-
-
 @query("flt18_split_validation", "SELECT split, count(*) AS n, count(DISTINCT sample_id) AS ids FROM recovery_pool GROUP BY split")
 def flt18(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "recovery_pool").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("sample_id").alias("ids"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named and not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     where = named or os.path.join(tempfile.gettempdir(), f"loomspark-checkpoint-{os.getpid()}")
+    if not named:
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     context.setCheckpointDir(where)
     return where
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import checkers as ck
 from loomspark.functions import grading, prompts, text
-from loomspark.operators import batches, contamination, rollouts, sampling
-from loomspark.plans import catalog, q_data
-from loomspark.sources import files
+from loomspark.operators import batches, contamination, extractors, rollouts, sampling
+from loomspark.plans import catalog, q_data, q_extract
+from loomspark.sources import files, windows
 from loomspark.streaming import monitor
 
 
@@ -298,3 +298,36 @@ def test_files(spark, tmp_path):
     one = files.ordered_digest(spark.range(3000).select("id", F.col("id").alias("o")), "id", "o").first()
     two = files.ordered_digest(spark.range(3000).select("id", F.col("id").alias("o")).repartition(7), "id", "o").first()
     assert one == two and one["blocks"] == 3
+
+
+def test_byte_windows_drop_cut_lines(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "part.txt").write_bytes(b"".join(f"line {i:03d}\n".encode() for i in range(100)))  # nine bytes each
+    spark.dataSource.register(windows.WindowSource)
+    read = lambda offsets, length: sorted((r.offset, r.line) for r in spark.read.format("byte_windows").option("path", str(tmp_path / "a")).option("offsets", offsets).option("length", length).load().collect())
+    assert read("0,450", 30) == [(0, "line 001"), (0, "line 002"), (450, "line 051"), (450, "line 052")]
+    assert read("890", 100) == [(890, "line 099")] and read("5000", 10) == [] and read("0", 3) == []
+
+
+def test_json_values(spark):
+    same = lambda a, b: value(spark, grading.json_equal(F.lit(a), F.lit(b)))
+    assert same('{"a":1, "b":[2]}', '{"b": [2], "a": 1}') and same("(1, 2)", "[1,2]") and same("(3,)", "[3]") and same("null", " null ")
+    assert not same("[1, 2]", "[2, 1]") and not same("{", "{") and not same("1", "2") and not same(None, "1")
+
+
+def test_run_codes(spark):
+    rows = [(1, 1, 1.0, None, True), (1, 2, 1.0, None, True), (2, 1, 1.0, None, False), (2, 2, 9.0, None, True), (3, 1, 9.0, None, True), (3, 2, 1.0, "x", True), (4, 1, 1.0, "x", True), (5, 1, 8.0, None, True), (5, 2, 8.0, None, True), (6, 1, 1.0, None, None)]
+    cases = spark.createDataFrame(rows, "task int, k int, seconds double, error string, right boolean")
+    got = {r.task: r.code for r in grading.run_codes(cases, "task", ["k"], 5.0, 15.0).collect()}
+    assert got == {1: 1, 2: -2, 3: -3, 4: -4, 5: -1, 6: -2}
+
+
+def test_extractors(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "s", "a", "", "What is the sum of two and three here? Put the answer in \\boxed{}.", "open", "Physics"), (2, 2, "s", "a", "", "WHAT is the sum of two and three here!", "open", "Physics"), (3, 3, "s", "b", "", "too short", "open", "Physics"), (4, 4, "s", "c", "", "What is the sum of two and three here? (Answer: X)", "open", "Physics"), (5, 5, "s", "d", "", "Another question with enough letters in it?", "mcq", "Physics"), (6, 6, "s", None, "", None, "open", "Physics")],
+        "row_id bigint, ord bigint, source string, source_id string, label string, problem string, question_type string, topic string",
+    )
+    assert [(r.row_id, r.body) for r in extractors.opd_science(df).collect()] == [(1, "What is the sum of two and three here?")]
+    assert extractors.opd_science(df.limit(0)).count() == 0
+    with pytest.raises(KeyError, match="no extractors"):
+        q_extract.extractors_for("test")
