@@ -160,8 +160,9 @@ def first_content(messages: Column, role: str) -> Column:
 
 
 def unwrap_answer(raw: Column) -> Column:
-    """The only element of an answer written as a JSON list, else the answer."""
-    return F.when(raw.rlike(r'^\s*\["?[^"\[\]]*"?\]\s*$'), F.get_json_object(raw, "$[0]")).otherwise(raw)
+    """The first element of an answer written as a JSON list; any other answer without white space at its ends."""
+    body = strip(raw)
+    return F.when(body.startswith("[") & body.endswith("]"), F.coalesce(F.get_json_object(body, "$[0]"), body)).otherwise(body)
 
 
 def constraint_count(constraint: Column) -> Column:

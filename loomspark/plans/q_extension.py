@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text
 from loomspark.functions import registry as reg
-from loomspark.functions.grading import overlong_penalty
+from loomspark.functions.grading import answer_equal, overlong_penalty
 from loomspark.operators import rollouts as ro
+from loomspark.operators import sampling
 from loomspark.plans.q_data import _scratch
 from loomspark.plans.q_rollouts import _S, rounded, seqs
 from loomspark.plans.q_text import RESPONSES, responses
@@ -197,23 +199,39 @@ def udf11(spark: SparkSession, d: str) -> DataFrame:
     return g.select("g", F.round(spread("hi", "lo"), 4).alias("spread"))
 
 
-@query("str4_curriculum_update", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+@query("str4_curriculum_update", "WITH s AS (SELECT event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY event_type) SELECT e.event_id, row_number() OVER (ORDER BY s.m, e.event_type, sha256(concat('c:', e.event_id)), e.event_id) - 1 AS place FROM events e JOIN s USING (event_type)")
 def str4(spark: SparkSession, d: str) -> DataFrame:
-    """A sampler's state by category, updated by every micro-batch of a stream."""
+    """A sampler whose state by category is updated by every micro-batch of a stream, and the order it then delivers: the
+    categories by their mean so far, the rows of each at random.
+    """
     source, sink = _scratch(spark, "cur"), f"curriculum_{uuid.uuid4().hex}"
-    load(spark, d, "events").select("event_type", "value").write.parquet(source)
-    state = spark.readStream.schema("event_type string, value double").parquet(source).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    e = load(spark, d, "events").select("event_id", "event_type", "value")
+    e.write.parquet(source)
+    state = spark.readStream.schema("event_id bigint, event_type string, value double").parquet(source).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     state.writeStream.format("memory").queryName(sink).outputMode("complete").option("checkpointLocation", _scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(sink).select("event_type", "n", F.round("mean", 6).alias("mean"))
+    known = e.join(spark.table(sink).select("event_type", "mean"), "event_type").withColumn("draw", sampling.stable_rank("c", F.col("event_id")))
+    return sampling.global_rank(known, ["mean", "event_type", "draw", "event_id"], "place").select("event_id", "place")
+
+
+_RATIOS = (10, 25, 40, 55)
 
 
-@query("rcp13_ratio_config", "SELECT 'r25' AS tag, 0.25::DOUBLE AS ratio, 'wanda_r25_masks' AS mask_dir, 'after_sft' AS stop_after")
+@query("rcp13_ratio_config", "SELECT 'r' || r AS tag, r / 100 AS ratio, CASE WHEN r < 30 THEN 'wanda' ELSE 'flap' END || '_r' || r || '_masks' AS mask_dir, CASE WHEN r = 40 THEN 'after_sft' ELSE 'after_opd' END AS stop_after, 1000 * r AS seed FROM (VALUES (10), (25), (40), (55)) v(r)")
 def rcp13(spark: SparkSession, d: str) -> DataFrame:
-    configs = {"base": {"pruning": {"method": "wanda", "ratios": [0.1]}, "pipeline": {"stop_after": "after_opd"}}, "dense": {"_base_": "base", "pruning": {"ratios": [0.25]}, "pipeline": {"stop_after": "after_sft"}}}
-    c = reg.resolve(configs, "dense")
-    ratio = c["pruning"]["ratios"][0]
-    tag = f"r{round(ratio * 100):02d}"
-    return spark.createDataFrame([(tag, ratio, f"{c['pruning']['method']}_{tag}_masks", c["pipeline"]["stop_after"])], "tag string, ratio double, mask_dir string, stop_after string")
+    """Configurations of ratios in JSON files, each over a family's and that over a common base, deep-merged."""
+    root = _scratch(spark, "configs")
+    written = {"base": {"pruning": {"method": "wanda", "seed": 1}, "pipeline": {"stop_after": "after_opd"}}, "high": {"_base_": "base", "pruning": {"method": "flap"}}}
+    for r in _RATIOS:
+        written[f"r{r}"] = {"_base_": "base" if r < 30 else "high", "pruning": {"ratio": r / 100, "seed": 1000 * r}, **({"pipeline": {"stop_after": "after_sft"}} if r == 40 else {})}
+    spark.createDataFrame([(name, json.dumps(c)) for name, c in written.items()], "name string, value string").repartition("name").write.partitionBy("name").text(root)
+    files_ = spark.read.option("wholetext", True).text(root)
+    configs = {r.name: json.loads(r.value) for r in files_.select("name", "value").collect()}  # one row for each configuration
+    rows = []
+    for r in _RATIOS:
+        c = reg.resolve(configs, f"r{r}")
+        tag = f"r{round(c['pruning']['ratio'] * 100):02d}"
+        rows.append((tag, c["pruning"]["ratio"], f"{c['pruning']['method']}_{tag}_masks", c["pipeline"]["stop_after"], c["pruning"]["seed"]))
+    return spark.createDataFrame(rows, "tag string, ratio double, mask_dir string, stop_after string, seed int")
 
 
 def _manager(name: str):  # noqa: ANN202
@@ -259,14 +277,24 @@ def res9(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r.select("response_id", score.alias("score")))
 
 
-@query("rew8_numeric_equality", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax >= 0.05 AS same FROM lineitem")
-def rew8(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers equal within a relative tolerance; fractions and percentages count as numbers (no symbolic algebra)."""
-    from loomspark.functions.grading import numeric_equal
+#: Forms of an answer from a price and a quantity: (given, expected, whether they agree).
+_FORMS = [
+    ("{p}", "{p}0", True), ("{q}", "{q}.00001", True), ("{q}", "{q}.01", False), ("{q}00%", "{q}", True), ("{q}/2", "{q}*", False), ("({p}, {q}]", "( {p},{q}.0]", True), ("[{p}, {q})", "({p}, {q})", False), ("({p}, {q})", "({p}, {q}, 1)", False), ("\\frac{{q}}{4}", "\\dfrac {q}/4", False), ("${p}$", "{p}", True),
+]
+
 
-    a = F.col("l_extendedprice").cast("string")
-    b = F.when(F.col("l_tax") >= 0.05, F.concat((F.col("l_extendedprice") * 100).cast("string"), F.lit("%"))).otherwise(F.concat((F.col("l_extendedprice") * 3).cast("string"), F.lit("/2")))
-    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", numeric_equal(a, b).alias("same"))
+def _formed(which: int) -> Column:
+    p, q = F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), F.col("l_quantity").cast("int").cast("string")
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(_FORMS):
+        out = F.when(F.col("l_orderkey") % len(_FORMS) == i, F.replace(F.replace(F.lit(form[which]), F.lit("{p}"), p), F.lit("{q}"), q)).otherwise(out)
+    return out
+
+
+@query("rew8_numeric_equality", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_orderkey % {len(_FORMS)} IN ({', '.join(str(i) for i, f in enumerate(_FORMS) if f[2])}) AS same FROM lineitem")
+def rew8(spark: SparkSession, d: str) -> DataFrame:
+    """Answers equal within a tolerance, as fractions, percentages, tuples or intervals (no symbolic algebra)."""
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", answer_equal(_formed(0), _formed(1)).alias("same"))
 
 
 @query("snk3_text_digests", "SELECT benchmark, sha256(string_agg(text, chr(10) ORDER BY benchmark_index)) AS digest FROM benchmark_items GROUP BY benchmark")

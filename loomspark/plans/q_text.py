@@ -117,11 +117,13 @@ def sca15(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", text.strip_wrapper(F.col("text"), "final integer.", ".").alias("bare"))
 
 
-@query("sca16_unwrap_answer", "SELECT item_id, answer AS a, answer AS b FROM benchmark_items")
+@query("sca16_unwrap_answer", "SELECT item_id, CASE item_id % 5 WHEN 1 THEN CASE WHEN regexp_matches(answer, '^(0|[1-9][0-9]*)$') THEN answer ELSE '[' || answer || ', 2]' END WHEN 3 THEN '{\"v\": \"' || answer || '\"}' WHEN 4 THEN '[]' ELSE answer END AS bare FROM benchmark_items")
 def sca16(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "benchmark_items")
-    quoted, bare = F.concat(F.lit('["'), "answer", F.lit('"]')), F.concat(F.lit("["), "answer", F.lit("]"))
-    return rows.select("item_id", text.unwrap_answer(quoted).alias("a"), F.when(F.col("answer").rlike(r"^[1-9]\d*$|^0$"), text.unwrap_answer(bare)).otherwise(F.col("answer")).alias("b"))
+    """Answers as a list of one text, a list of two values, with spaces, as an object, and an empty list."""
+    k, a = F.col("item_id") % 5, F.col("answer")
+    said = F.when(k == 0, F.concat(F.lit(' ["'), a, F.lit('"]'))).when(k == 1, F.concat(F.lit("["), a, F.lit(", 2]"))).when(k == 2, F.concat(F.lit(" "), a, F.lit("\n")))
+    said = said.when(k == 3, F.concat(F.lit('{"v": "'), a, F.lit('"}'))).otherwise("[]")
+    return load(spark, d, "benchmark_items").select("item_id", text.unwrap_answer(said).alias("bare"))
 
 
 @query("sca17_reconstruct_question", "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN coalesce(domain, '') || prompt || coalesce(source, '') ELSE coalesce(source, '') || prompt || coalesce(source_id, '') END AS question FROM source_rows")
@@ -137,11 +139,15 @@ def sca18(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sample_id", text.constraint_count(joined).alias("n"))
 
 
-@query("sca19_constraint_families", "SELECT DISTINCT sample_id, array_to_string(list_sort(list_distinct(['count', split])), ',') AS families FROM recovery_pool")
+_IDS = ["count:words", "letters:first", "count:lines", "format:title-case", "repeat:span", "letters:last"]
+
+
+@query("sca19_constraint_families", f"SELECT row_id, array_to_string(list_sort(list_distinct(list_transform([{', '.join(chr(39) + i + chr(39) for i in _IDS)}][1 + row_id % 3:1 + row_id % 3 + row_id % 4 - 1], lambda i: split_part(i, ':', 1)))), ',') AS families FROM source_rows")
 def sca19(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "recovery_pool").select("sample_id", "split").distinct()
-    written = F.concat(F.lit("[{'id': 'count:words'}, {'id': '"), "split", F.lit(":letters'}, {'id': 'count:lines'}]"))
-    return rows.select("sample_id", F.array_join(text.constraint_families(written), ",").alias("families"))
+    """Families of the ids in a list written out as Python writes it, single quotes and None included."""
+    ids = F.slice(F.array(*map(F.lit, _IDS)), (F.col("row_id") % 3 + 1).cast("int"), (F.col("row_id") % 4).cast("int"))
+    written = F.concat(F.lit("["), F.array_join(F.transform(ids, lambda i: F.concat(F.lit("{'instruction_id': ['"), i, F.lit("'], 'kwargs': [None]}"))), ", "), F.lit("]"))
+    return load(spark, d, "source_rows").select("row_id", F.array_join(text.constraint_families(written), ",").alias("families"))
 
 
 _BOXED_SQL = r"CASE WHEN contains(teacher_response, '\boxed{') THEN nullif(regexp_extract(list_last(string_split(teacher_response, '\boxed{')), '^((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1), '') END"

@@ -331,3 +331,11 @@ def test_extractors(spark):
     assert extractors.opd_science(df.limit(0)).count() == 0
     with pytest.raises(KeyError, match="no extractors"):
         q_extract.extractors_for("test")
+
+
+def test_answers_as_numbers_and_intervals(spark):
+    same = lambda a, b: value(spark, grading.answer_equal(F.lit(a), F.lit(b)))
+    for a, b in (("1/2", "0.5"), ("50%", "0.5"), ("1,000", "1000.00001"), ("(1, 2]", "(1.0,2]"), ("\\frac12", "\\frac{1}{2}"), ("[ -1/2 , x )", "[-0.5,x)")):
+        assert same(a, b), (a, b)
+    for a, b in (("(1, 2]", "[1, 2]"), ("(1, 2)", "(2, 1)"), ("(1, 2)", "(1, 2, 3)"), ("1", "2"), ("x", "y"), (None, "1"), ("", "1")):
+        assert not same(a, b), (a, b)
