@@ -45,3 +45,19 @@ def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
 def is_set(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Which places of a packed bitmap are set."""
     return (bitmap[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def coded_texts(texts: list[str], coded: WordCodes) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words of all texts, words of each text); words are parted by single spaces."""
+    return coded(" ".join(texts).split(" ")), np.array([t.count(" ") + 1 for t in texts], np.int64)
+
+
+def rolling_of(codes: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of every run of q words inside the wanted texts, of which `codes` and `sizes` tell all words."""
+    texts = np.flatnonzero(wanted)
+    own, n = codes[np.repeat(wanted, sizes)], sizes[texts]
+    h = rolling(own, q)
+    owner = np.repeat(np.arange(len(texts)), n)[: len(h)]
+    at = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
+    inside = at + q <= n[owner]
+    return h[inside], texts[owner[inside]], at[inside]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.rolling import WordCodes, is_set, rolling, slots
+from loomspark.llm.rolling import WordCodes, coded_texts, is_set, rolling, rolling_of, slots
 from loomspark.session import checkpoint
 
 SKETCH_BITS = 18
@@ -40,6 +40,8 @@ SHINGLES_PER_PART = 50_000
 RECORDS_PER_PART = 20_000
 #: Words of an evaluation text whose shingles are chosen together.
 WINDOW = 1_000
+#: Texts whose words are coded together.
+TEXTS_AT_ONCE = 1_000
 #: Rows up to which a checkpointed side of a join is broadcast.
 FEW_ROWS = 200_000
 EVAL, TRAIN = ("val", "test"), ("sft", "opd")
@@ -54,9 +56,10 @@ def shingle_size(n: int) -> int:
     return 4 if n >= 20 else 3 if n >= 10 else 2
 
 
-def probe_sizes(n: int) -> list[int]:
-    """Sizes of the shingles of all texts that a text of n words can be near to."""
-    return sorted({shingle_size(m) for m in range(max(5, -(-5 * n // 6)), min(6 * n // 5, 20) + 1)} | ({4} if 6 * n // 5 >= 20 else set()))
+def probed(n: np.ndarray) -> dict[int, np.ndarray]:
+    """For each size of shingles, which texts of n words can be near to a text whose shingles have that size."""
+    low, high = -(-5 * n // 6), 6 * n // 5
+    return {2: (low < 10) & (high >= 5), 3: (low < 20) & (high >= 10), 4: high >= 20}
 
 
 def choose_rarest(costs: np.ndarray, q: int, need: int) -> list[int]:
@@ -114,15 +117,23 @@ def _within(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
     for x, y, z in zip(a, b, k):
         x, y = x.split(" "), y.split(" ")
         x, y = (x, y) if len(x) >= len(y) else (y, x)
-        out.append((Counter(x) - Counter(y)).total() <= z and within(x, y, int(z)))
+        out.append(len(set(x) - set(y)) <= z and (Counter(x) - Counter(y)).total() <= z and within(x, y, int(z)))
     return pd.Series(out, dtype=bool)
 
 
-def _marks(codes: np.ndarray) -> tuple[int, int]:
-    """128 bits, in two whole numbers, set by the words of a text."""
-    bit = np.uint64(1) << (codes & np.uint64(63))
-    high = (codes >> np.uint64(6) & np.uint64(1)).astype(bool)
-    return int(np.bitwise_or.reduce(bit[high], initial=np.uint64(0)).astype(np.int64)), int(np.bitwise_or.reduce(bit[~high], initial=np.uint64(0)).astype(np.int64))
+def _marks(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each text, in two whole numbers, set by its words."""
+    bit, none = np.uint64(1) << (codes & np.uint64(63)), np.uint64(0)
+    upper = (codes >> np.uint64(6) & np.uint64(1)).astype(bool)
+    starts = np.cumsum(sizes) - sizes
+    return tuple(np.bitwise_or.reduceat(np.where(half, bit, none), starts).astype(np.int64) for half in (upper, ~upper))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most TEXTS_AT_ONCE rows, none empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
 
 
 def sketch_of(texts: DataFrame) -> np.ndarray:
@@ -130,12 +141,10 @@ def sketch_of(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded, total = WordCodes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for t in batch.column(0).to_pylist():
-                codes = coded(t.split(" "))
-                found += [rolling(codes, q) for q in probe_sizes(len(codes))]
-            total += np.bincount(slots(np.concatenate(found), SKETCH_BITS), minlength=len(total))
+        for batch in _slices(batches):
+            codes, sizes = coded_texts(batch.column(0).to_pylist(), coded)
+            for q, wanted in probed(sizes).items():
+                total += np.bincount(slots(rolling_of(codes, sizes, wanted, q)[0], SKETCH_BITS), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
@@ -155,14 +164,14 @@ def index_of(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = WordCodes()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[] for _ in range(8)]
-            for key, t in zip(*(c.to_pylist() for c in batch.columns)):
-                codes = coded(t.split(" "))
-                n, q = len(codes), shingle_size(len(codes))
-                grams = rolling(codes, q)
+            codes, sizes = coded_texts(batch.column(1).to_pylist(), coded)
+            for key, end, n, *marks in zip(batch.column(0).to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), *(m.tolist() for m in _marks(codes, sizes))):
+                q = shingle_size(n)
+                grams = rolling(codes[end - n : end], q)
                 heat = shared.value[slots(grams, SKETCH_BITS)]
-                parts, signed, marks = parts_of(heat), grams.astype(np.int64), _marks(codes)
+                parts, signed = parts_of(heat), grams.astype(np.int64)
                 for place, at in enumerate(prefix(heat, q, n // 5 + 1)):
                     for part in range(parts[at]):
                         for column, x in zip(out, (int(signed[at]), part, key, n, at, place, *marks)):
@@ -194,26 +203,19 @@ def probes_of(texts: DataFrame, sketch: np.ndarray, bitmap: np.ndarray) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded, (sketch, bitmap) = WordCodes(), shared.value
-        for batch in batches:
-            grams, owner, places, sizes, marks = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                codes = coded(t.split(" "))
-                sizes.append(len(codes))
-                marks.append(_marks(codes))
-                for q in probe_sizes(len(codes)):
-                    own = rolling(codes, q)
-                    at = np.flatnonzero(is_set(bitmap, slots(own, INDEX_BITS)))
-                    grams.append(own[at])
-                    places.append(at)
-                    owner.append(np.full(len(at), i))
-            if not grams:
-                continue
-            gram, at, row = np.concatenate(grams), np.concatenate(places), np.concatenate(owner)
+        for batch in _slices(batches):
+            codes, sizes = coded_texts(batch.column(1).to_pylist(), coded)
+            found = []
+            for q, wanted in probed(sizes).items():
+                gram, row, at = rolling_of(codes, sizes, wanted, q)
+                known = is_set(bitmap, slots(gram, INDEX_BITS))
+                found.append((gram[known], row[known], at[known]))
+            gram, row, at = map(np.concatenate, zip(*found))
             lead = np.array([int.from_bytes(k[:4], "big") for k in batch.column(0).to_pylist()], np.int64)
             part = lead[row] % parts_of(sketch[slots(gram, SKETCH_BITS)])
-            n, (high, low) = np.array(sizes, np.int32), np.array(marks, np.int64).T
+            high, low = _marks(codes, sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.astype(np.int64)), pa.array(part.astype(np.int32)), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(at.astype(np.int32)), pa.array(high[row]), pa.array(low[row])],
+                [pa.array(gram.astype(np.int64)), pa.array(part.astype(np.int32)), batch.column(0).take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(high[row]), pa.array(low[row])],
                 ["gram", "part", "right_key", "n", "at", "high", "low"],
             )
 

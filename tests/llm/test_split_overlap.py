@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from loomspark.llm.rolling import WordCodes, coded_texts, rolling, rolling_of
 from loomspark.llm.split_overlap import choose_rarest, overlap_report, prefix, split_overlaps, within
 
 SCHEMA = "sample_id string, split string, prompt string, source string, key string, words string, n int"
@@ -43,6 +44,16 @@ def test_prefix_of_long_texts_is_rare_and_disjoint():
         assert list(costs[got]) == sorted(costs[got]) and (n < 999 or costs[got].mean() < 300)
 
 
+def test_runs_of_many_texts_at_once():
+    texts = ["a b c d e", "f", "a b c", "b c d e f g a b c"]
+    coded = WordCodes()
+    codes, sizes = coded_texts(texts, coded)
+    for q in (1, 2, 3, 4):
+        wanted = np.array([True, True, False, True])
+        got = [(int(h), int(r), int(p)) for h, r, p in zip(*rolling_of(codes, sizes, wanted, q))]
+        assert got == [(int(h), r, p) for r in (0, 1, 3) for p, h in enumerate(rolling(coded(texts[r].split(" ")), q))]
+
+
 def test_heat_and_size_do_not_matter(spark, monkeypatch):
     import loomspark.llm.split_overlap as m
 
