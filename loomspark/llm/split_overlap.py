@@ -40,6 +40,8 @@ SHINGLES_PER_PART = 50_000
 RECORDS_PER_PART = 20_000
 #: Words of an evaluation text whose shingles are chosen together.
 WINDOW = 1_000
+#: Cells of a table of choices (8 bytes each): so many windows are chosen together.
+CELLS = 500_000
 #: Texts whose words are coded together.
 TEXTS_AT_ONCE = 1_000
 #: Rows up to which a checkpointed side of a join is broadcast.
@@ -62,31 +64,47 @@ def probed(n: np.ndarray) -> dict[int, np.ndarray]:
     return {2: (low < 10) & (high >= 5), 3: (low < 20) & (high >= 10), 4: high >= 20}
 
 
-def choose_rarest(costs: np.ndarray, q: int, need: int) -> list[int]:
-    """Starts of `need` disjoint shingles of q words with the smallest sum of costs."""
-    n = len(costs) + q - 1
-    best = np.full((n + 1, need + 1), np.inf)
-    best[:, 0] = 0
+def choose_rarest(costs: np.ndarray, q: int, need: int) -> np.ndarray:
+    """Starts of `need` disjoint shingles of q words with the smallest sum of costs, for each row of costs."""
+    rows, n = len(costs), costs.shape[1] + q - 1
+    best = np.full((n + 1, rows, need + 1), np.inf)
+    best[:, :, 0] = 0
     for i in range(1, n + 1):
         best[i] = best[i - 1]
         if i >= q:
-            np.minimum(best[i, 1:], best[i - q, :-1] + costs[i - q], out=best[i, 1:])
-    out, i, c = [], n, need
-    while c:
-        if best[i, c] < best[i - 1, c]:
-            out.append(i - q)
-            i, c = i - q, c - 1
-        else:
-            i -= 1
-    return out[::-1]
+            np.minimum(best[i, :, 1:], best[i - q, :, :-1] + costs[:, i - q, None], out=best[i, :, 1:])
+    every, out = np.arange(rows), np.zeros((rows, need), np.int64)
+    i, c = np.full(rows, n), np.full(rows, need)
+    while (c > 0).any():
+        take = best[i, every, c] < best[np.maximum(i - 1, 0), every, c]
+        out[every[take], c[take] - 1] = i[take] - q
+        i = np.where(c > 0, np.where(take, i - q, i - 1), i)
+        c = c - take
+    return out
 
 
-def prefix(costs: np.ndarray, q: int, need: int) -> list[int]:
-    """`need` disjoint shingles, the rarest first: the rarest choice of every window of the text, and of these the rarest."""
-    n = len(costs) + q - 1
-    edges = np.linspace(0, n, max(1, -(-n // WINDOW)) + 1).astype(int)
-    chosen = [a + x for a, b in zip(edges, edges[1:]) for x in choose_rarest(costs[a : b - q + 1], q, (b - a) // 5 + 1)]
-    return sorted(chosen, key=lambda i: costs[i])[:need]
+def prefixes(costs: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+    """For each text the starts of k + 1 disjoint shingles, the rarest first, where k edits are the most it can have.
+
+    Of every window of a text the rarest choice, and of these the rarest; windows of one length are chosen together.
+    """
+    windows: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, n in enumerate(sizes):
+        edges = np.linspace(0, n, -(-n // WINDOW) + 1).astype(int).tolist()
+        for a, b in zip(edges, edges[1:]):
+            windows.setdefault((b - a, shingle_size(n)), []).append((t, a))
+    chosen: list[list[np.ndarray]] = [[] for _ in sizes]
+    for (n, q), places in windows.items():
+        at_once = max(1, CELLS // (n * (n // 5 + 1)))
+        for some in (places[x : x + at_once] for x in range(0, len(places), at_once)):
+            starts = choose_rarest(np.stack([costs[t][a : a + n - q + 1] for t, a in some]), q, n // 5 + 1)
+            for (t, a), own in zip(some, starts):
+                chosen[t].append(own + a)
+    out = []
+    for c, n, own in zip(costs, sizes, chosen):
+        at = np.concatenate(own)
+        out.append(at[np.argsort(c[at], kind="stable")][: n // 5 + 1])
+    return out
 
 
 def within(a: list[str], b: list[str], k: int) -> bool:
@@ -167,14 +185,15 @@ def index_of(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
         for batch in _slices(batches):
             out: list[list] = [[] for _ in range(8)]
             codes, sizes = coded_texts(batch.column(1).to_pylist(), coded)
-            for key, end, n, *marks in zip(batch.column(0).to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), *(m.tolist() for m in _marks(codes, sizes))):
-                q = shingle_size(n)
-                grams = rolling(codes[end - n : end], q)
-                heat = shared.value[slots(grams, SKETCH_BITS)]
-                parts, signed = parts_of(heat), grams.astype(np.int64)
-                for place, at in enumerate(prefix(heat, q, n // 5 + 1)):
-                    for part in range(parts[at]):
-                        for column, x in zip(out, (int(signed[at]), part, key, n, at, place, *marks)):
+            ends, n = np.cumsum(sizes).tolist(), sizes.tolist()
+            grams = [rolling(codes[e - m : e], shingle_size(m)) for e, m in zip(ends, n)]
+            heat = [shared.value[slots(g, SKETCH_BITS)] for g in grams]
+            marks = [m.tolist() for m in _marks(codes, sizes)]
+            for t, (key, starts) in enumerate(zip(batch.column(0).to_pylist(), prefixes(heat, n))):
+                parts = parts_of(heat[t][starts]).tolist()
+                for place, (at, gram, count) in enumerate(zip(starts.tolist(), grams[t][starts].astype(np.int64).tolist(), parts)):
+                    for part in range(count):
+                        for column, x in zip(out, (gram, part, key, n[t], at, place, marks[0][t], marks[1][t])):
                             column.append(x)
             types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(out, types)], names)

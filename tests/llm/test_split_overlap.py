@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from loomspark.llm.rolling import WordCodes, coded_texts, rolling, rolling_of
-from loomspark.llm.split_overlap import choose_rarest, overlap_report, prefix, split_overlaps, within
+from loomspark.llm.split_overlap import choose_rarest, overlap_report, prefixes, split_overlaps, within
 
 SCHEMA = "sample_id string, split string, prompt string, source string, key string, words string, n int"
 
@@ -26,22 +26,39 @@ def test_within_is_the_edit_distance():
         assert within(a, b, k) == (distance(a, b) <= k)
 
 
+def cheapest(costs, q, need):
+    """The smallest sum of costs of `need` disjoint shingles, one text at a time."""
+    n = len(costs) + q - 1
+    best = [[0] + [float("inf")] * need]
+    for i in range(1, n + 1):
+        row = list(best[-1])
+        if i >= q:
+            for c in range(1, need + 1):
+                row[c] = min(row[c], best[i - q][c - 1] + costs[i - q])
+        best.append(row)
+    return best[n][need]
+
+
 def test_chosen_shingles_are_disjoint_and_cheapest():
     rng = np.random.default_rng(0)
     for n in range(5, 60):
         q = 4 if n >= 20 else 3 if n >= 10 else 2
         need = n // 5 + 1
-        got = choose_rarest(rng.integers(0, 9, n - q + 1).astype(float), q, need)
-        assert len(got) == need and all(b - a >= q for a, b in zip(got, got[1:])) and got[-1] + q <= n
+        costs = rng.integers(0, 9, (3, n - q + 1)).astype(float)
+        for own, got in zip(costs, choose_rarest(costs, q, need).tolist()):
+            assert len(got) == need and all(b - a >= q for a, b in zip(got, got[1:])) and got[-1] + q <= n
+            assert own[got].sum() == cheapest(own.tolist(), q, need)
 
 
-def test_prefix_of_long_texts_is_rare_and_disjoint():
+def test_prefixes_of_long_texts_are_rare_and_disjoint():
     rng = np.random.default_rng(1)
-    for n in (20, 999, 1001, 12_345):
-        costs = rng.integers(1, 1000, n - 3).astype(float)
-        got = prefix(costs, 4, n // 5 + 1)
-        assert len(got) == n // 5 + 1 and all(b - a >= 4 for a, b in zip(sorted(got), sorted(got)[1:])) and max(got) + 4 <= n
-        assert list(costs[got]) == sorted(costs[got]) and (n < 999 or costs[got].mean() < 300)
+    sizes = [20, 999, 1001, 12_345, 7, 999]
+    costs = [rng.integers(1, 1000, n - (3 if n >= 20 else 1)).astype(float) for n in sizes]
+    for n, c, got in zip(sizes, costs, prefixes(costs, sizes)):
+        q = 4 if n >= 20 else 2
+        got = got.tolist()
+        assert len(got) == n // 5 + 1 and all(b - a >= q for a, b in zip(sorted(got), sorted(got)[1:])) and max(got) + q <= n
+        assert list(c[got]) == sorted(c[got]) and (n < 999 or c[got].mean() < 300)
 
 
 def test_runs_of_many_texts_at_once():
