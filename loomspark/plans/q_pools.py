@@ -296,7 +296,7 @@ def rcp1(spark: SparkSession, d: str) -> DataFrame:
     rows = checkpoint(sampling.keep_first(rows, ["key"], ["ord", "row_id"]))
     hits = contamination.contamination_matches(rows, load(spark, d, "benchmark_items"), "row_id", "prompt").select(F.col("prompt_id").alias("row_id"))
     clean = checkpoint(rows.join(hits, "row_id", "left_anti"))  # both pools are cut from it
-    sft = sampling.quota_by_domain(clean, SFT_QUOTA, "domain", F.col("stratum"), rank_of("sft"), "row_id")
+    sft = checkpoint(sampling.quota_by_domain(clean, SFT_QUOTA, "domain", F.col("stratum"), rank_of("sft"), "row_id"))
     rest = clean.join(sft.select("key"), "key", "left_anti")
     opd = sampling.quota_by_domain(rest, OPD_QUOTA, "domain", F.col("stratum"), rank_of("opd"), "row_id")
 
